@@ -2,10 +2,11 @@
 
 Rows are put in groups of equal texts, groups in the order of a digest of the text, and the
 ordered groups are cut into ``n`` contiguous shards so that the largest shard is as small as it
-can be.  The smallest feasible capacity is found by search: a capacity is feasible if filling
+can be.  The smallest feasible capacity is found by binary search: a capacity is feasible if filling
 shards greedily needs no more than ``n`` of them.  A greedy fill needs only one thing from the
-data, the last group whose running size does not exceed a limit, so many capacities are tried at
-once and each step is one aggregation over the blocks that hold the limits.
+data, the last group whose running size does not exceed a limit.  The driver brackets the answer
+with the few ends it knows and asks the data, one aggregation at a time, only about the intervals
+that are still undecided.
 
 Only built-in DataFrame functions are used.  Running sums never pass through one task: sizes are
 summed within ``BLOCKS`` digest ranges, the sums of these few blocks are summed in turn, and the
@@ -19,6 +20,8 @@ shards stay empty; an empty table gives an empty table; extra columns are ignore
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ from parley.llm.storage import stored
 
 BLOCKS = 4096
 SALTS = 64
-WIDTH = 512
+WIDTH = 256
 
 
 def _rows(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -57,62 +60,93 @@ def _groups(rows: DataFrame) -> DataFrame:
     )
 
 
-class _Fill:
-    """Greedy fills of the ordered groups, many capacities at a time."""
-
-    def __init__(self, groups: DataFrame, shards: int):
-        self.groups, self.shards = groups, shards
-        self.blocks = sorted((r["last"], r["block"]) for r in groups.groupBy("block").agg(F.max("end").alias("last")).collect())
-        self.total = self.blocks[-1][0] if self.blocks else 0
-
-    def last_ends(self, limits: list[int]) -> dict[int, int]:
-        """For each limit the largest running size that is not above it (0 if none)."""
-        out, ask, k = {}, [], 0
-        for limit in sorted(set(limits)):
-            while k < len(self.blocks) and self.blocks[k][0] <= limit:
-                k += 1
-            out[limit] = self.blocks[k - 1][0] if k else 0
-            if k < len(self.blocks):
-                ask.append((limit, self.blocks[k][1]))
-        if ask:
-            spark = self.groups.sparkSession
-            asked = spark.createDataFrame(ask, "limit long, block int")  # at most WIDTH rows
-            near = self.groups.filter(F.col("block").isin(sorted({b for _, b in ask}))).select("block", "end")
-            found = near.join(F.broadcast(asked), "block").filter("end <= limit").groupBy("limit").agg(F.max("end").alias("end"))
-            out |= {r["limit"]: r["end"] for r in found.collect()}
-        return out
-
-    def cuts(self, capacities: list[int]) -> list[list[int]]:
-        """For each capacity the ends of the first shards of its greedy fill."""
-        ends = [[0] for _ in capacities]
-        for _ in range(self.shards):
-            going = [i for i, e in enumerate(ends) if e[-1] < self.total]
-            if not going:
-                break
-            found = self.last_ends([ends[i][-1] + capacities[i] for i in going])
-            for i in going:
-                ends[i].append(max(found[ends[i][-1] + capacities[i]], ends[i][-1]))
-        return [e[1:] for e in ends]
+class _Ends:
+    """What the driver knows of the running sizes at which groups end.
+
+    ``known`` holds some of them, always including the total; inside the ``whole`` intervals it
+    holds all.  A greedy fill that looks up only known ends is never better than the true one, and
+    one that takes an unknown end to be as late as allowed is never worse, so the two bracket the
+    least feasible capacity until the intervals between them are resolved.
+    """
+
+    def __init__(self, known: list[int], total: int):
+        self.known, self.total = sorted(known), total
+        self.whole: list[tuple[int, int]] = []
+
+    def last(self, limit: int, hopeful: bool) -> int:
+        if limit >= self.total:
+            return self.total
+        if hopeful and not any(a < limit <= b for a, b in self.whole):
+            return limit
+        k = bisect_right(self.known, limit)
+        return self.known[k - 1] if k else 0
+
+    def fill(self, capacity: int, shards: int, hopeful: bool = False) -> list[int]:
+        ends, at = [], 0
+        while len(ends) < shards and at < self.total:
+            at = max(at, self.last(at + capacity, hopeful))
+            ends.append(at)
+        return ends
+
+    def least(self, low: int, high: int, shards: int, hopeful: bool) -> int:
+        """The smallest capacity in [low, high] whose fill holds everything; high always does."""
+        while low < high:
+            mid = (low + high) // 2
+            if self.fill(mid, shards, hopeful)[-1] >= self.total:
+                high = mid
+            else:
+                low = mid + 1
+        return low
+
+    def learn(self, ends: list[int], whole: list[tuple[int, int]]) -> None:
+        self.known = sorted({*self.known, *ends})
+        self.whole += whole
+
+
+def _disjoint(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(r for r in ranges if r[0] < r[1]):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
-    """The running sizes at which the shards of least possible maximum end."""
-    fill = _Fill(groups, shards)
-    if not fill.total:
+    """The running sizes at which the shards of least possible maximum end.
+
+    Every round is one aggregation that returns at most ``shards * WIDTH`` rows and narrows the
+    undecided intervals ``WIDTH`` times, so the number of rounds grows as the logarithm of the bytes.
+    """
+    blocks = groups.groupBy("block").agg(F.max("end").alias("last"), F.max("bytes").alias("largest")).collect()
+    if not blocks:
         return []
-    largest = groups.agg(F.max("bytes")).first()[0]
-    low = max(largest, -(-fill.total // shards))  # no smaller capacity can do
-    high = largest + fill.total // shards  # this one always does
-    best = fill.cuts([high])[0]
-    while low < high:
-        step = max(1, -(-(high - low) // WIDTH))
-        tried = list(range(low, high, step))
-        ends = fill.cuts(tried)
-        first = next((i for i, e in enumerate(ends) if e[-1] == fill.total), len(tried))
-        if first < len(tried):
-            best, high = ends[first], tried[first]
-        low = tried[first - 1] + 1 if first else high
-    return best
+    total, largest = max(r["last"] for r in blocks), max(r["largest"] for r in blocks)
+    ends = _Ends([r["last"] for r in blocks], total)
+    low, high = max(largest, -(-total // shards)), largest + total // shards
+    best = total  # a fill by block ends alone may need one shard for everything
+    while True:
+        low = ends.least(low, high, shards, hopeful=True)
+        best = ends.least(low, max(best, low), shards, hopeful=False)
+        high = min(high, best)
+        if low >= best:
+            return ends.fill(best, shards)
+        early, late = [0, *ends.fill(low, shards)], [0, *ends.fill(high, shards, hopeful=True)]
+        asked = _disjoint([(early[min(i, len(early) - 1)] + low - 1, min(total, y + high)) for i, y in enumerate(late) if y < total])
+        place, number = F.lit(None).cast("int"), F.lit(0).cast("long")
+        for i, (a, b) in enumerate(asked):
+            inside = (F.col("end") > a) & (F.col("end") <= b)
+            place = F.when(inside, i).otherwise(place)
+            number = F.when(inside, F.floor((F.col("end") - a - 1) / -(-(b - a) // WIDTH))).otherwise(number)
+        found = groups.select("end", place.alias("place"), number.alias("cell")).filter("place is not null")
+        found = found.groupBy("place", "cell").agg(F.min("end").alias("lo"), F.max("end").alias("hi"), F.count("*").alias("n")).collect()
+        crowded = {(r["place"], r["cell"]) for r in found if r["n"] > 2}
+        whole = []
+        for i, (a, b) in enumerate(asked):
+            step = -(-(b - a) // WIDTH)
+            whole += _disjoint([(a + c * step, min(b, a + (c + 1) * step)) for c in range(WIDTH) if (i, c) not in crowded])
+        ends.learn([x for r in found for x in (r["lo"], r["hi"])], whole)
 
 
 def shard(df: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
