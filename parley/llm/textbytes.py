@@ -114,8 +114,11 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(docs: Docs, inside: np.ndarray, fold: np.ndarray | None = None) -> Words:
-    """The maximal runs of ``inside`` bytes within each document, hashed after mapping by ``fold``."""
+def words(docs: Docs, inside: np.ndarray, fold: np.ndarray | None = None, parts: np.ndarray | None = None) -> Words:
+    """The maximal runs of ``inside`` bytes within each document, hashed after mapping by ``fold``.
+
+    ``parts`` gives bytes a class; a run is also cut between a byte of class 1 and one of class 2.
+    """
     data, offsets = docs.data, docs.offsets
     if not len(data):
         empty = np.zeros(0, np.int64)
@@ -125,6 +128,11 @@ def words(docs: Docs, inside: np.ndarray, fold: np.ndarray | None = None) -> Wor
     start[1:] &= ~w[:-1]
     end = w.copy()
     end[:-1] &= ~w[1:]
+    if parts is not None:
+        c = parts[data]
+        split = c[1:] * c[:-1] == 2
+        start[1:] |= split
+        end[:-1] |= split
     cuts = offsets[1:-1]
     cuts = cuts[(cuts > 0) & (cuts < len(data))]
     start[cuts] = w[cuts]
