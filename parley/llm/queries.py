@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import labelled, license_scan, packing, quality_model, quality_rules, sharding
+from parley.llm import compression_toxicity, labelled, license_scan, packing, quality_model, quality_rules, sentence_spans, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,16 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, model, folds=4, held=2)
 
 
+def op7_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = compression_toxicity.fit(docs, labels(spark, sf_dir), "toxic", labelled.fold("doc_id", 3) != 1)
+    return compression_toxicity.score(docs, model, folds=3, held=1)
+
+
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.digest(sentence_spans.dedup(documents(spark, sf_dir)))
+
+
 def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), shards=16)
 
