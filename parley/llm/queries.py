@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import compression_toxicity, labelled, license_scan, packing, quality_model, quality_rules, sentence_spans, sharding
+from parley.llm import compression_toxicity, labelled, license_scan, packing, parity_join, quality_model, quality_rules, sentence_spans, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op3_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.join(documents(spark, sf_dir), parity_join.Rule(k=3, percent=90))
+
+
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -148,7 +148,8 @@ def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The hash of the k words from each word on, and whether these lie in one document."""
     n = len(w.hash)
     out = np.zeros(n, np.uint64)
+    scale = mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)  # unrelated, so that no two orders of words agree
     for j in range(min(k, n)):
-        out[: n - j] += w.hash[j:] * np.uint64((2 * j + 1) * 0xD6E8FEB86659FD93 % (1 << 64) | 1)
+        out[: n - j] += w.hash[j:] * scale[j]
     whole = np.arange(n) + k <= np.repeat(w.bounds[1:], np.diff(w.bounds))
     return mix(out), whole
