@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import compression_toxicity, labelled, license_scan, packing, parity_join, quality_model, quality_rules, sentence_spans, sharding
+from parley.llm import compression_toxicity, labelled, license_scan, packing, parity_join, quality_model, quality_rules, sentence_spans, sharding, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.digest(sentence_spans.dedup(documents(spark, sf_dir)))
 
 
+def op9_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(documents(spark, sf_dir))
+
+
 def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), shards=16)
 
