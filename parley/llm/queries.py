@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import compression_toxicity, labelled, license_scan, packing, parity_join, quality_model, quality_rules, sentence_spans, sharding, suffix_dedup
+from parley.llm import compression_toxicity, decontamination, labelled, license_scan, packing, parity_join, quality_model, quality_rules, sentence_spans, sharding, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op2_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.hits(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 def op3_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.join(documents(spark, sf_dir), parity_join.Rule(k=3, percent=90))
 

@@ -2,7 +2,7 @@
 
 Text operators see an Arrow string column as one byte array plus offsets, so a batch of
 documents is scanned with numpy instead of building a Python string for every word.  Work is
-done on slices of a few megabytes, which bounds the memory of a task whatever the batch holds.
+done on slices of some hundred kilobytes, which bounds the memory of a task whatever the batch holds.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
