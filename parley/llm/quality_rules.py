@@ -121,8 +121,9 @@ def keep_clean(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULE
     taken = [f"__c{i}" for i in range(len(df.columns))]
     renamed = df.toDF(*taken)
     judged = apply_rules(renamed, taken[df.columns.index(text)], rules)
-    return judged.filter("kept").select(*taken).toDF(*df.columns)
-
+    # exploding a null drops the row; a filter would be pushed below the measures and repeat their work
+    once = F.explode(F.when(F.col("kept"), F.array(F.lit(True)))).alias("__kept")
+    return judged.select(*taken, once).select(*taken).toDF(*df.columns)
 
 
 def _ratios(rules: tuple[Rule, ...]) -> str:
