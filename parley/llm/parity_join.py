@@ -56,7 +56,7 @@ class Rule(NamedTuple):
     def band_starts(self, most: int) -> list[int]:
         out = [1]
         while out[-1] <= most:
-            out.append(max(out[-1] + 1, out[-1] * 6 // 5))
+            out.append(max(out[-1] + 1, out[-1] * 13 // 10))
         return out
 
 
@@ -77,7 +77,7 @@ def shingles(docs: tb.Docs, k: int) -> Iterator[np.ndarray]:
 def part_words(s: np.ndarray, start: int, most: int, rule: Rule) -> np.ndarray:
     """The join keys of a set for the band of sizes start..most."""
     d = rule.most_apart(2 * most)
-    parts = 1 if not d else (d + 1) * (14 if rule.percent < 90 else 12) // 10 + 1
+    parts = 1 if not d else (d + 1) * 6 // 5 + 1
     bit = tb.mix(s ^ np.uint64(start * 2654435761))
     part = ((bit >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(part, kind="stable")
@@ -122,47 +122,59 @@ def _rows(kind: int, a, b, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["kind", "a", "b", "n"])
 
 
-DOCS, KEYS, EDGES = 0, 1, 2
-
-
-def _sketched(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Rows of three kinds: doc_id, signature, size; key, node; and edges found inside a task."""
+def _sized(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, signature of the set and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, seen, held, nodes = [1], set(), [], []
         for b in batches:
             for part in tb.text_slices(b.column(1)):
-                sigs, sizes = [], []
+                found = [(signature(s) if len(s) else 0, len(s)) for s in shingles(part, rule.k)]
+                sigs, sizes = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0)[part.first : part.first + len(part)], pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "sig", "n_shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig long, n_shingles long")
+
+
+def _rows(met: bool, pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(pairs.shape[1], met)), pa.array(pairs[0]), pa.array(pairs[1])], names=["met", "a", "b"])
+
+
+def _candidates(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Edges (a, b) between sets that share a key.
+
+    A task links the sets whose keys meet in it and passes one row for each key on, so the shuffle
+    carries a common key once per task; the keys are not written anywhere else.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, seen, held, nodes = [1], set(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for b in batches:
+            for part in tb.text_slices(b.column(0)):
                 for s in shingles(part, rule.k):
                     sig = signature(s) if len(s) else 0
-                    sigs.append(sig)
-                    sizes.append(len(s))
                     if len(s) and sig not in seen:
                         seen.add(sig)
                         if starts[-1] < 2 * len(s) + 2:
                             starts = rule.band_starts(4 * len(s) + 4)
-                        found = keys(s, starts, rule)
-                        held.append(found)
-                        nodes.append(np.full(len(found), sig, np.int64))
-                yield _rows(DOCS, b.column(0)[part.first : part.first + len(part)], sigs, sizes)
-        if held:
-            alone, edges = link_equal_keys(np.concatenate(held).astype(np.int64), np.concatenate(nodes))
-            yield _rows(KEYS, alone[0], alone[1], np.zeros(alone.shape[1], np.int64))
-            yield _rows(EDGES, edges[0], edges[1], np.zeros(edges.shape[1], np.int64))
-
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, a long, b long, n long")
-
-
-def _met(rows: DataFrame) -> DataFrame:
-    """Edges between nodes whose keys meet; a key has one row per task of the step before."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+                        held.append(keys(s, starts, rule))
+                        nodes.append(np.full(len(held[-1]), sig, np.int64))
+        alone, edges = link_equal_keys(np.concatenate(held).astype(np.int64), np.concatenate(nodes))
+        yield _rows(False, alone)
+        yield _rows(True, edges)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, out = [], []
+        for b in batches:
+            met, pairs = b.column(0).to_numpy(zero_copy_only=False), np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()])
+            parts.append(pairs[:, ~met])
+            out.append(pairs[:, met])
         if parts:
-            _, edges = link_equal_keys(*np.concatenate(parts, axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], names=["a", "b"])
+            out.append(link_equal_keys(*np.concatenate(parts, axis=1))[1])
+        edges = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], names=["a", "b"])
 
-    return rows.select("a", "b").repartition("a").mapInArrow(run, "a long, b long")
+    rows = docs.select("text").mapInArrow(sketch, "met boolean, a long, b long")
+    return rows.repartition("a").mapInArrow(meet, "a long, b long")
 
 
 class _Forest:
@@ -248,10 +260,8 @@ def _verified(members: DataFrame, rule: Rule) -> DataFrame:
 def join(df: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id for every row of df."""
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = stored(_sketched(docs, rule), "sketches")
-    sized = rows.filter(F.col("kind") == DOCS).select(F.col("a").alias("doc_id"), F.col("b").alias("sig"), F.col("n").alias("n_shingles"))
-    edges = rows.filter(F.col("kind") == EDGES).select("a", "b").unionByName(_met(rows.filter(F.col("kind") == KEYS)))
-    families = stored(components(edges), "families")
+    sized = stored(_sized(docs, rule), "sizes")
+    families = stored(components(_candidates(docs, rule)), "families")
     firsts = stored(sized.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("first")), "firsts")
     sizes = families.groupBy("root").agg(F.count("*").alias("size"))
     members = families.join(sizes, "root").join(firsts.withColumnRenamed("sig", "node"), "node").select(F.col("root").alias("family"), "size", F.col("node").alias("sig"), "first")
