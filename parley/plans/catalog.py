@@ -1 +1,152 @@
-"""The queries of the library, by operator."""
+"""The queries of the library, by operator, each with the SQL that gives the same rows.
+
+Names start with the operator's id.  Messages come from the ``events`` table, see the adapters.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parley.functions import compat as C
+from parley.operators import ordered, summaries, texts
+from parley.plans.registry import register
+from parley.sources.adapters import EVENTS_SQL, messages_from_conversations, messages_from_events
+
+W = "over (partition by conversation_id order by timestamp_ms, message_id)"
+ORDERED = f"o as (select *, lag(message_id) {W} prev_id, lag(sender) {W} prev_sender, timestamp_ms - lag(timestamp_ms) {W} gap_ms from m)"
+REPLIES = f"{ORDERED}, r as (select conversation_id, prev_id from_message_id, message_id to_message_id, sender responder, gap_ms latency_ms from o where sender != prev_sender and gap_ms between 1000 and 86400000)"
+TURNS = f"""{ORDERED}, i as (select *, sum(case when prev_id is null or sender != prev_sender then 1 else 0 end) {W} turn_no from o),
+t as (select conversation_id, turn_no::bigint turn_no, first(sender) participant, count(*) message_count, min(timestamp_ms) start_ms, max(timestamp_ms) end_ms from i group by all)"""
+MEDIA = "(has_photos or has_videos or content ilike '%sent an attachment%')"
+
+
+def _islands(gap: int, least: int) -> str:
+    return f"""{ORDERED}, i as (select *, sum(case when prev_id is null or gap_ms > {gap} then 1 else 0 end) {W} island_no from o),
+b as (select conversation_id, island_no::bigint island_no, arg_min(sender, (timestamp_ms, message_id)) starter, count(*) message_count, count(distinct sender) n_senders, min(timestamp_ms) start_ms, max(timestamp_ms) end_ms from i group by conversation_id, island_no having count(*) >= {least})"""
+
+
+def events(name: str, sql: str | None, ctes: str = "") -> Callable:
+    """Register a function of messages; ``sql`` selects from m and the given CTEs."""
+    whole = None if sql is None else f"with {EVENTS_SQL}{', ' + ctes if ctes else ''} {sql}"
+
+    def wrap(query: Callable[[DataFrame], DataFrame]):
+        register(name, whole)(lambda spark, sf_dir: query(messages_from_events(spark, sf_dir)))
+        return query
+
+    return wrap
+
+
+def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- ordered rows
+events("win01_responses", "select * from r", REPLIES)(ordered.responses)
+events("win02_turns", "select * from t", TURNS)(ordered.turns)
+events("win03_bursts", "select * from b", _islands(300_000, 2))(lambda m: ordered.gap_islands(m, 300_000, 2))
+events("win04_session_starters", "select conversation_id, message_id, sender, timestamp_ms from o where prev_id is null or gap_ms >= 14400000", ORDERED)(ordered.session_starters)
+events("win05_threads", "select * from b", _islands(3_600_000, 1))(lambda m: ordered.gap_islands(m, 3_600_000))
+events("v106_gaps", "select conversation_id, message_id, sender, gap_ms from o where gap_ms > 86400000", ORDERED)(lambda m: ordered.with_previous(m.select(*ordered.NARROW)).filter("gap_ms > 86400000").select("conversation_id", "message_id", "sender", "gap_ms"))
+_BUBBLES = f"""k as (select *, is_system or has_photos breaks from m),
+o as (select *, coalesce(lag(breaks) {W}, true) aft, lag(sender) {W} prev_sender, timestamp_ms - lag(timestamp_ms) {W} gap_ms from k),
+i as (select *, sum(case when aft or breaks or sender != prev_sender or gap_ms > 90000 then 1 else 0 end) {W} island from o)"""
+events("win06_reply_turns", "select conversation_id, first(sender) sender, count(*) n_bubbles, max(timestamp_ms) end_ms, sum(length(content))::bigint n_chars from i where not breaks group by conversation_id, island", _BUBBLES)(lambda m: ordered.reply_turns(m, F.col("is_system") | F.col("has_photos")))
+events("win07_daily_starts", "select sender, count(*) starts from (select sender, row_number() over (partition by conversation_id, strftime(ts, '%Y-%m-%d') order by timestamp_ms, message_id) n from m) where n = 1 group by sender")(
+    lambda m: m.groupBy("conversation_id", C.day(F.col("ts")).alias("d")).agg(F.min_by("sender", F.struct("timestamp_ms", "message_id")).alias("sender")).groupBy("sender").agg(F.count("*").alias("starts"))
+)
+events("win17_round_robin", "select message_id, conversation_id, rn from (select *, row_number() over (partition by conversation_id order by timestamp_ms desc, message_id) rn from m) order by rn, conversation_id limit 200")(
+    lambda m: summaries.round_robin(m, "conversation_id", [F.desc("timestamp_ms"), F.col("message_id")], 200).select("message_id", "conversation_id", "rn")
+)
+
+# -- conversations and time
+events("agg13_conversation_summary", """select conversation_id, message_count, n_participants, first_ms, last_ms, avg_response_ms, last_ms - first_ms duration_ms, message_count - 1 turns from
+(select conversation_id, count(*) message_count, count(distinct sender) n_participants, min(timestamp_ms) first_ms, max(timestamp_ms) last_ms from m group by 1) left join (select conversation_id, floor(avg(latency_ms) + 0.5)::bigint avg_response_ms from r group by 1) using (conversation_id)""", REPLIES)(lambda m: summaries.conversation_summary(m, ordered.responses(m)))
+events("agg14_messages_by_sender", "select conversation_id, sender, count(*) message_count from m group by all")(summaries.messages_by_sender)
+events("agg15_platforms", "select source, count(distinct conversation_id) conversations, count(*) messages from m group by all")(summaries.platform_summary)
+events("agg16_monthly", "select conversation_id, strftime(ts, '%Y-%m') \"month\", count(*) message_count from m group by all")(summaries.monthly_messages)
+events("agg17_latency_histogram", f"select conversation_id, {C.bucket_sql('latency_ms', C.LATENCIES, False)} bucket, count(*) reply_count from r group by all", REPLIES)(lambda m: summaries.latency_histogram(ordered.responses(m)))
+events("agg18_active_hours", "select conversation_id, hour(ts) \"hour\", dayofweek(ts) day_of_week, sender, count(*) message_count from m group by all")(summaries.active_hours)
+for _grain, _sql in {"hour": "hour(ts)", "day_of_week": "dayofweek(ts)", "month": "strftime(ts, '%Y-%m')"}.items():
+    events(f"agg21_activity_by_{_grain}", f'select {_sql} "{_grain}", count(*) message_count, count(*) filter ({MEDIA}) media_count, round(avg(compound), 6) avg_sentiment, count(distinct sender) unique_senders from m group by 1')(lambda m, g=_grain: summaries.activity_by(m, g))
+events("agg23_peaks", "select \"hour\", message_count from (select hour(ts) \"hour\", count(*) message_count from m group by 1) order by message_count desc, \"hour\" limit 3")(lambda m: m.groupBy(F.hour("ts").alias("hour")).agg(F.count("*").alias("message_count")).orderBy(F.desc("message_count"), "hour").limit(3))
+events("agg24_media_by_sender", f"select conversation_id, sender, count(*) filter (has_photos) photos, count(*) filter (has_videos) videos, count(*) filter ({MEDIA}) media_messages, count(*) messages from m group by all")(summaries.media_by_sender)
+events("agg25_media_rollup", f"select conversation_id, sender, count(*) filter ({MEDIA}) media_messages, count(*) messages, grouping(conversation_id, sender)::bigint \"level\", round(count(*) filter ({MEDIA}) / count(*), 6) media_ratio from m group by rollup (conversation_id, sender)")(summaries.media_rollup)
+events("agg48_participants", "select conversation_id, count(distinct sender) n_participants from m where not is_system group by all")(lambda m: m.filter("not is_system").groupBy("conversation_id").agg(F.count_distinct("sender").alias("n_participants")))
+events("v102_weekday_hours", "select sender, dayofweek(ts) weekday, hour(ts) \"hour\", count(*) n from m group by all")(lambda m: m.groupBy("sender", (F.dayofweek("ts") - 1).alias("weekday"), F.hour("ts").alias("hour")).agg(F.count("*").alias("n")))
+events("v107_turn_pairs", "select prev_sender, sender, count(*) n from o where sender != prev_sender group by all", ORDERED)(lambda m: ordered.with_previous(m.select(*ordered.NARROW)).filter("sender != prev_sender").groupBy("prev_sender", "sender").agg(F.count("*").alias("n")))
+
+# -- sentiment
+_DAILY = "case when compound_sum / n > 0.1 then 'positive' when compound_sum / n < -0.1 then 'negative' else 'neutral' end label"
+for _id, _keys in {"agg35_timeline": [], "agg36_sender_timeline": ["sender"], "agg39_mergeable": ["sender", "conversation_id"]}.items():
+    _k = "".join(f"{k}, " for k in _keys)
+    events(_id, f"select *, {_DAILY} from (select {_k}strftime(ts, '%Y-%m-%d') \"date\", round(sum(compound), 6) compound_sum, count(*) n from m where not is_system group by all)")(lambda m, k=_keys: summaries.daily_sentiment(m, *k))
+events("agg37_extreme_example", "select sender, strftime(ts, '%Y-%m-%d') \"date\", arg_max(message_id, (abs(compound), -message_id)) message_id from m group by all")(lambda m: m.groupBy("sender", C.day(F.col("ts")).alias("date")).agg(F.max_by("message_id", F.struct(F.abs("compound"), -F.col("message_id"))).alias("message_id")))
+events("agg42_mood_correlation", """select sender1, sender2, n shared_days, round(case when sqrt(greatest((n * xx - x * x) * (n * yy - y * y), 0)) > 1e-9 then (n * xy - x * y) / sqrt(greatest((n * xx - x * x) * (n * yy - y * y), 0)) else 0 end, 4) correlation from
+(select a.sender sender1, b.sender sender2, count(*) n, sum(a.v) x, sum(b.v) y, sum(a.v * a.v) xx, sum(b.v * b.v) yy, sum(a.v * b.v) xy from d a join d b on a."date" = b."date" and a.sender < b.sender group by all) where n >= 5""", "d as (select sender, strftime(ts, '%Y-%m-%d') \"date\", avg(compound) v from m group by all)")(summaries.mood_correlation)
+
+# -- turns, bursts, starters, engagement
+events("agg49_burst_depths", "select conversation_id, message_count depth, count(*) bursts from b group by all", _islands(300_000, 2))(lambda m: summaries.burst_depths(ordered.gap_islands(m, 300_000, 2)))
+events("agg49_burst_starters", "select starter, count(*) bursts, sum(message_count)::bigint messages from b group by 1 order by bursts desc, starter limit 20", _islands(300_000, 2))(lambda m: summaries.burst_starters(ordered.gap_islands(m, 300_000, 2)))
+events("agg51_turn_stats", "select *, round(100 * turn_count / sum(turn_count) over (partition by conversation_id), 6) percentage from (select conversation_id, participant, count(*) turn_count, round(avg(message_count), 6) avg_length, max(message_count) max_length from t group by all)", TURNS)(lambda m: summaries.turn_stats(ordered.turns(m)))
+events("agg50_turn_patterns", """select conversation_id, turn_count, round(most / least, 4) turn_ratio, round(share, 6) max_message_share, case when share > 0.7 then 'dominant' when most <= 2 * least and people > 1 then 'balanced' when most > 0.7 * turn_count then 'dominant' when pause < 300000 and turn_count > 10 then 'responsive' else 'sporadic' end pattern_type from
+(select conversation_id, count(*) people, sum(n)::bigint turn_count, max(n) most, min(n) least, max(msgs) / sum(msgs) share from (select conversation_id, participant, count(*) n, sum(message_count) msgs from t group by all) group by 1)
+join (select conversation_id, coalesce(avg(p) filter (p > 0 and p < 86400000), 0) pause from (select *, start_ms - lag(end_ms) over (partition by conversation_id order by turn_no) p from t) group by 1) using (conversation_id)""", TURNS)(lambda m: summaries.turn_patterns(ordered.turns(m)))
+events("agg56_starter_responses", "select s.message_id, s.conversation_id, s.sender, count(x.message_id) response_count from o s left join m x on s.conversation_id = x.conversation_id and x.timestamp_ms > s.timestamp_ms and x.timestamp_ms <= s.timestamp_ms + 86400000 and x.sender != s.sender where s.prev_id is null or s.gap_ms >= 14400000 group by all", ORDERED)(lambda m: summaries.starter_responses(m, ordered.session_starters(m)))
+_PARTS = ", ".join(f"round({k}, 4) {k}" for k in summaries.WEIGHTS)
+events("agg53_engagement", f"""select participant, round(overall, 4) overall_score, {_PARTS}, conversations conversations_count, messages total_messages, case when overall >= 70 then 'high' when overall >= 40 then 'medium' else 'low' end engagement_tier from
+(select *, {' + '.join(f'{k} * {w}' for k, w in summaries.WEIGHTS.items())} overall from (select *, least(100, messages / conversations / g_per * 50) message_frequency,
+ case when latency > 0 then least(100, g_latency / latency * 50) else 50 end response_speed, least(100, starts / conversations * 100) conversation_initiation,
+ case when len > 0 then least(100, len / g_len * 50) else 25 end message_length, least(100, n_days / greatest(1, ceil(span)) * 100) consistency, least(100, conversations / g_conv * 200) social_connectivity
+ from p, (select avg(messages / conversations) g_per, avg(latency) g_latency, avg(len) g_len from p), (select count(distinct conversation_id) g_conv from m where not is_system)))""",
+ REPLIES + """, p as (select sender participant, count(distinct conversation_id) conversations, count(*) messages, avg(length(content)) len, count(distinct strftime(ts, '%Y-%m-%d')) n_days, (max(timestamp_ms) - min(timestamp_ms)) / 86400000 span,
+ coalesce(any_value(starts), 0) starts, coalesce(any_value(latency), 0) latency from m
+ left join (select participant, count(*) starts from (select arg_min(sender, (timestamp_ms, message_id)) participant from m where not is_system group by conversation_id) group by 1) s on s.participant = sender
+ left join (select responder, avg(latency_ms) latency from r group by 1) l on l.responder = sender where not is_system group by 1)""")(lambda m: summaries.engagement(m, ordered.responses(m)))
+events("per08_infer_self", "select sender, count(*) chats from (select distinct conversation_id, sender from m where conversation_id in (select conversation_id from m group by 1 having count(distinct sender) = 2)) group by 1 order by chats desc, sender limit 1")(
+    lambda m: m.join(m.groupBy("conversation_id").agg(F.count_distinct("sender").alias("n")).filter("n = 2"), "conversation_id", "left_semi").select("conversation_id", "sender").distinct().groupBy("sender").agg(F.count("*").alias("chats")).orderBy(F.desc("chats"), "sender").limit(1)
+)
+events("join09_shared_conversations", "select conversation_id from m where sender = 'user_1' intersect select conversation_id from m where sender = 'user_11'")(lambda m: m.filter("sender = 'user_1'").select("conversation_id").intersect(m.filter("sender = 'user_11'").select("conversation_id")))
+events("flt03_participants", "select message_id from m where conversation_id not in (select conversation_id from k) or exists (select 1 from k where k.conversation_id = m.conversation_id and k.sender = m.sender)", "k as (select distinct conversation_id, sender from m where message_id % 2 = 0 and source = 'whatsapp')")(
+    lambda m: summaries.participants_filter(m, m.filter("message_id % 2 = 0 and source = 'whatsapp'").select("conversation_id", F.col("sender").alias("participant"))).select("message_id")
+)
+events("per04_reply_quantiles", "select responder, (list_sort(list(latency_ms)))[least(count(*), (count(*) * 0.5)::int + case when (count(*) * 0.5)::int > count(*) * 0.5 then 0 else 1 end)] median_ms, count(*) n from r group by 1", REPLIES)(
+    lambda m: ordered.responses(m).groupBy("responder").agg(F.array_sort(F.collect_list("latency_ms")).alias("v"), F.count("*").alias("n")).select("responder", F.element_at("v", F.least(F.col("n"), F.floor(F.col("n") * 0.5) + 1).cast("int")).alias("median_ms"), "n")
+)
+
+# -- texts
+_METRICS = "x as (select message_id, conversation_id, sender, len(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '')) word_count, len(regexp_extract_all(content, '[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}\\x{2600}-\\x{26FF}\\x{2700}-\\x{27BF}]')) emoji_count, len(regexp_extract_all(content, 'https?://[^\\s]+')) url_count from m)"
+events("fn06_text_metrics", "select message_id, conversation_id, sender, word_count, emoji_count, url_count from x", _METRICS)(texts.text_metrics)
+events("agg01_text_summary", "select count(*) total_messages, round(avg(word_count), 6) avg_words, sum(emoji_count)::bigint total_emojis, sum(url_count)::bigint total_urls from x", _METRICS)(lambda m: texts.text_summary(texts.text_metrics(m)))
+events("agg02_emoji_by_sender", "select * from (select conversation_id, sender, sum(emoji_count)::bigint emoji_count from x group by all) where emoji_count > 0", _METRICS)(lambda m: texts.emoji_by_sender(texts.text_metrics(m)))
+events("agg03_top_emojis", "select sender, emoji, n, rank from (select *, row_number() over (partition by sender order by n desc, emoji) rank from (select sender, emoji, count(*) n from (select sender, unnest(regexp_extract_all(content, '[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}\\x{2600}-\\x{26FF}\\x{2700}-\\x{27BF}]')) emoji from m) group by all)) where rank <= 5")(texts.top_emojis)
+events("agg05_length_distribution", f"""select conversation_id, bucket, coalesce(n, 0) n, round(100 * coalesce(n, 0) / sum(coalesce(n, 0)) over (partition by conversation_id), 6) percentage from
+(select distinct conversation_id, unnest([{', '.join(f"'{label}'" for _, label in C.LENGTHS)}]) bucket from x where word_count > 0) left join (select conversation_id, {C.bucket_sql('word_count', C.LENGTHS, True)} bucket, count(*) n from x where word_count > 0 group by all) using (conversation_id, bucket)""", _METRICS)(lambda m: texts.length_distribution(texts.text_metrics(m)))
+events("agg06_word_frequencies", "select * from (select word, sender, conversation_id, count(*) n from (select conversation_id, sender, unnest(regexp_split_to_array(lower(regexp_replace(content, '[^A-Za-z0-9\\s'']', ' ', 'g')), '\\s+')) word from m where not is_system) where length(word) > 2 and not contains(word, 'http') group by all) where n > 1 order by n desc, word, sender, conversation_id limit 1000")(texts.word_frequencies)
+events("agg09_url_domains", "select regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '') domain, sender, conversation_id, count(*) n, min(timestamp_ms) first_seen, max(timestamp_ms) last_seen from (select *, unnest(regexp_extract_all(content, 'https?://[^\\s]+')) url from m) group by 1, 2, 3")(texts.url_domains)
+_EMO = ", ".join(f"least(1.0, round(0.3 * len(regexp_extract_all(lower(content), '\\b({p})\\b')), 2))::double {k}" for k, p in texts.EMOTIONS.items())
+events("agg45_emotions", f"select * from (select message_id, conversation_id, sender, {_EMO} from m) where {' + '.join(texts.EMOTIONS)} > 0")(texts.emotions)
+_LOW = "lower(trim(content))"
+_MARKED = " or ".join(f"contains({_LOW}, '{x}')" for x in C.SYSTEM_MARKERS)
+events("flt01_system", f"select message_id from m where not (is_system or content is null or length({_LOW}) < 3 or starts_with({_LOW}, '__') or {_MARKED} or regexp_matches({_LOW}, '{C.SYSTEM_PATTERN}'))")(lambda m: m.filter(~C.is_system(F.col("content"), F.col("is_system"))).select("message_id"))
+
+
+@register("per17_vector_top", "select v.vec_id, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 6) score from embeddings v, (select embedding from embeddings where vec_id = 0) q where v.vec_id != 0 order by score desc, vec_id limit 10")
+def per17_vector_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts.vector_top(_table("embeddings")(spark, sf_dir), 0)
+
+
+@register("win09_context_pairs", """with c as (select *, lag(role) over w pr, lag(text) over w pt from conversations window w as (partition by conv_id order by turn))
+select 'meta:c' || conv_id conversation_id, conv_id * 1000 + turn message_id, pt context, text reply from c where role != pr and role != 'system' and pr != 'system'""")
+def win09_context_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message and the adjacent one before it by another role; a system row resets."""
+    m = messages_from_conversations(spark, sf_dir).withColumns({"prev_sender": F.lag("sender").over(ordered.order()), "context": F.lag("content").over(ordered.order()), "prev_system": F.lag("is_system").over(ordered.order())})
+    return m.filter("sender != prev_sender and not is_system and not prev_system").select("conversation_id", "message_id", "context", F.col("content").alias("reply"))
+
+
+@register("fn21_page_hosts", "select regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\\.', '') host, count(*) n from pages group by 1 having host <> ''")
+def fn21_page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.regexp_replace(F.lower(F.try_parse_url("url", F.lit("HOST"))), r"^www\.", "")
+    return _table("pages")(spark, sf_dir).groupBy(host.alias("host")).agg(F.count("*").alias("n")).filter("host is not null and host <> ''")
