@@ -186,6 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int =
         yield pa.RecordBatch.from_arrays([pa.array([m.ordinary]), pa.array([m.toxic]), pa.array([m.bias]), pa.array([list(m.slopes)])], names=["o", "t", "b", "s"])
 
     row = labelled.sample(docs, labels, label, learn, per_class).repartition(1).mapInArrow(run, "o binary, t binary, b double, s array<double>").first()
+    if row is None:  # no labelled row at all
+        return train(pa.array([], pa.string()), np.zeros(0, np.int32))
     return Model(bytes(row["o"]), bytes(row["t"]), row["b"], tuple(row["s"]))
 
 

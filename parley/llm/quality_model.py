@@ -112,6 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int =
         yield pa.RecordBatch.from_arrays([pa.array([margin.tobytes()]), pa.array([bias])], names=["margin", "bias"])
 
     row = labelled.sample(docs, labels, label, learn, per_class).repartition(1).mapInArrow(run, "margin binary, bias double").first()
+    if row is None:  # no labelled row at all
+        return train(pa.array([], pa.string()), np.zeros(0, np.int32))
     return np.frombuffer(row["margin"], np.float32), row["bias"]
 
 
