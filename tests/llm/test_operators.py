@@ -105,6 +105,20 @@ def test_sentence_spans_against_brute_force(spark, sf_dir):
     assert {r.doc_id: (r.n_sentences, r.n_removed) for r in got} == {i: (len(x), sum(x)) for i, x in want.items()}
 
 
+def test_sentence_spans_find_passages_of_few_sentences(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    text = lambda n: " ".join(word() for _ in range(n))
+    docs = []
+    for i in range(0, 80, 2):
+        # 60 words from inside one sentence into the next: at most one sentence of it is whole
+        passage = f"{text(25)}. {text(35)}" if i % 4 else text(60)
+        docs += [(i + k, f"{text(10)}. {text(7 + k)} {passage} {text(9 - k)}. {text(12)}.") for k in (0, 1)]
+    got = {r.doc_id: r.n_removed_bytes for r in sentence_spans.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert not any(got[i] for i in range(0, 80, 2))
+    assert sum(got[i] > 0 for i in range(1, 80, 2)) >= 36 and sum(got[i] for i in range(1, 80, 2)) >= 40 * 60 * 7 // 2
+
+
 def test_decontamination_finds_planted_items(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()]
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{sf_dir}/benchmark.parquet").to_pylist()]
