@@ -5,10 +5,11 @@ the benchmark.  A randomised SVD of all passages is computed where they lie: eac
 its rows by a random matrix and back (``A'(A R)``), partial products are summed by a shuffle over
 blocks of features, and the small rest, features by ``RANK``, is solved on the driver.  Overlapping
 windows of every text and all items are projected onto the leading singular vectors; pairs of
-cosine ``CANDIDATE`` or more that share enough words are candidates.  A candidate counts if the longest common subsequence
-of its words with the item is long enough and the item's answer, its last ``ANSWER`` words, is
-found in it too, so a paraphrase that keeps most words in order is caught and a passage on the same
-subject is not.
+cosine ``CANDIDATE`` or more that share enough words are candidates.  A candidate counts if it has
+``RUN`` words of the item in one piece, or if the longest common subsequence of its words with the
+item is long: ``strong`` by itself, or ``needed`` with half of the item's answer, its last ``ANSWER``
+words.  So a copy that is cut anywhere and a paraphrase that keeps most words in order are caught and
+a passage on the same subject is not.
 
 The benchmark is the stated query set.  It is handled in blocks of about ``ITEMS`` items, and what
 is broadcast is bounded by a block's words.  Words and statistics cover all documents.
@@ -37,6 +38,7 @@ STEP = 16
 RANK = 40
 CANDIDATE = 0.15
 ANSWER = 6
+RUN = 13
 LEAST_WORDS = 8
 ITEMS = 500
 FEATURE_BLOCK = 256
@@ -202,13 +204,69 @@ def needed(length: int) -> int:
     return min(length, -(-(6 * length) // 10) + 2)
 
 
+def strong(length: int) -> int:
+    """Words of an item in order that need no answer beside them."""
+    return min(length, -(-(13 * length) // 20) + 2)
+
+
+def has_run(item: list[int], window: list[int]) -> bool:
+    """Whether ``RUN`` words of the item follow each other in the window."""
+    runs = {tuple(item[i : i + RUN]) for i in range(len(item) - RUN + 1)}
+    return any(tuple(window[i : i + RUN]) in runs for i in range(len(window) - RUN + 1)) if runs else False
+
+
 def is_match(item: list[int], window: list[int]) -> int:
-    """The length of the common subsequence if the window holds the item and its answer, else 0."""
+    """The length of the common subsequence if the window holds the item or enough of it, else 0."""
     common = lcs_length(item, window)
-    if common < needed(len(item)):
-        return 0
     answer = item[-ANSWER:]
-    return common if 2 * lcs_length(answer, window) >= len(answer) else 0
+    if common >= strong(len(item)) or common >= needed(len(item)) and 2 * lcs_length(answer, window) >= len(answer):
+        return common
+    return common if common >= RUN and has_run(item, window) else 0
+
+
+def _masks(lists: list[list[int]], n: int) -> np.ndarray:
+    """For each item of at most 64 words and each feature, the item's places that hold it, as bits."""
+    out = np.zeros((len(lists), n + 1), np.uint64)
+    for k, words in enumerate(lists):
+        if len(words) <= 64:
+            for i, x in enumerate(words):
+                out[k, x] |= np.uint64(1 << i)
+    return out
+
+
+def _matches(m: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, size: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """``is_match`` of the items, of at most 64 words each, with rows begin to end of m, many at once."""
+    one = np.uint64(1)
+    full = ~np.uint64(0) >> (64 - size).astype(np.uint64)
+    tail = np.minimum(size, ANSWER)
+    shift = (size - tail).astype(np.uint64)
+    tail_full = (one << tail.astype(np.uint64)) - one
+    v, w = full.copy(), tail_full.copy()
+    run = np.zeros(len(item), bool)
+    nothing = np.zeros(len(item), np.uint64)
+    # places where the last 1, 2, 4 and 8 words end in the item; the oldest comes first
+    ends1, ends2, ends4, ends8 = [nothing], [nothing] * 2, [nothing] * 4, [nothing] * (RUN - 8)
+    for c in range(int((end - begin).max()) if len(item) else 0):
+        row = np.minimum(begin + c, len(m) - 1)
+        inside = begin + c < end
+        for k in range(m.shape[1]):
+            at = np.where(inside, masks[item, m[row, k]], np.uint64(0))
+            u = v & at
+            v = ((v + u) | (v - u)) & full
+            u = w & (at >> shift)
+            w = ((w + u) | (w - u)) & tail_full
+            two = at & (ends1.pop(0) << one)
+            four = two & (ends2.pop(0) << np.uint64(2))
+            eight = four & (ends4.pop(0) << np.uint64(4))
+            run |= (eight & (ends8.pop(0) << np.uint64(RUN - 8))) != 0
+            ends1.append(at)
+            ends2.append(two)
+            ends4.append(four)
+            ends8.append(eight)
+    common = size - np.bitwise_count(v).astype(np.int64)
+    answered = 2 * (tail - np.bitwise_count(w).astype(np.int64)) >= tail
+    least = np.array([[needed(x), strong(x)] for x in range(65)])[size]
+    return np.where(run | (common >= least[:, 1]) | (common >= least[:, 0]) & answered, common, 0)
 
 
 HITS = "doc_id long, item_id long, position long, lcs_words long, item_words long, cosine double"
@@ -229,6 +287,7 @@ def _search(encoded: DataFrame, queries: Queries, weight: np.ndarray, basis: np.
         member = np.zeros((n + 1, len(items)), np.int8)
         for k, i in enumerate(items):
             member[i.words, k] = 1
+        masks = _masks(lists, n)
         # some window holds this many words of an item that matches, since windows overlap by half
         enough = (11 * np.minimum(size, PASSAGE - STEP // 2) // 20).astype(np.int8)
         for b in batches:
@@ -253,12 +312,16 @@ def _search(encoded: DataFrame, queries: Queries, weight: np.ndarray, basis: np.
                 passage, item, cosine = passage[near], item[near], cosine[near]
                 first = np.searchsorted(owner, owner)
                 last = np.searchsorted(owner, owner, "right")
-                for p, k, c in zip(passage.tolist(), item.tolist(), cosine.tolist(), strict=True):
-                    reach = -(-len(lists[k]) // STEP) + 1
-                    a, z = max(first[p], p - reach), min(last[p], p + 2 + reach)
-                    common = is_match(lists[k], m[a:z].ravel().tolist())
-                    if common:
-                        rows.append((ids[owner[p]], items[k].item_id, int(p - first[p]) * STEP, common, len(lists[k]), c))
+                reach = -(-size[item] // STEP) + 1
+                begin, end = np.maximum(first[passage], passage - reach), np.minimum(last[passage], passage + 2 + reach)
+                found, short = np.zeros(len(item), np.int64), np.flatnonzero(size[item] <= 64)
+                for at in np.split(short, range(CHUNK, len(short), CHUNK)):
+                    found[at] = _matches(m, begin[at], end[at], item[at], size[item[at]], masks)
+                for j in np.flatnonzero(size[item] > 64):
+                    found[j] = is_match(lists[item[j]], m[begin[j] : end[j]].ravel().tolist())
+                true = np.flatnonzero(found)
+                for p, k, c, common in zip(passage[true].tolist(), item[true].tolist(), cosine[true].tolist(), found[true].tolist(), strict=True):
+                    rows.append((ids[owner[p]], items[k].item_id, int(p - first[p]) * STEP, common, len(lists[k]), c))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.float64()], strict=True)], names=[x.split()[0] for x in HITS.split(", ")])
 

@@ -127,6 +127,24 @@ def test_decontamination_finds_planted_items(spark, sf_dir):
     assert {(10_000 + i, i) for i, _ in items} <= {(r.doc_id, r.item_id) for r in got}
 
 
+def test_decontamination_of_cut_and_replaced_items_against_brute_force(spark, sf_dir):
+    rng = random.Random(2)
+    docs = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()]
+    items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{sf_dir}/benchmark.parquet").to_pylist() if len(r["text"].split()) >= 25][:40]
+    items.append((-1, " ".join(f"long{k}" for k in range(90))))  # does not fit 64 bits
+    cuts = [lambda w: w[:-6], lambda w: w[: 7 * len(w) // 10], lambda w: w[6:], lambda w: [v if rng.random() > 0.2 else "qqq" for v in w]]
+    planted = []
+    for n, cut in enumerate(cuts):
+        for i, text in items:
+            around = docs[(7 * n + i) % len(docs)][1].split()
+            planted.append(((n + 1) * 100_000 + i, " ".join([*around[:50], *cut(text.split()), *around[50:90]])))
+    docs = docs[:60] + planted
+    got = {(r.doc_id, r.item_id) for r in decontamination.hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == decontamination.brute(docs, items)
+    assert {(n * 100_000 + i, i) for n in (1, 2, 3) for i, _ in items} <= got
+    assert sum((400_000 + i, i) in got for i, _ in items) >= 0.9 * len(items)
+
+
 @pytest.mark.parametrize(("module", "label", "folds", "held", "least"), [(quality_model, "quality", 4, 2, 0.95), (compression_toxicity, "toxic", 3, 1, 0.85)])
 def test_held_out_accuracy(spark, module, label, folds, held, least):
     sf = "/root/testdata/sf0.1"
