@@ -37,6 +37,27 @@ def latency_histogram(replies: DataFrame) -> DataFrame:
     return replies.groupBy("conversation_id", C.bucket(F.col("latency_ms"), C.LATENCIES, inclusive=False).alias("bucket")).agg(F.count("*").alias("reply_count"))
 
 
+def reply_quantiles(replies: DataFrame, shares: dict[str, float], width: int = 8192) -> DataFrame:
+    """The reply latency at rank floor(n * share) of each responder, by name, and the number of replies.
+
+    Equal latencies are counted first.  The bucket that holds the rank is found from the counts of
+    buckets of ``width`` milliseconds, and the value among that bucket's latencies only, so that no
+    task handles more rows of a responder than there are buckets or milliseconds in one.
+    """
+    values = replies.groupBy("responder", "latency_ms").agg(F.count("*").alias("c")).withColumn("bucket", F.floor(F.col("latency_ms") / width))
+    w = Window.partitionBy("responder")
+    running = lambda w: F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    buckets = values.groupBy("responder", "bucket").agg(F.sum("c").alias("c")).select("responder", "bucket", (running(w.orderBy("bucket")) - F.col("c")).alias("before"), "c", F.sum("c").over(w).alias("n"))
+    ranks = F.array(*(F.struct(F.lit(k).alias("share"), F.least(F.col("n") - 1, F.floor(F.col("n") * p)).alias("rank")) for k, p in shares.items()))
+    held = buckets.select("responder", "bucket", "before", "c", "n", F.inline(ranks)).filter("before <= rank and rank < before + c").drop("c")
+    inside = values.join(held, ["responder", "bucket"]).withColumn("upto", F.col("before") + running(Window.partitionBy("responder", "share").orderBy("latency_ms")))
+    return inside.filter("upto - c <= rank and rank < upto").groupBy("responder").agg(*(F.max(F.when(F.col("share") == k, F.col("latency_ms"))).alias(k) for k in shares), F.max("n").alias("n"))
+
+
+def latency_label(ms):
+    return F.when(ms.isNull(), "unknown").when(ms < 30_000, "very fast (<30s)").when(ms < 300_000, "quick (under 5m)").when(ms < 3_600_000, "moderate (minutes to an hour)").otherwise("slow (often hours+)")
+
+
 def active_hours(m: DataFrame) -> DataFrame:
     return m.groupBy("conversation_id", F.hour("ts").alias("hour"), (F.dayofweek("ts") - 1).alias("day_of_week"), "sender").agg(F.count("*").alias("message_count"))
 

@@ -113,7 +113,11 @@ events("flt03_participants", "select message_id from m where conversation_id not
     lambda m: summaries.participants_filter(m, m.filter("message_id % 2 = 0 and source = 'whatsapp'").select("conversation_id", F.col("sender").alias("participant"))).select("message_id")
 )
 events("per04_reply_quantiles", "select responder, (list_sort(list(latency_ms)))[least(count(*), (count(*) * 0.5)::int + case when (count(*) * 0.5)::int > count(*) * 0.5 then 0 else 1 end)] median_ms, count(*) n from r group by 1", REPLIES)(
-    lambda m: ordered.responses(m).groupBy("responder").agg(F.array_sort(F.collect_list("latency_ms")).alias("v"), F.count("*").alias("n")).select("responder", F.element_at("v", F.least(F.col("n"), F.floor(F.col("n") * 0.5) + 1).cast("int")).alias("median_ms"), "n")
+    lambda m: summaries.reply_quantiles(ordered.responses(m), {"median_ms": 0.5})
+)
+events("per04_reply_profile", """select *, case when median_ms < 30000 then 'very fast (<30s)' when median_ms < 300000 then 'quick (under 5m)' when median_ms < 3600000 then 'moderate (minutes to an hour)' else 'slow (often hours+)' end label from
+(select responder, v[least(n, floor(n * 0.5::double)::bigint + 1)] median_ms, v[least(n, floor(n * 0.9::double)::bigint + 1)] p90_ms, n from (select responder, list_sort(list(latency_ms)) v, count(*) n from r group by 1))""", REPLIES)(
+    lambda m: summaries.reply_quantiles(ordered.responses(m), {"median_ms": 0.5, "p90_ms": 0.9}).withColumn("label", summaries.latency_label(F.col("median_ms")))
 )
 
 # -- texts

@@ -54,3 +54,14 @@ def test_perfect_correlation(spark):
     m = spark.createDataFrame(rows, "sender string, ts string, compound double").withColumn("ts", F.col("ts").cast("timestamp"))
     (r,) = summaries.mood_correlation(m).collect()
     assert (r.sender1, r.sender2, r.shared_days, r.correlation) == ("A", "B", 6, 1.0)
+
+
+def test_reply_quantiles_without_a_list_of_replies(spark):
+    rows = [("a", (i * 7919) % 5000 + 1000) for i in range(997)] + [("b", 86_400_000)] + [("c", 1000 + 9000 * i) for i in range(10)]
+    replies = spark.createDataFrame(rows, "responder string, latency_ms long")
+    out = summaries.reply_quantiles(replies, {"median_ms": 0.5, "p90_ms": 0.9})
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    plan = registry.queries()["per04_reply_quantiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    by = {k: sorted(v for r, v in rows if r == k) for k in "abc"}
+    assert {r.responder: (r.median_ms, r.p90_ms, r.n) for r in out.collect()} == {k: (v[min(len(v) - 1, len(v) // 2)], v[min(len(v) - 1, int(len(v) * 0.9))], len(v)) for k, v in by.items()}
