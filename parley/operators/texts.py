@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +78,64 @@ def vector_top(vectors: DataFrame, query_id: int, k: int = 10, least: float = -1
     query = vectors.filter(F.col("vec_id") == query_id).select(F.col("embedding").alias("query")).limit(1)
     scored = vectors.filter(F.col("vec_id") != query_id).crossJoin(F.broadcast(query)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
     return scored.filter(F.col("score") >= least).orderBy(F.desc("score"), "vec_id").limit(k)
+
+
+QUERIES = 8192
+TOP = "query_id long, vec_id long, score double"
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """One row of length 1 (or 0) per vector."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out = flat.reshape(len(column), -1)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+
+def _top_of_part(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+    """For every query the k best rows of each task, by matrix products of fixed size."""
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, queries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = shared.value
+        none = np.int64(1) << 60
+        far, who = np.full((len(ids), k), none), np.full((len(ids), k), none)  # a million less the score's millionths; vec_id
+        for b in batches:
+            for at in range(0, len(b), 4096):
+                part = b.slice(at, 4096)
+                part = part.take(pa.array(np.argsort(part.column(0).to_numpy(), kind="stable")))
+                vec, m = part.column(0).to_numpy(), _matrix(part.column(1))
+                for q in range(0, len(ids), 256):
+                    rows = slice(q, q + 256)
+                    key = 1_000_000 - np.rint(queries[rows] @ m.T * 1e6).astype(np.int64)
+                    key[ids[rows, None] == vec] = none >> 20
+                    key = (key << 20) + np.arange(len(vec))
+                    if len(vec) > k:
+                        key = np.partition(key, k - 1, axis=1)[:, :k]
+                    own = (key >> 20) == none >> 20
+                    f = np.concatenate([far[rows], np.where(own, none, key >> 20)], 1)
+                    w = np.concatenate([who[rows], np.where(own, none, vec[key & 0xFFFFF])], 1)
+                    best = np.lexsort((w, f), axis=1)[:, :k]
+                    far[rows], who[rows] = np.take_along_axis(f, best, 1), np.take_along_axis(w, best, 1)
+        q, j = np.nonzero(far < none)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(who[q, j]), pa.array((1_000_000 - far[q, j]) / 1e6)], names=["query_id", "vec_id", "score"])
+
+    return vectors.mapInArrow(run, TOP)
+
+
+def vector_top_all(vectors: DataFrame, every: int = 20, k: int = 10) -> DataFrame:
+    """The k vectors closest to each whose id is divisible by ``every``, over all others, with their rank.
+
+    Queries are broadcast in blocks of about ``QUERIES``; each task keeps k rows a query.  Rows without
+    an id or a vector are left out; a vector of norm 0 scores 0.
+    """
+    vectors = vectors.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    asked = vectors.filter(F.col("vec_id") % every == 0)
+    blocks = max(1, -(-asked.count() // QUERIES))
+    found = vectors.sparkSession.createDataFrame([], TOP)
+    for i in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toArrow().combine_chunks()
+        if len(block):
+            ids = block["vec_id"].to_numpy()
+            found = found.unionByName(_top_of_part(vectors, ids, _matrix(block["embedding"].combine_chunks()), k))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -142,6 +142,12 @@ def per17_vector_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.vector_top(_table("embeddings")(spark, sf_dir), 0)
 
 
+@register("per17_vector_top_all", """select query_id, vec_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from
+(select q.vec_id query_id, v.vec_id, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 6) score from embeddings v join embeddings q on q.vec_id % 20 = 0 and v.vec_id != q.vec_id)) where rank <= 10""")
+def per17_vector_top_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts.vector_top_all(_table("embeddings")(spark, sf_dir))
+
+
 @register("win09_context_pairs", """with c as (select *, lag(role) over w pr, lag(text) over w pt from conversations window w as (partition by conv_id order by turn))
 select 'meta:c' || conv_id conversation_id, conv_id * 1000 + turn message_id, pt context, text reply from c where role != pr and role != 'system' and pr != 'system'""")
 def win09_context_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Every query with SQL gives the same rows as DuckDB, and hand-made cases give known results."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parley.operators import ordered, summaries
+from parley.operators import ordered, summaries, texts
 from parley.plans import registry
 
 MIN = 60_000
@@ -65,3 +66,19 @@ def test_reply_quantiles_without_a_list_of_replies(spark):
     assert "collect_list" not in plan
     by = {k: sorted(v for r, v in rows if r == k) for k in "abc"}
     assert {r.responder: (r.median_ms, r.p90_ms, r.n) for r in out.collect()} == {k: (v[min(len(v) - 1, len(v) // 2)], v[min(len(v) - 1, int(len(v) * 0.9))], len(v)) for k, v in by.items()}
+
+
+def test_vector_search_of_all_queries_with_ties(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=(150, 8)), np.ones((60, 8)), np.zeros((3, 8))]).astype(np.float32)
+    ids = rng.permutation(len(v)).tolist()
+    monkeypatch.setattr(texts, "QUERIES", 4)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<float>").repartition(5)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in texts.vector_top_all(df, 20, 7).collect()}
+    unit = v.astype(float) / np.maximum(np.linalg.norm(v.astype(float), axis=1, keepdims=True), 1e-300)
+    want = {}
+    for i, x in zip(ids, unit, strict=True):
+        if i % 20 == 0:
+            near = sorted((-round(float(y @ x), 6), j) for j, y in zip(ids, unit, strict=True) if j != i)[:7]
+            want |= {(i, n + 1): (j, -s) for n, (s, j) in enumerate(near)}
+    assert got == want
