@@ -5,20 +5,23 @@ shingle flips one of 2**32 bits of its part.  Shingles that two texts share canc
 distance of two sketches never exceeds the symmetric difference of their sets.  Texts whose Jaccard
 similarity reaches the threshold differ in at most D shingles, D growing with the size band, so of
 P > D parts at least P - D agree.  A part is kept as the XOR of the mixed positions of its set
-bits; texts are joined on (band, part, that word).  Parts of fewer than two shingles say little
-and are left out wherever enough others remain to keep the guarantee.
-
-Texts that share a part form families (connected components).  Inside a family all pairs are
-tested, in blocks of ``BLOCK`` by ``BLOCK`` members at most: sizes, then the Hamming distance of
-short dense sketches against D, then the sets themselves.  A pair already connected is not tested
-again, and only a spanning forest of true links leaves a block, so results stay linear.  Texts with
-the same set are one member from the start, and equal parts met in one task are linked there before
-the shuffle, so a part shared by a third of all rows arrives as one row per task.
+bits; texts are joined on (band, part, that word).  All texts rank their parts in one order, by the
+number of shingles in them, and a text that can differ from a partner in d shingles joins on its
+first d + 1: of so many one must agree, and parts of few shingles, which say little, stay out.
+
+Every candidate is verified before it closes anything.  Texts that share a word are tested in pairs,
+by size, by the Hamming distance of short dense sketches, and then by the sets themselves, which are
+fetched only for pairs that pass.  A word that more than ``SMALL`` texts share is tested against its
+first text only; where its texts are then still in several components, these are compared in blocks
+of ``BLOCK`` texts by their dense sketches, and pairs that pass are verified, a forest of them first
+and the rest once no more components join.  So a large group of near copies costs a number of
+verifications in proportion to its size.  Texts with the same set are one from the start.
 
 Defined results for odd input: a null, empty or blank text has an empty set and is linked with
 nothing; a text of fewer than ``k`` words is one shingle; rows that share a doc_id are separate
 texts of the same id; a null doc_id never names a component unless all its members have none; an
-empty table gives an empty table; extra columns are ignored.
+empty table gives an empty table; extra columns are ignored (``keep_first`` keeps them, whatever
+their names).
 """
 
 from __future__ import annotations
@@ -33,10 +36,11 @@ from pyspark.sql import functions as F
 
 from parley.llm import textbytes as tb
 from parley.llm.components import components
-from parley.llm.storage import stored
+from parley.llm.storage import drop, spread_join, stored
 
-BLOCK = 512
-DENSE_BITS = 512
+SMALL = 32
+BLOCK = 1024
+DENSE_WORDS = 8
 _PART = np.uint64(0xA0761D6478BD642F)
 
 
@@ -56,7 +60,7 @@ class Rule(NamedTuple):
     def band_starts(self, most: int) -> list[int]:
         out = [1]
         while out[-1] <= most:
-            out.append(max(out[-1] + 1, out[-1] * 13 // 10))
+            out.append(max(out[-1] + 1, out[-1] * 8 // 5))
         return out
 
 
@@ -75,9 +79,10 @@ def shingles(docs: tb.Docs, k: int) -> Iterator[np.ndarray]:
 
 
 def part_words(s: np.ndarray, start: int, most: int, rule: Rule) -> np.ndarray:
-    """The join keys of a set for the band of sizes start..most."""
-    d = rule.most_apart(2 * most)
-    parts = 1 if not d else (d + 1) * 6 // 5 + 1
+    """The join keys of a set for pairs whose larger set has start..most elements."""
+    band = rule.most_apart(2 * most)
+    needed = rule.most_apart(len(s) + min(most, 100 * len(s) // rule.percent)) + 1
+    parts = band * 13 // 10 + 6 if band else 1
     bit = tb.mix(s ^ np.uint64(start * 2654435761))
     part = ((bit >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(part, kind="stable")
@@ -86,11 +91,9 @@ def part_words(s: np.ndarray, start: int, most: int, rule: Rule) -> np.ndarray:
     begin = np.cumsum(count[used]) - count[used]
     word = np.zeros(parts, np.uint64)
     word[used] = np.bitwise_xor.reduceat(tb.mix((bit & np.uint64(0xFFFFFFFF)) + _PART)[order], begin)
-    for least in (2, 1, 0):
-        chosen = np.flatnonzero(count >= least)
-        if len(chosen) > d:
-            break
-    return tb.mix(word[chosen] ^ tb.mix(chosen.astype(np.uint64) + np.uint64(start << 24)))
+    key = tb.mix(word ^ tb.mix(np.arange(parts, dtype=np.uint64) + np.uint64(start << 24)))
+    # equal keys have equal counts, so this order is the same for all sets
+    return key[np.lexsort((key, -count))[:needed]]
 
 
 def keys(s: np.ndarray, starts: list[int], rule: Rule) -> np.ndarray:
@@ -107,49 +110,95 @@ def signature(s: np.ndarray) -> int:
     return int(tb.mix(np.atleast_1d(np.add.reduce(tb.mix(s)) + np.uint64(len(s))))[0].astype(np.int64))
 
 
-def link_equal_keys(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of (key, node): the first node of each key, and edges from it to the others."""
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
-    first = np.repeat(node[new], np.diff(np.append(np.flatnonzero(new), len(key))))
-    apart = first != node
-    return np.stack([key[new], node[new]]), np.unique(np.stack([first[apart], node[apart]]), axis=1)
+def dense_sketch(s: np.ndarray) -> np.ndarray:
+    bits = 64 * DENSE_WORDS
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _batch(names: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names.split())
 
 
-def _rows(kind: int, a, b, n) -> pa.RecordBatch:
-    size = len(a)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["kind", "a", "b", "n"])
+def _text_key():
+    return F.xxhash64("text").alias("tsig")
 
 
 def _sized(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, signature of the set and its size."""
+    """doc_id, text hash, signature of the set, its size and its dense sketch (null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in tb.text_slices(b.column(1)):
-                found = [(signature(s) if len(s) else 0, len(s)) for s in shingles(part, rule.k)]
-                sigs, sizes = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0)[part.first : part.first + len(part)], pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "sig", "n_shingles"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig long, n_shingles long")
-
-
-def _rows(met: bool, pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(pairs.shape[1], met)), pa.array(pairs[0]), pa.array(pairs[1])], names=["met", "a", "b"])
-
+            for part in tb.text_slices(b.column(2)):
+                sets = list(shingles(part, rule.k))
+                rows = slice(part.first, part.first + len(part))
+                sketch = pa.array([dense_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))
+                columns = [b.column(0)[rows], b.column(1)[rows], pa.array([signature(s) if len(s) else 0 for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), sketch]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tsig", "sig", "n_shingles", "sketch"])
+
+    return docs.select("doc_id", _text_key(), "text").mapInArrow(run, "doc_id long, tsig long, sig long, n_shingles long, sketch array<long>")
+
+
+def _pairs_within(node: np.ndarray, begin: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """All pairs (smaller first) inside groups of ``SMALL`` nodes at most."""
+    out = [np.zeros((2, 0), np.int64)]
+    for m in np.unique(size[size > 1]).tolist():
+        rows = node[begin[size == m][:, None] + np.arange(m)]
+        i, j = np.triu_indices(m, 1)
+        out.append(np.stack([rows[:, i].ravel(), rows[:, j].ravel()]))
+    return out
 
-def _candidates(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Edges (a, b) between sets that share a key.
 
-    A task links the sets whose keys meet in it and passes one row for each key on, so the shuffle
-    carries a common key once per task; the keys are not written anywhere else.
-    """
+class _Meeting:
+    """Rows of (key, node) in order become pairs, and for keys of many nodes also memberships."""
+
+    def __init__(self):
+        self.key, self.node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.open: tuple[int, int] | None = None  # a key of many nodes that may go on, and its first node
+        self.pairs: list[np.ndarray] = []
+        self.held = 0
+
+    def _note(self, pairs: list[np.ndarray]) -> None:
+        self.pairs += pairs
+        self.held += sum(p.shape[1] for p in pairs)
+
+    def _large(self, key: int, nodes: np.ndarray) -> pa.RecordBatch:
+        first = self.open[1] if self.open and self.open[0] == key else int(nodes[0])
+        self.open = (key, first)
+        self._note([np.stack([np.full(len(nodes), first), nodes])[:, nodes != first]])
+        return _batch("kind a b", np.ones(len(nodes), np.int32), np.full(len(nodes), key), nodes)
+
+    def add(self, key: np.ndarray, node: np.ndarray, last: bool = False) -> Iterator[pa.RecordBatch]:
+        key, node = np.concatenate([self.key, key]), np.concatenate([self.node, node])
+        fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)]
+        key, node = key[fresh], node[fresh]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        size = np.diff(np.append(begin, len(key)))
+        if len(begin) and not last and size[-1] <= SMALL and not (self.open and self.open[0] == key[-1]):
+            self.key, self.node = key[begin[-1] :], node[begin[-1] :]  # may go on
+            begin, size = begin[:-1], size[:-1]
+        else:
+            self.key, self.node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        large = size > SMALL
+        if len(begin) and self.open:
+            large[0] |= key[begin[0]] == self.open[0]
+        for g in np.flatnonzero(large).tolist():
+            yield self._large(int(key[begin[g]]), node[begin[g] : begin[g] + size[g]])
+        self._note(_pairs_within(node, begin[~large], size[~large]))
+        if self.held > 1 << 19 or last:
+            found = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *self.pairs], axis=1), axis=1)
+            self.pairs, self.held = [], 0
+            yield _batch("kind a b", np.zeros(found.shape[1], np.int32), found[0], found[1])
+
+
+def _met(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Kind 0: pairs a < b of sets that share a key; kind 1: key a is shared by many sets, b among them."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, seen, held, nodes = [1], set(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        starts, seen = [1], set()
         for b in batches:
             for part in tb.text_slices(b.column(0)):
+                held, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for s in shingles(part, rule.k):
                     sig = signature(s) if len(s) else 0
                     if len(s) and sig not in seen:
@@ -158,128 +207,192 @@ def _candidates(docs: DataFrame, rule: Rule) -> DataFrame:
                             starts = rule.band_starts(4 * len(s) + 4)
                         held.append(keys(s, starts, rule))
                         nodes.append(np.full(len(held[-1]), sig, np.int64))
-        alone, edges = link_equal_keys(np.concatenate(held).astype(np.int64), np.concatenate(nodes))
-        yield _rows(False, alone)
-        yield _rows(True, edges)
+                if len(seen) > 1 << 20:  # copies are also found behind the shuffle
+                    seen.clear()
+                yield _batch("key node", np.concatenate(held).view(np.int64), np.concatenate(nodes))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, out = [], []
+        m = _Meeting()
         for b in batches:
-            met, pairs = b.column(0).to_numpy(zero_copy_only=False), np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()])
-            parts.append(pairs[:, ~met])
-            out.append(pairs[:, met])
-        if parts:
-            out.append(link_equal_keys(*np.concatenate(parts, axis=1))[1])
-        edges = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], names=["a", "b"])
+            yield from m.add(b.column(0).to_numpy(), b.column(1).to_numpy())
+        none = np.zeros(0, np.int64)
+        yield from m.add(none, none, last=True)
 
-    rows = docs.select("text").mapInArrow(sketch, "met boolean, a long, b long")
-    return rows.repartition("a").mapInArrow(meet, "a long, b long")
+    rows = docs.select("text").mapInArrow(sketch, "key long, node long")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "kind int, a long, b long")
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def _near(rule: Rule) -> str:
+    """SQL: whether sets of na and nb elements with sketches sa and sb may be linked."""
+    apart = "aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
+    return f"100 * least(na, nb) >= {rule.percent} * greatest(na, nb) and {apart} <= (na + nb) * {100 - rule.percent} div {100 + rule.percent}"
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
 
-    def join(self, i: int, j: int) -> None:
-        self.up[self.root(i)] = self.root(j)
+def _tested(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that pass by size and sketch."""
+    for x in "ab":
+        pairs = pairs.join(nodes.select(F.col("sig").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
+    return pairs.filter(_near(rule)).select("a", "b")
 
 
-def dense_sketch(s: np.ndarray) -> np.ndarray:
-    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % DENSE_BITS, minlength=DENSE_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose sets are similar enough; each set's text is fetched once and sent to its pairs."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(nodes.select("sig", "rep"), "sig")
+    keyed = docs.select(*_row_key("doc_id", _text_key()), "text")
+    texts = keyed.join(named.select("sig", F.col("rep.nul").alias("nul"), F.col("rep.idk").alias("idk"), F.col("rep.tsig").alias("tsig")).hint("shuffle_hash"), ["nul", "idk", "tsig"])
+    texts = texts.groupBy("sig").agg(F.any_value("text").alias("text"))  # a row may stand there twice
+    whole = pairs.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("sig").alias("b"), F.col("text").alias("tb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = [batch.column(i).to_numpy() for i in (0, 1)]
+            both = np.concatenate(sigs)
+            _, first, back = np.unique(both, return_index=True, return_inverse=True)
+            column = pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(first))
+            sets = [s for part in tb.text_slices(column) for s in shingles(part, rule.k)]
+            left, right = np.split(back, 2)
+            good = [rule.linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j])) for i, j in zip(left.tolist(), right.tolist(), strict=True)]
+            keep = np.array(good, bool)
+            yield _batch("a b", sigs[0][keep], sigs[1][keep])
+
+    return whole.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def true_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
-    """A spanning forest of the links between members of ``left`` and of ``right``."""
-    sketch, size = np.stack([dense_sketch(s) for s in sets]), np.array([len(s) for s in sets])
-    pairs, forest, out = [], _Forest(len(sets)), []
+class _Forest:
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether i and j were apart; from now on they are not."""
+        ends = []
+        for x in (i, j):
+            while (y := self.up.get(x, x)) != x:
+                self.up[x] = x = self.up.get(y, y)
+            ends.append(x)
+        self.up[ends[0]] = ends[1]
+        return ends[0] != ends[1]
+
+
+def near_pairs(sig: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray, left: np.ndarray, right: np.ndarray, rule: Rule, forest: bool) -> list[tuple[int, int]]:
+    """Pairs from ``left`` and ``right`` of different roots that pass by size and sketch, or a forest of them."""
+    found, joined = [], _Forest()
+    same = len(left) == len(right) and (left == right).all()
     for i in left.tolist():
-        others = right[right > i] if len(left) == len(right) and (left == right).all() else right
-        if not len(others):
-            continue
+        others = right[right > i] if same else right
+        others = others[root[others] != root[i]]
         apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1, dtype=np.int64)
         near = apart <= (size[i] + size[others]) * (100 - rule.percent) // (100 + rule.percent)
         near &= 100 * np.minimum(size[i], size[others]) >= rule.percent * np.maximum(size[i], size[others])
-        pairs += zip(apart[near].tolist(), [i] * int(near.sum()), others[near].tolist(), strict=True)
-    for _, i, j in sorted(pairs):
-        if forest.root(i) != forest.root(j):
-            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if rule.linked(shared, len(sets[i]), len(sets[j])):
-                forest.join(i, j)
-                out.append((i, j))
-    return out
-
-
-def _verified(members: DataFrame, rule: Rule) -> DataFrame:
-    """True links (a forest of them) inside each family; members: family, size, sig, text."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("sig"), blocks).cast("int")
+        found += zip(apart[near].tolist(), [i] * int(near.sum()), others[near].tolist(), strict=True)
+    if forest:
+        found = [x for x in sorted(found) if joined.join(int(root[x[1]]), int(root[x[2]]))]
+    return [(min(a, b), max(a, b)) for a, b in ((int(sig[i]), int(sig[j])) for _, i, j in found)]
+
+
+def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, rule: Rule, forest: bool) -> DataFrame:
+    """Pairs of members (key, sig) of one key that are in different components and pass by sketch."""
+    rooted = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    mixed = rooted.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = rooted.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    rows = rows.join(nodes.select("sig", "n_shingles", "sketch"), "sig")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
+    dealt = rows.select("key", F.explode(cells).alias("cell"), "own", "sig", "root", "n_shingles", "sketch").select("key", "cell.i", "cell.j", "own", "sig", "root", "n_shingles", "sketch")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def test(rows: pa.Table) -> pa.RecordBatch:
+        own, sig, root, size = (rows.column(c).to_numpy() for c in ("own", "sig", "root", "n_shingles"))
+        sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(own), DENSE_WORDS)
+        left, right = np.flatnonzero(own == rows.column("i")[0].as_py()), np.flatnonzero(own == rows.column("j")[0].as_py())
+        found = near_pairs(sig, root, size, sketch, left, right, rule, forest)
+        return _batch("a b", *np.array(found, np.int64).reshape(-1, 2).T)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
         for b in batches:
-            for part in tb.text_slices(b.column(4)):
-                made = pa.array([s.tobytes() for s in shingles(part, rule.k)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(b.column(i)[part.first : part.first + len(part)] for i in range(4)), made], names=["family", "blocks", "own", "sig", "hashes"])
+            cell = np.stack([b.column(i).to_numpy() for i in range(3)])
+            cuts = np.concatenate([[0], np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1, [b.num_rows]]) if b.num_rows else [0]
+            for x, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if now != (now := tuple(cell[:, x].tolist())) and held:
+                    yield test(pa.Table.from_batches(held))
+                    held = []
+                held.append(b.slice(x, z - x))
+        if held:
+            yield test(pa.Table.from_batches(held))
 
-    made = members.select("family", blocks.alias("blocks"), own.alias("own"), "sig", "text").mapInArrow(sets, "family long, blocks int, own int, sig long, hashes binary")
-    dealt = made.select("family", F.explode(cells).alias("cell"), "own", "sig", "hashes").select("family", "cell.i", "cell.j", "own", "sig", "hashes")
-    dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "own", "sig")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
-    def test(rows: list[tuple]) -> list[tuple[int, int]]:
-        _, i, j, own, sig, hashes = zip(*rows, strict=True)
-        found = [np.frombuffer(h, np.uint64) for h in hashes]
-        own = np.array(own)
-        left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
-        return [(sig[a], sig[b]) for a, b in true_links(found, left, right, rule)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, now, out = [], None, []
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[:3] != now:
-                    out += test(group) if group else []
-                    group, now = [], row[:3]
-                group.append(row)
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
-                out = []
-        out += test(group) if group else []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+def _row_key(doc_id: str, *more) -> list:
+    """Columns without nulls that tell rows of different ids apart."""
+    return [F.col(doc_id).isNull().alias("nul"), F.coalesce(F.col(doc_id), F.lit(0)).cast("long").alias("idk"), *more]
+
 
-    return dealt.mapInArrow(run, "a long, b long")
+class Classes(NamedTuple):
+    sized: DataFrame  # doc_id, tsig, sig, n_shingles, sketch of every row
+    classes: DataFrame  # sig, root of every set that is not empty
+    nodes: DataFrame  # sig, n_shingles, sketch, first, rep (nul, idk, tsig) of every set that is not empty
+
+
+def _classes(docs: DataFrame, rule: Rule) -> Classes:
+    sized = stored(_sized(docs, rule), "sizes")
+    row = F.struct(*_row_key("doc_id", F.col("tsig")))
+    nodes = sized.filter("n_shingles > 0").groupBy("sig").agg(F.any_value("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch"), F.min("doc_id").alias("first"), F.min(row).alias("rep"))
+    nodes = stored(nodes, "nodes")
+    met = stored(_met(docs, rule), "met")
+    tried = stored(_tested(met.filter("kind = 0").select("a", "b").distinct(), nodes, rule), "tried")
+    links = stored(_linked(tried, nodes, docs, rule), "links")
+    members = stored(met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sig")), "members")
+    drop(met)
+    roots = components(links)
+    forest = not members.isEmpty()
+    rest = forest
+    while rest:
+        fresh = stored(_across(members, nodes, roots, rule, forest).join(tried, ["a", "b"], "left_anti"), "fresh")
+        if fresh.isEmpty():
+            rest = forest  # after the last forest all pairs that are left, once
+            forest = False
+            drop(fresh)
+            continue
+        more = stored(_linked(fresh, nodes, docs, rule), "links")
+        old = [tried, links, fresh, more, roots]
+        tried, links = stored(tried.unionByName(fresh), "tried"), stored(links.unionByName(more), "links")
+        roots = components(links)
+        for t in old:
+            drop(t)
+        rest = forest
+    classes = stored(nodes.select("sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root")), "classes")
+    for t in (tried, links, members, roots):
+        drop(t)
+    return Classes(sized, classes, nodes)
 
 
 def join(df: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id for every row of df."""
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    sized = stored(_sized(docs, rule), "sizes")
-    families = stored(components(_candidates(docs, rule)), "families")
-    firsts = stored(sized.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("first")), "firsts")
-    sizes = families.groupBy("root").agg(F.count("*").alias("size"))
-    members = families.join(sizes, "root").join(firsts.withColumnRenamed("sig", "node"), "node").select(F.col("root").alias("family"), "size", F.col("node").alias("sig"), "first")
-    texts = docs.join(members.hint("shuffle_hash"), F.col("doc_id") == F.col("first")).select("family", "size", "sig", "text")
-    linked = components(_verified(texts, rule))
-    classes = firsts.join(linked.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first", F.coalesce("root", "sig").alias("class"))
-    least = classes.groupBy("class").agg(F.min("first").alias("component_id"))
-    named = classes.join(least, "class").select("sig", "component_id")
+    sized, classes, nodes = _classes(docs, rule)
+    named = classes.join(nodes.select("sig", "first"), "sig")
+    named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("sig", "component_id")
     alone = sized.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    return sized.filter("n_shingles > 0").join(named, "sig").select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
+    linked = spread_join(sized.filter("n_shingles > 0").select("doc_id", "n_shingles", "sig"), named, "sig")
+    return linked.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
 
 
 def keep_first(df: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df whose doc_id names their component; rows without an id stay.
+    """One row of df of each component, that of the least doc_id (rows without an id come last).
 
-    Of rows that share a doc_id one stays.
+    Of different texts that share this id the one of least hash stays, and of equal rows one.  Rows
+    with an empty set are linked with nothing and all stay.
     """
-    found = join(df, rule, doc_id, text)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = df.filter(F.col(f"`{doc_id}`").isNotNull()).dropDuplicates([doc_id])
-    return named.join(kept, F.col(f"`{doc_id}`") == F.col("__kept"), "left_semi").unionByName(df.filter(F.col(f"`{doc_id}`").isNull()))
+    names = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    rows = df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    docs = rows.select(F.col(names[doc_id]).cast("long").alias("doc_id"), F.col(names[text]).cast("string").alias("text"))
+    _, classes, nodes = _classes(docs, rule)
+    kept = classes.join(nodes.select("sig", "rep"), "sig").groupBy("root").agg(F.min("rep").alias("rep")).select("rep.*")
+    tsig = F.xxhash64(F.col(names[text]).cast("string")).alias("tsig")
+    keyed = rows.select(*_row_key(names[doc_id], tsig), *names.values())
+    one = keyed.join(kept, ["nul", "idk", "tsig"], "left_semi").dropDuplicates(["nul", "idk", "tsig"])
+    blank = ~F.coalesce(F.col(names[text]).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    whole = one.unionByName(keyed.filter(blank))
+    return whole.select(*names.values()).toDF(*df.columns)

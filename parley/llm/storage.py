@@ -1,7 +1,8 @@
-"""Where intermediate tables go.
+"""Where intermediate tables go, and joins that a frequent key does not slow down.
 
 Lineage is cut by writing to the folder that ``spark.checkpoint.dir`` names, which the driver and
-every executor share.  Only where it is unset, as on a laptop, a temporary folder is made.
+every executor share.  Only a local session, as in tests, may leave it unset and gets a temporary
+folder; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -10,11 +11,19 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key of more than ``HOT`` rows is dealt to ``SALTS`` tasks; at most ``HOT_KEYS`` keys are.
+HOT = 1000
+HOT_KEYS = 1000
+SALTS = 64
 
 
 def shared_folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -34,3 +43,22 @@ def drop(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` on ``key``; no column of rows but the key may be in table.
+
+    Rows of the most frequent keys are dealt to ``SALTS`` tasks, and the table's rows of these keys are
+    copied to each.  ``counts`` (key, n) may give the frequencies if they are known; the keys that are
+    broadcast are ``HOT_KEYS`` at most.
+    """
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    hot = counts.filter(F.col("n") > HOT).orderBy(F.desc("n"), key).limit(HOT_KEYS).select(key, F.lit(True).alias("__hot"))
+    hot = F.broadcast(hot)
+    others = [c for c in rows.columns if c != key]
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = rows.join(hot, key, "left").withColumn("__salt", salt).drop("__hot")
+    copies = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    copied = table.join(hot, key, "left").withColumn("__salt", copies).drop("__hot")
+    return dealt.join(copied, [key, "__salt"], how).drop("__salt")
