@@ -11,10 +11,10 @@ first d + 1: of so many one must agree, and parts of few shingles, which say lit
 
 Every candidate is verified before it closes anything.  Texts that share a word are tested in pairs,
 by size, by the Hamming distance of short dense sketches, and then by the sets themselves, which are
-fetched only for pairs that pass.  A word that more than ``SMALL`` texts share is tested against its
-first text only; where its texts are then still in several components, these are compared in blocks
-of ``BLOCK`` texts by their dense sketches, and pairs that pass are verified, a forest of them first
-and the rest once no more components join.  So a large group of near copies costs a number of
+fetched only for pairs that pass.  Of a word that more than ``SMALL`` texts share, each text is first
+tested against one; where some are not linked with that one, these are compared with the rest in
+blocks of ``BLOCK`` texts by their dense sketches.  A forest of the pairs that pass is verified, and
+only where one of its pairs fails, all of them.  So a large group of near copies costs a number of
 verifications in proportion to its size.  Texts with the same set are one from the start.
 
 Defined results for odd input: a null, empty or blank text has an empty set and is linked with
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import textbytes as tb
 from parley.llm.components import components
-from parley.llm.storage import drop, spread_join, stored
+from parley.llm.storage import scratch, spread_join, stored
 
 SMALL = 32
 BLOCK = 1024
@@ -166,7 +166,7 @@ class _Meeting:
         first = self.open[1] if self.open and self.open[0] == key else int(nodes[0])
         self.open = (key, first)
         self._note([np.stack([np.full(len(nodes), first), nodes])[:, nodes != first]])
-        return _batch("kind a b", np.ones(len(nodes), np.int32), np.full(len(nodes), key), nodes)
+        return _batch("key a b", np.full(len(nodes), key), np.full(len(nodes), first), nodes)
 
     def add(self, key: np.ndarray, node: np.ndarray, last: bool = False) -> Iterator[pa.RecordBatch]:
         key, node = np.concatenate([self.key, key]), np.concatenate([self.node, node])
@@ -188,11 +188,11 @@ class _Meeting:
         if self.held > 1 << 19 or last:
             found = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *self.pairs], axis=1), axis=1)
             self.pairs, self.held = [], 0
-            yield _batch("kind a b", np.zeros(found.shape[1], np.int32), found[0], found[1])
+            yield pa.RecordBatch.from_arrays([pa.nulls(found.shape[1], pa.int64()), pa.array(found[0]), pa.array(found[1])], names=["key", "a", "b"])
 
 
 def _met(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Kind 0: pairs a < b of sets that share a key; kind 1: key a is shared by many sets, b among them."""
+    """Pairs (a, b) of sets that share a key (null) or, of a key that many sets share, its first set and each (key, a, b)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, seen = [1], set()
@@ -219,7 +219,7 @@ def _met(docs: DataFrame, rule: Rule) -> DataFrame:
         yield from m.add(none, none, last=True)
 
     rows = docs.select("text").mapInArrow(sketch, "key long, node long")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "kind int, a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "key long, a long, b long")
 
 
 def _near(rule: Rule) -> str:
@@ -273,39 +273,38 @@ class _Forest:
         return ends[0] != ends[1]
 
 
-def near_pairs(sig: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray, left: np.ndarray, right: np.ndarray, rule: Rule, forest: bool) -> list[tuple[int, int]]:
-    """Pairs from ``left`` and ``right`` of different roots that pass by size and sketch, or a forest of them."""
+def near_pairs(sig: np.ndarray, group: np.ndarray, size: np.ndarray, sketch: np.ndarray, left: np.ndarray, right: np.ndarray, rule: Rule, forest: bool) -> list[tuple[int, int]]:
+    """Pairs from ``left`` and ``right`` of different groups that pass by size and sketch, or a forest of them."""
     found, joined = [], _Forest()
     same = len(left) == len(right) and (left == right).all()
     for i in left.tolist():
         others = right[right > i] if same else right
-        others = others[root[others] != root[i]]
+        others = others[group[others] != group[i]]
         apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1, dtype=np.int64)
         near = apart <= (size[i] + size[others]) * (100 - rule.percent) // (100 + rule.percent)
         near &= 100 * np.minimum(size[i], size[others]) >= rule.percent * np.maximum(size[i], size[others])
         found += zip(apart[near].tolist(), [i] * int(near.sum()), others[near].tolist(), strict=True)
     if forest:
-        found = [x for x in sorted(found) if joined.join(int(root[x[1]]), int(root[x[2]]))]
+        found = [x for x in sorted(found) if joined.join(int(group[x[1]]), int(group[x[2]]))]
     return [(min(a, b), max(a, b)) for a, b in ((int(sig[i]), int(sig[j])) for _, i, j in found)]
 
 
-def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, rule: Rule, forest: bool) -> DataFrame:
-    """Pairs of members (key, sig) of one key that are in different components and pass by sketch."""
-    rooted = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    mixed = rooted.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+def _across(members: DataFrame, nodes: DataFrame, rule: Rule, forest: bool) -> DataFrame:
+    """Pairs (key, a, b) of members (key, sig, group) of one key and different groups that pass by sketch."""
+    mixed = members.groupBy("key").agg(F.count("*").alias("m"), F.min("group").alias("low"), F.max("group").alias("high")).filter("low != high")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rooted.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    rows = members.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     rows = rows.join(nodes.select("sig", "n_shingles", "sketch"), "sig")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    dealt = rows.select("key", F.explode(cells).alias("cell"), "own", "sig", "root", "n_shingles", "sketch").select("key", "cell.i", "cell.j", "own", "sig", "root", "n_shingles", "sketch")
+    dealt = rows.select("key", F.explode(cells).alias("cell"), "own", "sig", "group", "n_shingles", "sketch").select("key", "cell.i", "cell.j", "own", "sig", "group", "n_shingles", "sketch")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def test(rows: pa.Table) -> pa.RecordBatch:
-        own, sig, root, size = (rows.column(c).to_numpy() for c in ("own", "sig", "root", "n_shingles"))
+        own, sig, group, size = (rows.column(c).to_numpy() for c in ("own", "sig", "group", "n_shingles"))
         sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(own), DENSE_WORDS)
         left, right = np.flatnonzero(own == rows.column("i")[0].as_py()), np.flatnonzero(own == rows.column("j")[0].as_py())
-        found = near_pairs(sig, root, size, sketch, left, right, rule, forest)
-        return _batch("a b", *np.array(found, np.int64).reshape(-1, 2).T)
+        found = near_pairs(sig, group, size, sketch, left, right, rule, forest)
+        return _batch("key a b", np.full(len(found), rows.column("key")[0].as_py(), np.int64), *np.array(found, np.int64).reshape(-1, 2).T)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -321,7 +320,7 @@ def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, rule: Rule,
         if held:
             yield test(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "key long, a long, b long")
 
 
 def _row_key(doc_id: str, *more) -> list:
@@ -335,39 +334,40 @@ class Classes(NamedTuple):
     nodes: DataFrame  # sig, n_shingles, sketch, first, rep (nul, idk, tsig) of every set that is not empty
 
 
+@scratch
 def _classes(docs: DataFrame, rule: Rule) -> Classes:
     sized = stored(_sized(docs, rule), "sizes")
     row = F.struct(*_row_key("doc_id", F.col("tsig")))
     nodes = sized.filter("n_shingles > 0").groupBy("sig").agg(F.any_value("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch"), F.min("doc_id").alias("first"), F.min(row).alias("rep"))
     nodes = stored(nodes, "nodes")
     met = stored(_met(docs, rule), "met")
-    tried = stored(_tested(met.filter("kind = 0").select("a", "b").distinct(), nodes, rule), "tried")
-    links = stored(_linked(tried, nodes, docs, rule), "links")
-    members = stored(met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sig")), "members")
-    drop(met)
-    roots = components(links)
-    forest = not members.isEmpty()
-    rest = forest
-    while rest:
-        fresh = stored(_across(members, nodes, roots, rule, forest).join(tried, ["a", "b"], "left_anti"), "fresh")
-        if fresh.isEmpty():
-            rest = forest  # after the last forest all pairs that are left, once
-            forest = False
-            drop(fresh)
-            continue
-        more = stored(_linked(fresh, nodes, docs, rule), "links")
-        old = [tried, links, fresh, more, roots]
-        tried, links = stored(tried.unionByName(fresh), "tried"), stored(links.unionByName(more), "links")
-        roots = components(links)
-        for t in old:
-            drop(t)
-        rest = forest
-    classes = stored(nodes.select("sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root")), "classes")
-    for t in (tried, links, members, roots):
-        drop(t)
-    return Classes(sized, classes, nodes)
-
-
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
+    tried = stored(_tested(pairs, nodes, rule), "tried")
+    links = [stored(_linked(tried, nodes, docs, rule), "links")]
+    members = met.filter("key is not null")
+    if not members.isEmpty():
+        # the sets linked with a key's first set are one group, any other is its own
+        direct = links[0].select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links[0].select(F.col("b").alias("x"), F.col("a").alias("y")))
+        near = members.join(direct, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left")
+        members = stored(near.select("key", F.col("b").alias("sig"), F.when(F.col("x").isNotNull() | (F.col("a") == F.col("b")), F.col("a")).otherwise(F.col("b")).alias("group")), "members")
+        for forest in (True, False):
+            found = stored(_across(members, nodes, rule, forest), "found")
+            fresh = stored(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
+            links.append(stored(_linked(fresh, nodes, docs, rule), "links"))
+            known = links[0].unionByName(links[-1])
+            # where all of a forest holds, its key has no other components; elsewhere every pair is verified
+            members = members.join(found.join(known, ["a", "b"], "left_anti").select("key").distinct(), "key", "left_semi")
+            tried = tried.unionByName(fresh)
+            if members.isEmpty():
+                break
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    roots = components(every)
+    return Classes(sized, stored(nodes.select("sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root")), "classes"), nodes)
+
+
+@scratch
 def join(df: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id for every row of df."""
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -379,6 +379,7 @@ def join(df: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str =
     return linked.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
 
 
+@scratch
 def keep_first(df: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of df of each component, that of the least doc_id (rows without an id come last).
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,20 +32,56 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+#: The folders written inside calls of ``scratch`` functions, innermost last.
+_open: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back, with no lineage behind it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {unquote(f).rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
+
+
 def drop(df: DataFrame) -> None:
     """Remove the files behind a table that ``stored`` made."""
-    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _remove(df.sparkSession, unquote(folder))
+
+
+def scratch(function: Callable) -> Callable:
+    """A function that returns DataFrames (one, or a tuple) and leaves no stored table behind that they do not read."""
+
+    @wraps(function)
+    def run(*args, **kwargs):
+        _open.append([])
+        try:
+            out = function(*args, **kwargs)
+        finally:
+            paths = _open.pop()
+        tables = [x for x in (out if isinstance(out, tuple) else (out,)) if isinstance(x, DataFrame)]
+        read = set().union(*map(_folders, tables)) if tables else set()
+        for p in paths:
+            if p.rsplit("/", 1)[-1] in read:
+                if _open:
+                    _open[-1].append(p)
+            elif tables:
+                _remove(tables[0].sparkSession, p)
+        return out
+
+    return run
 
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
