@@ -350,16 +350,16 @@ def _classes(docs: DataFrame, rule: Rule) -> Classes:
         direct = links[0].select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links[0].select(F.col("b").alias("x"), F.col("a").alias("y")))
         near = members.join(direct, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left")
         members = stored(near.select("key", F.col("b").alias("sig"), F.when(F.col("x").isNotNull() | (F.col("a") == F.col("b")), F.col("a")).otherwise(F.col("b")).alias("group")), "members")
-        for forest in (True, False):
-            found = stored(_across(members, nodes, rule, forest), "found")
-            fresh = stored(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
-            links.append(stored(_linked(fresh, nodes, docs, rule), "links"))
-            known = links[0].unionByName(links[-1])
-            # where all of a forest holds, its key has no other components; elsewhere every pair is verified
-            members = members.join(found.join(known, ["a", "b"], "left_anti").select("key").distinct(), "key", "left_semi")
-            tried = tried.unionByName(fresh)
-            if members.isEmpty():
-                break
+        found = stored(_across(members, nodes, rule, forest=True), "found")
+        links.append(stored(_linked(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), nodes, docs, rule), "links"))
+        # where all of a forest holds, its key has no other components; elsewhere every pair of components is verified
+        failed = found.join(links[0].unionByName(links[1]), ["a", "b"], "left_anti").select("key").distinct()
+        members = stored(members.join(failed, "key", "left_semi").select("key", "sig"), "members")
+        if not members.isEmpty():
+            roots = components(links[0].unionByName(links[1]))
+            members = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("group", F.coalesce("root", "sig"))
+            rest = _across(members, nodes, rule, forest=False).select("a", "b").distinct()
+            links.append(stored(_linked(rest.join(tried.unionByName(found.select("a", "b")), ["a", "b"], "left_anti"), nodes, docs, rule), "links"))
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
