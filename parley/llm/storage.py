@@ -46,7 +46,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """df written in the warehouse in buckets by ``keys``, so that joins on them do not move it again.
+
+    df should be dealt by these keys already, or every task writes a file for each bucket.
+    """
+    spark = df.sparkSession
+    table = f"parley_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+    if _open:
+        _open[-1].append(table)
+    return spark.table(table)
+
+
 def _remove(spark: SparkSession, folder: str) -> None:
+    if "/" not in folder:
+        spark.sql(f"drop table if exists {folder}")
+        return
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
@@ -96,7 +112,7 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame |
     hot = counts.filter(F.col("n") > HOT).orderBy(F.desc("n"), key).limit(HOT_KEYS).select(key, F.lit(True).alias("__hot"))
     hot = F.broadcast(hot)
     others = [c for c in rows.columns if c != key]
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int")).otherwise(0)
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*(others or [key])), F.lit(SALTS)).cast("int")).otherwise(0)
     dealt = rows.join(hot, key, "left").withColumn("__salt", salt).drop("__hot")
     copies = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
     copied = table.join(hot, key, "left").withColumn("__salt", copies).drop("__hot")
