@@ -14,10 +14,13 @@ a passage on the same subject is not.
 The benchmark is the stated query set.  It is handled in blocks of about ``ITEMS`` items, and what
 is broadcast is bounded by a block's words.  Words and statistics cover all documents.
 
-Defined results for odd input: null or empty texts and items match nothing; items of fewer than
-``LEAST_WORDS`` words say too little and are not searched; rows that share a doc_id are searched
-one by one and reported once; equal items are each reported; an empty table of either kind gives
-an empty table; extra columns are ignored.
+Items of fewer than ``LEAST_WORDS`` words are matched exactly and whatever their cosine: their words must
+follow each other in a text, and an item of fewer than ``CONTAINED`` words must be all of it.
+
+Defined results for odd input: null or empty texts and items match nothing; rows that share a doc_id
+are searched one by one and reported once (``keep_clean`` decides row by row, also without an id);
+equal items are each reported; an empty table of either kind gives an empty table; extra columns are
+ignored (``keep_clean`` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +44,7 @@ CANDIDATE = 0.15
 ANSWER = 6
 RUN = 13
 LEAST_WORDS = 8
+CONTAINED = 4
 ITEMS = 500
 FEATURE_BLOCK = 256
 CHUNK = 4096
@@ -65,7 +70,7 @@ def read_queries(rows: list[tuple[int, str | None]]) -> Queries:
     found = []
     for first, h, bounds in _word_hashes(pa.array([t for _, t in rows], pa.string())):
         found += [(rows[first + i][0], h[bounds[i] : bounds[i + 1]]) for i in range(len(bounds) - 1)]
-    found = [(i, h) for i, h in found if len(h) >= LEAST_WORDS]
+    found = [(i, h) for i, h in found if len(h)]
     vocabulary = np.unique(np.concatenate([h for _, h in found])) if found else np.zeros(0, np.uint64)
     return Queries(vocabulary, [Item(i, np.searchsorted(vocabulary, h) + 1) for i, h in found])
 
@@ -215,8 +220,20 @@ def has_run(item: list[int], window: list[int]) -> bool:
     return any(tuple(window[i : i + RUN]) in runs for i in range(len(window) - RUN + 1)) if runs else False
 
 
-def is_match(item: list[int], window: list[int]) -> int:
-    """The length of the common subsequence if the window holds the item or enough of it, else 0."""
+def holds_short(item: list[int], window: list[int], words: int) -> bool:
+    """Whether a short item stands in the window as it is, or is all of a text of so many words."""
+    if len(item) < CONTAINED and len(item) != words:
+        return False
+    return any(window[i : i + len(item)] == item for i in range(len(window) - len(item) + 1))
+
+
+def is_match(item: list[int], window: list[int], words: int = 0) -> int:
+    """The length of the common subsequence if the window holds the item or enough of it, else 0.
+
+    ``words`` is the number of words of the whole text.
+    """
+    if len(item) < LEAST_WORDS:
+        return len(item) if holds_short(item, window, words) else 0
     common = lcs_length(item, window)
     answer = item[-ANSWER:]
     if common >= strong(len(item)) or common >= needed(len(item)) and 2 * lcs_length(answer, window) >= len(answer):
@@ -289,10 +306,13 @@ def _search(encoded: DataFrame, queries: Queries, weight: np.ndarray, basis: np.
             member[i.words, k] = 1
         masks = _masks(lists, n)
         # some window holds this many words of an item that matches, since windows overlap by half
-        enough = (11 * np.minimum(size, PASSAGE - STEP // 2) // 20).astype(np.int8)
+        short = size < LEAST_WORDS
+        distinct = np.array([len(set(x)) for x in lists])
+        enough = np.where(short, distinct, 11 * np.minimum(size, PASSAGE - STEP // 2) // 20).astype(np.int8)
         for b in batches:
             rows: list[tuple] = []
             ids = b.column(0).to_pylist()
+            length = pc.binary_length(b.column(1)).to_numpy() // (4 if n >= 65535 else 2)
             for m, owner in _passages(b.column(1), n >= 65535, STEP):
                 half = np.zeros((len(m), scaled.shape[1]), np.float32)
                 for k in range(STEP):
@@ -308,17 +328,17 @@ def _search(encoded: DataFrame, queries: Queries, weight: np.ndarray, basis: np.
                 passage, item = np.nonzero(both >= enough)
                 y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
                 cosine = np.einsum("ij,ij->i", y[passage], latent[item])
-                near = cosine >= CANDIDATE
+                near = (cosine >= CANDIDATE) | short[item]
                 passage, item, cosine = passage[near], item[near], cosine[near]
                 first = np.searchsorted(owner, owner)
                 last = np.searchsorted(owner, owner, "right")
                 reach = -(-size[item] // STEP) + 1
                 begin, end = np.maximum(first[passage], passage - reach), np.minimum(last[passage], passage + 2 + reach)
-                found, short = np.zeros(len(item), np.int64), np.flatnonzero(size[item] <= 64)
-                for at in np.split(short, range(CHUNK, len(short), CHUNK)):
+                found, middle = np.zeros(len(item), np.int64), np.flatnonzero((size[item] <= 64) & ~short[item])
+                for at in np.split(middle, range(CHUNK, len(middle), CHUNK)):
                     found[at] = _matches(m, begin[at], end[at], item[at], size[item[at]], masks)
-                for j in np.flatnonzero(size[item] > 64):
-                    found[j] = is_match(lists[item[j]], m[begin[j] : end[j]].ravel().tolist())
+                for j in np.flatnonzero((size[item] > 64) | short[item]):
+                    found[j] = is_match(lists[item[j]], m[begin[j] : end[j]].ravel().tolist(), length[owner[passage[j]]])
                 true = np.flatnonzero(found)
                 for p, k, c, common in zip(passage[true].tolist(), item[true].tolist(), cosine[true].tolist(), found[true].tolist(), strict=True):
                     rows.append((ids[owner[p]], items[k].item_id, int(p - first[p]) * STEP, common, len(lists[k]), c))
@@ -361,9 +381,12 @@ def hits(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def keep_clean(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df whose doc_id has no hit (rows without an id stay)."""
-    bad = hits(df, benchmark, doc_id, text).select(F.col("doc_id").alias("__bad")).distinct()
-    return df.join(bad, F.col(f"`{doc_id}`") == F.col("__bad"), "left_anti")
+    """The rows of df whose text has no hit; rows are told apart by id and text, so each is judged by its own."""
+    names = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    rows = df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    rows = rows.withColumn("row", F.xxhash64(F.col(names[doc_id]).cast("long"), F.col(names[text]).cast("string")))
+    bad = hits(rows, benchmark, "row", names[text]).select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(bad, "row", "left_anti").select(*names.values()).toDF(*df.columns)
 
 
 def brute(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]]) -> set[tuple[int, int]]:
@@ -376,7 +399,7 @@ def brute(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]
             for item in queries.items:
                 words, reach = item.words.tolist(), -(-len(item.words) // STEP) + 1
                 for p in range(0, len(f), STEP):
-                    if is_match(words, f[max(0, p - reach * STEP) : p + (2 + reach) * STEP]):
+                    if is_match(words, f[max(0, p - reach * STEP) : p + (2 + reach) * STEP], len(f)):
                         out.add((docs[first + i][0], item.item_id))
                         break
     return out
