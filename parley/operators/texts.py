@@ -13,9 +13,24 @@ from parley.functions import compat as C
 
 # The emoji ranges.
 EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2600}-\x{26FF}\x{2700}-\x{27BF}]"
-URL = r"https?://[^\s]+"
-#: Words that speak for an emotion.
-EMOTIONS = {"joy": "happy|excited|glad|love", "sadness": "sad|lonely|missing|cry", "anger": "angry|hate|annoyed|mad", "fear": "afraid|scared|worried", "surprise": "wow|surprised|unexpected"}
+# What counts as a link, and the links whose hosts are read.
+URL = r"(?:https?://|www\.|[a-zA-Z0-9][a-zA-Z0-9-]{1,61}[a-zA-Z0-9]\.)[^\s]+"
+LINK = r"https?://[^\s]+"
+# The words and signs that speak for an emotion; each list is counted by itself.
+EMOTIONS = {
+    "joy": (
+        "happy|joy|excited|great|awesome|amazing|wonderful|fantastic|love|perfect|best|excellent|brilliant|superb", "haha|hehe|lol|lmao|rofl", "😂|😄|😊|😍|🥰|😘|💕|❤️|💖|🎉|🎊",
+        "yay|woohoo|hooray|celebrate|celebration|party|fun|enjoy|enjoying", "good news|so good|feels good|makes me happy|thrilled|delighted|pleased",
+    ),
+    "sadness": ("sad|cry|crying|tears|upset|disappointed|depressed|miserable", "😢|😭|😞|😔|💔|😿|😪|😫|😩", "sorry|regret|miss you|missing you|hurt|pain|heartbreak|heartbroken", "feel bad|so sad|makes me sad|feeling down|bummed|devastated"),
+    "anger": ("angry|mad|furious|rage|pissed|annoyed|irritated|frustrated|hate|disgusted", "😠|😡|🤬|💢|😤|👿|😾", "damn|shit|fuck|stupid|idiot|ridiculous|outrageous", "so mad|makes me angry|pissed off|fed up|sick of"),
+    "fear": ("scared|afraid|fear|frightened|terrified|nervous|worried|anxious|panic", "😨|😰|😱|😖|😟|😧|😬", "dangerous|risky|unsafe|threatening|creepy|spooky", "so scared|makes me nervous|freaking out|paranoid"),
+    "surprise": ("wow|whoa|omg|oh my god|shocking|surprised|unexpected|incredible|unbelievable", "😮|😯|😲|🤯|😵|😳", "can't believe|no way|plot twist|out of nowhere"),
+}
+# Words that make an emotion stronger or weaker, and by how much; the first that is there counts.
+INTENSITY = (("very|extremely|incredibly|absolutely|totally|completely|really|so|super|ultra", 1.5), ("quite|pretty|fairly|somewhat|rather|kind of|sort of", 1.2), ("slightly|a bit|a little|barely|hardly|maybe|perhaps", 0.7))
+#: Words that say nothing by themselves.
+STOP_WORDS = ("the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out", "has", "him", "his", "how", "now", "see", "way", "who", "did", "its", "let", "she", "too", "use", "this", "that", "with", "have", "from", "they", "what", "when", "where", "why", "will", "your", "when")
 
 
 def word_count(text: Column) -> Column:
@@ -55,16 +70,51 @@ def word_frequencies(m: DataFrame, k: int = 1000) -> DataFrame:
     return counts.orderBy(F.desc("n"), "word", "sender", "conversation_id").limit(k)
 
 
-def url_domains(m: DataFrame) -> DataFrame:
-    links = m.select("conversation_id", "sender", "timestamp_ms", F.explode(F.regexp_extract_all("content", F.lit(URL), F.lit(0))).alias("url"))
-    host = F.regexp_replace(F.lower(F.try_parse_url("url", F.lit("HOST"))), r"^www\.", "")
-    return links.withColumn("domain", host).filter("domain is not null").groupBy("domain", "sender", "conversation_id").agg(F.count("*").alias("n"), F.min("timestamp_ms").alias("first_seen"), F.max("timestamp_ms").alias("last_seen"))
+def words(m: DataFrame) -> DataFrame:
+    """The words of longer messages that are no notices, less stop words and links."""
+    parts = F.split(F.lower(F.regexp_replace("content", r"[^A-Za-z0-9_\s'’]", " ")), r"\s+")
+    out = m.filter("not sys and length(content) > 5").select("message_id", "conversation_id", "sender", F.explode(parts).alias("word"))
+    return out.filter((F.length("word") > 2) & ~F.contains("word", F.lit("http")) & ~F.col("word").isin(*STOP_WORDS))
+
+
+def links(m: DataFrame) -> DataFrame:
+    """A row for each link of a message, with its host."""
+    found = m.withColumn("url", F.explode(F.regexp_extract_all("content", F.lit(LINK), F.lit(0))))
+    return found.withColumn("domain", F.regexp_replace(F.lower(F.try_parse_url("url", F.lit("HOST"))), r"^www\.", "")).filter("domain is not null").drop("url")
+
+
+def url_domains(m: DataFrame, k: int = 100) -> DataFrame:
+    counts = links(m).groupBy("domain", "sender", "conversation_id").agg(F.count("*").alias("n"), F.min("timestamp_ms").alias("first_seen"), F.max("timestamp_ms").alias("last_seen"))
+    return counts.orderBy(F.desc("n"), "domain", "sender", "conversation_id").limit(k)
+
+
+def _bounded(pattern: str) -> str:
+    return rf"(?i)(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])" if pattern[0].isascii() else pattern
+
+
+def emotion_scores(m: DataFrame) -> DataFrame:
+    """0.3 for every sign of an emotion, at most 1, times the intensity of the words around, at most 1."""
+    times = F.lit(1.0)
+    for pattern, factor in reversed(INTENSITY):
+        times = F.when(F.col("content").rlike(_bounded(pattern)), factor).otherwise(times)
+    scores = []
+    for emotion, patterns in EMOTIONS.items():
+        count = sum((F.regexp_count("content", F.lit(_bounded(p))) for p in patterns), F.lit(0))
+        scores.append(F.coalesce(F.floor(F.least(F.lit(1.0), F.least(F.lit(1.0), count * 0.3) * times) * 100 + 0.5) / 100, F.lit(0.0)).alias(emotion))
+    return m.select("message_id", "conversation_id", "sender", *scores)
+
+
+def emotion_sql(emotion: str) -> str:
+    """The same for the oracle."""
+    quoted = lambda p: (f"(?i)\\b(?:{p})\\b" if p[0].isascii() else p).replace("'", "''")
+    count = " + ".join(f"len(regexp_extract_all(content, '{quoted(p)}'))" for p in EMOTIONS[emotion])
+    times = "case " + " ".join(f"when regexp_matches(content, '{quoted(p)}') then {f}::double" for p, f in INTENSITY) + " else 1::double end"
+    return f"coalesce(floor(least(1::double, least(1::double, ({count}) * 0.3::double) * {times}) * 100 + 0.5) / 100, 0)"
 
 
 def emotions(m: DataFrame) -> DataFrame:
-    """0.3 for every emotion word, at most 1; rows without any are left out."""
-    scores = {k: F.least(F.lit(1.0), F.round(0.3 * F.regexp_count(F.lower("content"), F.lit(rf"(?<![A-Za-z0-9_])({p})(?![A-Za-z0-9_])")), 2)) for k, p in EMOTIONS.items()}
-    return m.select("message_id", "conversation_id", "sender", *(v.alias(k) for k, v in scores.items())).filter(sum((F.col(k) for k in EMOTIONS), F.lit(0.0)) > 0)
+    """Emotion scores of the messages that have any."""
+    return emotion_scores(m).filter(sum((F.col(k) for k in EMOTIONS), F.lit(0.0)) > 0)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from parley.functions import compat as C
 from parley.operators import ordered, summaries, texts
+from parley.operators.statements import STATEMENTS, apply
+from parley.plans import tables
 from parley.plans.registry import register
 from parley.sources.adapters import EVENTS_SQL, messages_from_conversations, messages_from_events
 
@@ -85,7 +87,9 @@ for _id, _keys in {"agg35_timeline": [], "agg36_sender_timeline": ["sender"], "a
     events(_id, f"select *, {_DAILY} from (select {_k}strftime(ts, '%Y-%m-%d') \"date\", round(sum(compound), 6) compound_sum, count(*) n from m where not is_system group by all)")(lambda m, k=_keys: summaries.daily_sentiment(m, *k))
 events("agg37_extreme_example", "select sender, strftime(ts, '%Y-%m-%d') \"date\", arg_max(message_id, (abs(compound), -message_id)) message_id from m group by all")(lambda m: m.groupBy("sender", C.day(F.col("ts")).alias("date")).agg(F.max_by("message_id", F.struct(F.abs("compound"), -F.col("message_id"))).alias("message_id")))
 events("agg42_mood_correlation", """select sender1, sender2, n shared_days, round(case when sqrt(greatest((n * xx - x * x) * (n * yy - y * y), 0)) > 1e-9 then (n * xy - x * y) / sqrt(greatest((n * xx - x * x) * (n * yy - y * y), 0)) else 0 end, 4) correlation from
-(select a.sender sender1, b.sender sender2, count(*) n, sum(a.v) x, sum(b.v) y, sum(a.v * a.v) xx, sum(b.v * b.v) yy, sum(a.v * b.v) xy from d a join d b on a."date" = b."date" and a.sender < b.sender group by all) where n >= 5""", "d as (select sender, strftime(ts, '%Y-%m-%d') \"date\", avg(compound) v from m group by all)")(summaries.mood_correlation)
+(select a.sender sender1, b.sender sender2, count(*) n, sum(a.v) x, sum(b.v) y, sum(a.v * a.v) xx, sum(b.v * b.v) yy, sum(a.v * b.v) xy from d a join d b on a."date" = b."date" and a.sender < b.sender join g on g.s1 = a.sender and g.s2 = b.sender group by all) where n >= 5""",
+ """d as (select sender, strftime(ts, '%Y-%m-%d') "date", avg(compound) v from m group by all), c as (select conversation_id, sender, count(*) over (partition by conversation_id) people from (select distinct conversation_id, sender from m)),
+ g as (select distinct x.sender s1, y.sender s2 from c x join c y on x.conversation_id = y.conversation_id and x.sender < y.sender where x.people <= 50)""")(lambda m: summaries.mood_correlation(m, pairs=summaries.sharing_pairs(m, 50)))
 
 # -- turns, bursts, starters, engagement
 events("agg49_burst_depths", "select conversation_id, message_count depth, count(*) bursts from b group by all", _islands(300_000, 2))(lambda m: summaries.burst_depths(ordered.gap_islands(m, 300_000, 2)))
@@ -121,7 +125,7 @@ events("per04_reply_profile", """select *, case when median_ms < 30000 then 'ver
 )
 
 # -- texts
-_METRICS = "x as (select message_id, conversation_id, sender, len(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '')) word_count, len(regexp_extract_all(content, '[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}\\x{2600}-\\x{26FF}\\x{2700}-\\x{27BF}]')) emoji_count, len(regexp_extract_all(content, 'https?://[^\\s]+')) url_count from m)"
+_METRICS = "x as (select message_id, conversation_id, sender, len(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '')) word_count, len(regexp_extract_all(content, '[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}\\x{2600}-\\x{26FF}\\x{2700}-\\x{27BF}]')) emoji_count, len(regexp_extract_all(content, '" + texts.URL + "')) url_count from m)"
 events("fn06_text_metrics", "select message_id, conversation_id, sender, word_count, emoji_count, url_count from x", _METRICS)(texts.text_metrics)
 events("agg01_text_summary", "select count(*) total_messages, round(avg(word_count), 6) avg_words, sum(emoji_count)::bigint total_emojis, sum(url_count)::bigint total_urls from x", _METRICS)(lambda m: texts.text_summary(texts.text_metrics(m)))
 events("agg02_emoji_by_sender", "select * from (select conversation_id, sender, sum(emoji_count)::bigint emoji_count from x group by all) where emoji_count > 0", _METRICS)(lambda m: texts.emoji_by_sender(texts.text_metrics(m)))
@@ -129,9 +133,8 @@ events("agg03_top_emojis", "select sender, emoji, n, rank from (select *, row_nu
 events("agg05_length_distribution", f"""select conversation_id, bucket, coalesce(n, 0) n, round(100 * coalesce(n, 0) / sum(coalesce(n, 0)) over (partition by conversation_id), 6) percentage from
 (select distinct conversation_id, unnest([{', '.join(f"'{label}'" for _, label in C.LENGTHS)}]) bucket from x where word_count > 0) left join (select conversation_id, {C.bucket_sql('word_count', C.LENGTHS, True)} bucket, count(*) n from x where word_count > 0 group by all) using (conversation_id, bucket)""", _METRICS)(lambda m: texts.length_distribution(texts.text_metrics(m)))
 events("agg06_word_frequencies", "select * from (select word, sender, conversation_id, count(*) n from (select conversation_id, sender, unnest(regexp_split_to_array(lower(regexp_replace(content, '[^A-Za-z0-9\\s'']', ' ', 'g')), '\\s+')) word from m where not is_system) where length(word) > 2 and not contains(word, 'http') group by all) where n > 1 order by n desc, word, sender, conversation_id limit 1000")(texts.word_frequencies)
-events("agg09_url_domains", "select regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '') domain, sender, conversation_id, count(*) n, min(timestamp_ms) first_seen, max(timestamp_ms) last_seen from (select *, unnest(regexp_extract_all(content, 'https?://[^\\s]+')) url from m) group by 1, 2, 3")(texts.url_domains)
-_EMO = ", ".join(f"least(1.0, round(0.3 * len(regexp_extract_all(lower(content), '\\b({p})\\b')), 2))::double {k}" for k, p in texts.EMOTIONS.items())
-events("agg45_emotions", f"select * from (select message_id, conversation_id, sender, {_EMO} from m) where {' + '.join(texts.EMOTIONS)} > 0")(texts.emotions)
+events("agg09_url_domains", "select regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '') domain, sender, conversation_id, count(*) n, min(timestamp_ms) first_seen, max(timestamp_ms) last_seen from (select *, unnest(regexp_extract_all(content, 'https?://[^\\s]+')) url from m) group by 1, 2, 3 order by n desc, domain, sender, conversation_id limit 100")(texts.url_domains)
+events("agg45_emotions", f"select * from (select message_id, conversation_id, sender, {', '.join(f'{texts.emotion_sql(k)} {k}' for k in texts.EMOTIONS)} from m) where {' + '.join(texts.EMOTIONS)} > 0")(texts.emotions)
 _LOW = "lower(trim(content))"
 _MARKED = " or ".join(f"contains({_LOW}, '{x}')" for x in C.SYSTEM_MARKERS)
 events("flt01_system", f"select message_id from m where not (is_system or content is null or length({_LOW}) < 3 or starts_with({_LOW}, '__') or {_MARKED} or regexp_matches({_LOW}, '{C.SYSTEM_PATTERN}'))")(lambda m: m.filter(~C.is_system(F.col("content"), F.col("is_system"))).select("message_id"))
@@ -160,3 +163,17 @@ def win09_context_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fn21_page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.regexp_replace(F.lower(F.try_parse_url("url", F.lit("HOST"))), r"^www\.", "")
     return _table("pages")(spark, sf_dir).groupBy(host.alias("host")).agg(F.count("*").alias("n")).filter("host is not null and host <> ''")
+
+
+# -- operators stated in SQL
+def _stated(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made: dict[str, DataFrame] = {}
+        inputs = STATEMENTS[name][0].split()
+        return apply(name, spark, **{k: tables.make(k, spark, sf_dir, made) for k in inputs})
+
+    return query
+
+
+for _name, (_inputs, _text) in STATEMENTS.items():
+    register(_name, tables.oracle(_inputs, _text))(_stated(_name))
