@@ -12,7 +12,8 @@ Learning runs in one task on a bounded sample (``PER_CLASS`` documents of each c
 dictionaries and three numbers come back.  Every whole text is scored on its own row.
 
 Defined results for odd input: a null or empty text has no window and saves nothing; without
-labelled rows of both classes every score is the share of label 1 (0 if there are none); repeated
+labelled rows of both classes every score is the share of label 1 (0 if there are none); a document
+labelled both ways is not learned from; repeated
 rows are scored one by one; a null doc_id counts as the text 'null' in the fold; an empty table
 gives an empty table; extra columns are ignored.
 """
@@ -118,7 +119,7 @@ def _dictionary(samples: list[bytes]) -> bytes:
     try:
         return z.train_dictionary(DICTIONARY, samples, k=32, d=6, steps=1).as_bytes()
     except z.ZstdError:
-        return b" ".join(samples)[-DICTIONARY:] or b" "
+        return b" ".join(samples) or b" "
 
 
 def _uses(part: list[tuple[bytes, int]]) -> Counter:
@@ -171,7 +172,7 @@ def train(texts: pa.Array, labels: np.ndarray) -> Model:
         cut += [(data[a:b], int(o), int(labels[half][o])) for (a, b), o in zip(cuts.tolist(), owner, strict=True)]
     plain, foul = [x[:2] for x in cut if not x[2]], [x[:2] for x in cut if x[2]]
     ordinary = _dictionary([x for x, _ in plain])
-    telling = b" ".join(_telling(foul, plain))[-DICTIONARY:]
+    telling = b" ".join(_telling(foul, plain))
     toxic = telling + b" " if telling else _dictionary([x for x, _ in foul])
     a, b = _coder(ordinary), _coder(toxic + ordinary)
     x = np.concatenate([savings(d, a, b) for d in tb.text_slices(texts.take(pa.array(np.flatnonzero(~half))))])
@@ -181,7 +182,7 @@ def train(texts: pa.Array, labels: np.ndarray) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int = PER_CLASS) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), pa.schema([("__h", pa.int64()), ("text", pa.string()), ("label", pa.int32())])).sort_by([("__h", "ascending"), ("text", "ascending")])
+        t = labelled.table(batches).sort_by([("__h", "ascending"), ("text", "ascending")])
         m = train(t.column("text").combine_chunks(), t.column("label").to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([m.ordinary]), pa.array([m.toxic]), pa.array([m.bias]), pa.array([list(m.slopes)])], names=["o", "t", "b", "s"])
 

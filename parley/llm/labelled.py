@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +18,18 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_cl
     """text and label (0 or 1) of at most ``per_class`` labelled documents of each class.
 
     ``learn`` says which rows of labels may be learned from.  The sample is the rows of smallest id
-    hash, so it does not depend on partitioning; its ids are broadcast, which ``2 * per_class`` bounds.
+    hash, so it does not depend on partitioning; a document labelled both ways is left out; its ids are broadcast, which ``2 * per_class`` bounds.
     """
-    known = labels.filter(learn & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label"), F.xxhash64("doc_id").alias("__h"))
+    known = labels.filter(learn & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("other"))
+    known = known.filter("label = other").select("__id", "label", F.xxhash64("__id").alias("__h"))
     ids = None
     for value in (0, 1):
         part = known.filter(F.col("label") == value).orderBy("__h", "__id").limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
-    return docs.join(F.broadcast(ids.dropDuplicates(["__id"])), F.col("doc_id") == F.col("__id")).select("__h", F.col("text").cast("string").alias("text"), "label")
+    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("__h", F.col("text").cast("string").alias("text"), "label")
+
+
+def table(batches: Iterator[pa.RecordBatch]) -> pa.Table:
+    """A whole sample as one table, in a task."""
+    found = list(batches)
+    return pa.Table.from_batches(found, None if found else pa.schema([("__h", pa.int64()), ("text", pa.string()), ("label", pa.int32())]))

@@ -40,6 +40,25 @@ TEMPLATES = (
     ("cc-by-4.0", "licensed under <<optional>>a<<end>> <<optional>>creative commons<<end>> cc by 4 0"),
     ("mit-notice", "<<optional>>this <<var:3>> is<<end>> <<optional>>licensed<<end>> <<optional>>released<<end>> under the mit license"),
     ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this <<var:6>> to deal in the software without restriction"),
+    (
+        "mit-full",
+        "permission is hereby granted free of charge to any person obtaining a copy of this <<var:6>> to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies "
+        "of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the <<var:6>> be liable for any claim damages or other liability "
+        "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "isc-full",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages "
+        "or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "bsd-2-full",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>>1<<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "<<optional>>2<<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "this software is provided by <<var:8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    ),
     ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
 )
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -10,9 +10,9 @@ Scoring reads every whole text.  The mean and the output layer are linear, so ea
 shrinks to the number it adds to the class margin and a document's score is a mean of such
 numbers under a sigmoid (the softmax of two classes).
 
-Defined results for odd input: a null or empty text has no features and gets the score of the
-bias; without labelled rows of both classes every score is the share of label 1 (0.5 if there is
-none); repeated rows are scored one by one; a null doc_id counts as the text 'null' in the fold;
+Defined results for odd input: a null or empty text has no features to judge and gets ``NOTHING`` as
+its score, a low one; without labelled rows of both classes every other score is the share of label 1
+(0.5 if there is none); a document labelled both ways is not learned from; repeated rows are scored one by one; a null doc_id counts as the text 'null' in the fold;
 an empty table gives an empty table; extra columns are ignored.
 """
 
@@ -35,6 +35,7 @@ PER_CLASS = 1500
 EPOCHS = 4
 BATCH = 32
 RATE = 6.0
+NOTHING = 0.05
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _REPEAT = np.uint64(0x5BD1E995)
 
@@ -107,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int =
     """Train in one task on the bounded sample; only the model's ``BUCKETS`` numbers come back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), pa.schema([("__h", pa.int64()), ("text", pa.string()), ("label", pa.int32())])).sort_by([("__h", "ascending"), ("text", "ascending")])
+        t = labelled.table(batches).sort_by([("__h", "ascending"), ("text", "ascending")])
         margin, bias = train(t.column("text").combine_chunks(), t.column("label").to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([margin.tobytes()]), pa.array([bias])], names=["margin", "bias"])
 
@@ -129,7 +130,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], folds: int, held: in
                 total = np.concatenate([[0.0], np.cumsum(margin[entry], dtype=np.float64)])
                 ends = np.cumsum(sizes)
                 mean = (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)
-                s = 1 / (1 + np.exp(-np.clip(mean + bias, -500, 500)))
+                s = np.where(sizes > 0, 1 / (1 + np.exp(-np.clip(mean + bias, -500, 500))), NOTHING)
                 rows = slice(part.first, part.first + len(part))
                 yield pa.RecordBatch.from_arrays([b.column(0)[rows], b.column(1)[rows], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
