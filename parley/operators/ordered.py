@@ -1,23 +1,58 @@
 """Operators on the ordered messages of a conversation: replies, turns, bursts, sessions, bubbles.
 
-All share one window, by conversation and time, so that a plan that uses several of them sorts once.
-Ties in time are broken by message_id.
+A conversation is cut into slices of time, so that one with a third of all rows is sorted by many
+tasks.  Only what crosses the edge of a slice goes through a window over the whole conversation, one
+row for each slice: its last message, which heads the next slice as a ghost, and its number of runs.
+Ties in time are broken by message_id.  Rows without a time come first; rows without a conversation
+have no order and are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 NARROW = ["conversation_id", "message_id", "sender", "timestamp_ms"]
+TIME = ["timestamp_ms", "message_id"]
+#: Length of a slice of time.
+SLICE_MS = 86_400_000
+_SLICE, _GHOST, _START, _OFFSET = "__slice", "__ghost", "__start", "__offset"
 
 
-def order() -> WindowSpec:
-    return Window.partitionBy("conversation_id").orderBy("timestamp_ms", "message_id")
+def _within(*order: str) -> WindowSpec:
+    return Window.partitionBy("conversation_id", _SLICE).orderBy(*order)
 
 
-def with_previous(m: DataFrame) -> DataFrame:
-    return m.withColumns({"prev_id": F.lag("message_id").over(order()), "prev_sender": F.lag("sender").over(order()), "gap_ms": F.col("timestamp_ms") - F.lag("timestamp_ms").over(order())})
+def _over_slices() -> WindowSpec:
+    return Window.partitionBy("conversation_id").orderBy(_SLICE)
+
+
+def _lags(rows: DataFrame, slices: Column, order: list[str], lags: dict[str, str]) -> DataFrame:
+    rows = rows.filter("conversation_id is not null").withColumn(_SLICE, F.coalesce(slices.cast("long"), F.lit(-(2**62))))
+    held = list(dict.fromkeys([*order, *lags.values()]))
+    ends = rows.groupBy("conversation_id", _SLICE).agg(F.max(F.struct(*held)).alias("end"))
+    ghosts = ends.select("conversation_id", F.lead(_SLICE).over(_over_slices()).alias(_SLICE), "end.*").filter(F.col(_SLICE).isNotNull())
+    both = rows.withColumn(_GHOST, F.lit(False)).unionByName(ghosts.withColumn(_GHOST, F.lit(True)), allowMissingColumns=True)
+    return both.withColumns({new: F.lag(old).over(_within(*order)) for new, old in lags.items()}).filter(~F.col(_GHOST)).drop(_GHOST)
+
+
+def with_lags(rows: DataFrame, slices: Column, order: list[str], **lags: str) -> DataFrame:
+    """Columns of the row before in the conversation (new name = column), null in its first row.
+
+    ``slices`` numbers the parts that a conversation is sorted in and never falls along ``order``.
+    """
+    return _lags(rows, slices, order, lags).drop(_SLICE)
+
+
+def _previous(m: DataFrame, **more: str) -> DataFrame:
+    lags = {"prev_id": "message_id", "prev_sender": "sender", "gap_ms": "timestamp_ms"} | more
+    p = _lags(m, F.floor(F.col("timestamp_ms") / SLICE_MS), TIME, lags)
+    return p.withColumn("gap_ms", F.col("timestamp_ms") - F.col("gap_ms"))
+
+
+def with_previous(m: DataFrame, **more: str) -> DataFrame:
+    """The message before: its id, its sender, the time since, and ``more`` (new name = column)."""
+    return _previous(m, **more).drop(_SLICE)
 
 
 def responses(m: DataFrame) -> DataFrame:
@@ -26,10 +61,16 @@ def responses(m: DataFrame) -> DataFrame:
     return p.filter("sender != prev_sender and gap_ms between 1000 and 86400000").select("conversation_id", F.col("prev_id").alias("from_message_id"), F.col("message_id").alias("to_message_id"), F.col("sender").alias("responder"), F.col("gap_ms").alias("latency_ms"))
 
 
-def islands(m: DataFrame, begins) -> DataFrame:
-    """Number the runs of messages; ``begins`` says which message (after the first) starts one."""
-    p = with_previous(m)
-    return p.withColumn("island", F.sum(F.when(F.col("prev_id").isNull() | begins, 1).otherwise(0)).over(order()))
+def islands(m: DataFrame, begins: Column, **more: str) -> DataFrame:
+    """Number the runs of messages; ``begins`` says which message (after the first) starts one.
+
+    Runs are numbered in their slice and moved up by the runs of the slices before.
+    """
+    p = _previous(m, **more).withColumn(_START, F.when(F.col("prev_id").isNull() | begins, 1).otherwise(0))
+    before = F.sum(_OFFSET).over(_over_slices().rowsBetween(Window.unboundedPreceding, -1))
+    offsets = p.groupBy("conversation_id", _SLICE).agg(F.sum(_START).alias(_OFFSET)).withColumn(_OFFSET, F.coalesce(before, F.lit(0)))
+    numbered = p.withColumn("island", F.sum(_START).over(_within(*TIME))).join(offsets, ["conversation_id", _SLICE])
+    return numbered.withColumn("island", F.col("island") + F.col(_OFFSET)).drop(_SLICE, _START, _OFFSET)
 
 
 def turns(m: DataFrame) -> DataFrame:
@@ -52,9 +93,20 @@ def session_starters(m: DataFrame, gap_ms: int = 4 * 3_600_000) -> DataFrame:
     return with_previous(m.select(*NARROW)).filter(F.col("prev_id").isNull() | (F.col("gap_ms") >= gap_ms)).select(*NARROW)
 
 
-def reply_turns(m: DataFrame, breaker, gap_ms: int = 90_000) -> DataFrame:
+def reply_turns(m: DataFrame, breaker: Column, gap_ms: int = 90_000) -> DataFrame:
     """Bubbles sent in one go: same sender, each within ``gap_ms``; a breaker row ends a run and is left out."""
-    p = with_previous(m.withColumn("breaks", breaker)).withColumn("after", F.coalesce(F.lag("breaks").over(order()), F.lit(True)))
-    begins = F.col("after") | F.col("breaks") | (F.col("sender") != F.col("prev_sender")) | (F.col("gap_ms") > gap_ms)
-    runs = p.withColumn("island", F.sum(F.when(begins, 1).otherwise(0)).over(order())).filter("not breaks")
+    begins = F.coalesce(F.col("after"), F.lit(True)) | F.col("breaks") | (F.col("sender") != F.col("prev_sender")) | (F.col("gap_ms") > gap_ms)
+    runs = islands(m.select(*NARROW, "content", breaker.alias("breaks")), begins, after="breaks").filter("not breaks")
     return runs.groupBy("conversation_id", "island").agg(F.first("sender").alias("sender"), F.count("*").alias("n_bubbles"), F.max("timestamp_ms").alias("end_ms"), F.sum(F.length("content")).alias("n_chars")).drop("island")
+
+
+def counts_after(m: DataFrame, within_ms: int) -> DataFrame:
+    """For each message with a time, the messages of others in the ``within_ms`` after it.
+
+    A row is counted in its own slice of that length and, for the rows before it, in the last one;
+    two range windows, over the conversation and over the sender in it, give the count without a join.
+    """
+    own = F.floor(F.col("timestamp_ms") / within_ms)
+    near = m.select(*NARROW).filter("conversation_id is not null and timestamp_ms is not null").withColumn("own", own).withColumn(_SLICE, F.explode(F.array(F.col("own"), F.col("own") - 1)))
+    later = lambda *k: F.count("*").over(Window.partitionBy("conversation_id", _SLICE, *k).orderBy("timestamp_ms").rangeBetween(1, within_ms))
+    return near.withColumn("n_after", later() - later("sender")).filter(F.col("own") == F.col(_SLICE)).drop("own", _SLICE)

@@ -10,6 +10,9 @@ from parley.operators import ordered
 
 WEIGHTS = {"message_frequency": 0.25, "response_speed": 0.20, "conversation_initiation": 0.15, "message_length": 0.10, "consistency": 0.15, "social_connectivity": 0.15}
 
+#: Turns of a conversation that one task sorts.
+TURNS_A_SLICE = 1_000_000
+
 
 def media_message():
     return F.col("has_photos") | F.col("has_videos") | F.coalesce(F.col("content").ilike("%sent an attachment%"), F.lit(False))
@@ -117,9 +120,8 @@ def turn_stats(t: DataFrame) -> DataFrame:
 
 def turn_patterns(t: DataFrame) -> DataFrame:
     """Who holds the floor: dominant by message share, else balanced, responsive or sporadic."""
-    w = Window.partitionBy("conversation_id").orderBy("turn_no")
-    pause = F.col("start_ms") - F.lag("end_ms").over(w)
-    pauses = t.select("conversation_id", F.when((pause > 0) & (pause < 86_400_000), pause).alias("pause")).groupBy("conversation_id").agg(F.coalesce(F.avg("pause"), F.lit(0.0)).alias("pause"))
+    pause = F.col("start_ms") - F.col("prev_end")
+    pauses = ordered.with_lags(t, F.floor(F.col("turn_no") / TURNS_A_SLICE), ["turn_no"], prev_end="end_ms").select("conversation_id", F.when((pause > 0) & (pause < 86_400_000), pause).alias("pause")).groupBy("conversation_id").agg(F.coalesce(F.avg("pause"), F.lit(0.0)).alias("pause"))
     by = t.groupBy("conversation_id", "participant").agg(F.count("*").alias("n"), F.sum("message_count").alias("msgs"))
     c = by.groupBy("conversation_id").agg(F.count("*").alias("people"), F.sum("n").alias("turn_count"), F.max("n").alias("most"), F.min("n").alias("least"), (F.max("msgs") / F.sum("msgs")).alias("share")).join(pauses, "conversation_id")
     pattern = F.when(F.col("share") > 0.7, "dominant").when((F.col("most") <= 2 * F.col("least")) & (F.col("people") > 1), "balanced").when(F.col("most") > 0.7 * F.col("turn_count"), "dominant")
@@ -136,12 +138,8 @@ def burst_starters(bursts: DataFrame, k: int = 20) -> DataFrame:
 
 
 def starter_responses(m: DataFrame, starters: DataFrame, within_ms: int = 86_400_000) -> DataFrame:
-    """For each session starter, the messages of others in the day after it.
-
-    Two range windows, over the conversation and over the sender in it, give the count without a join.
-    """
-    later = lambda *k: F.count("*").over(Window.partitionBy(*k).orderBy("timestamp_ms").rangeBetween(1, within_ms))
-    counted = m.select(*ordered.NARROW).withColumn("response_count", later("conversation_id") - later("conversation_id", "sender"))
+    """For each session starter, the messages of others in the day after it."""
+    counted = ordered.counts_after(m, within_ms).withColumnRenamed("n_after", "response_count")
     return counted.join(starters.select("message_id"), "message_id", "left_semi").select("message_id", "conversation_id", "sender", "response_count")
 
 

@@ -155,7 +155,7 @@ def per17_vector_top_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 select 'meta:c' || conv_id conversation_id, conv_id * 1000 + turn message_id, pt context, text reply from c where role != pr and role != 'system' and pr != 'system'""")
 def win09_context_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A message and the adjacent one before it by another role; a system row resets."""
-    m = messages_from_conversations(spark, sf_dir).withColumns({"prev_sender": F.lag("sender").over(ordered.order()), "context": F.lag("content").over(ordered.order()), "prev_system": F.lag("is_system").over(ordered.order())})
+    m = ordered.with_previous(messages_from_conversations(spark, sf_dir), context="content", prev_system="is_system")
     return m.filter("sender != prev_sender and not is_system and not prev_system").select("conversation_id", "message_id", "context", F.col("content").alias("reply"))
 
 

@@ -50,6 +50,33 @@ def test_bursts_and_sessions_at_the_limits(spark):
     assert {r.message_id for r in ordered.session_starters(m).collect()} == {1, 4}
 
 
+def test_slices_of_time_give_the_rows_of_one_window(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    times = np.sort(rng.integers(-40, 40, 400)) * 30_000
+    rows = [(i, "hot", "ABC"[int(x)], int(t), bool(b), "x" * (i % 5)) for i, (t, x, b) in enumerate(zip(times, rng.integers(0, 3, 400), rng.random(400) < 0.2, strict=True))]
+    rows += [(1000, "cold", "A", 7, False, "x"), (1001, "cold", "B", None, False, None), (1002, None, "B", 5, False, "y"), (1003, "once", "A", 0, True, "")]
+    m = spark.createDataFrame(rows, SCHEMA + ", breaks boolean, content string").repartition(7)
+
+    def found():
+        frames = [ordered.with_previous(m, before="content"), ordered.turns(m), ordered.gap_islands(m, 60_000), ordered.reply_turns(m, F.col("breaks"), 60_000), ordered.session_starters(m, 120_000), summaries.turn_patterns(ordered.turns(m))]
+        return [canon([r.asDict() for r in f.collect()], f.columns) for f in frames]
+
+    whole = found()
+    monkeypatch.setattr(ordered, "SLICE_MS", 100_000)
+    monkeypatch.setattr(summaries, "TURNS_A_SLICE", 3)
+    assert found() == whole
+    last: dict = {}
+    want = set()
+    for i, c, sender, t, _, _ in sorted((r for r in rows if r[1]), key=lambda r: (r[1], -(10**15) if r[3] is None else r[3], r[0])):
+        p = last.get(c)
+        want.add((i, p and p[0], p and p[1], None if not p or p[2] is None or t is None else t - p[2]))
+        last[c] = (i, sender, t)
+    assert {(r.message_id, r.prev_id, r.prev_sender, r.gap_ms) for r in ordered.with_previous(m).collect()} == want
+    timed = [r for r in rows if r[1] and r[3] is not None]
+    after = {i: sum(d == c and y != x and t < u <= t + 90_000 for _, d, y, u, _, _ in timed) for i, c, x, t, _, _ in timed}
+    assert {r.message_id: r.n_after for r in ordered.counts_after(m, 90_000).collect()} == after
+
+
 def test_perfect_correlation(spark):
     rows = [(s, f"2024-01-0{d} 12:00:00", v * (0.8 - 0.2 * (d - 1))) for d in range(1, 7) for s, v in (("A", 1.0), ("B", 0.5))]
     m = spark.createDataFrame(rows, "sender string, ts string, compound double").withColumn("ts", F.col("ts").cast("timestamp"))
