@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 NARROW = ["conversation_id", "message_id", "sender", "timestamp_ms"]
 TIME = ["timestamp_ms", "message_id"]
+# Fixed value: what stands between the bubbles of a reply.
+MARK = " <<<BUBBLE>>> "
 #: Length of a slice of time.
 SLICE_MS = 86_400_000
 _SLICE, _GHOST, _START, _OFFSET = "__slice", "__ghost", "__start", "__offset"
@@ -93,13 +95,29 @@ def session_starters(m: DataFrame, gap_ms: int = 4 * 3_600_000) -> DataFrame:
     return with_previous(m.select(*NARROW)).filter(F.col("prev_id").isNull() | (F.col("gap_ms") >= gap_ms)).select(*NARROW)
 
 
+def _bubbles(m: DataFrame, breaker: Column, gap_ms: int) -> DataFrame:
+    begins = F.coalesce(F.col("after"), F.lit(True)) | F.col("breaks") | (F.col("sender") != F.col("prev_sender")) | (F.col("gap_ms") > gap_ms)
+    return islands(m.select(*NARROW, "content", breaker.alias("breaks")), begins, after="breaks").filter("not breaks")
+
+
 def reply_turns(m: DataFrame, breaker: Column, gap_ms: int = 90_000) -> DataFrame:
     """Bubbles sent in one go: same sender, each within ``gap_ms``; a breaker row ends a run and is left out."""
-    begins = F.coalesce(F.col("after"), F.lit(True)) | F.col("breaks") | (F.col("sender") != F.col("prev_sender")) | (F.col("gap_ms") > gap_ms)
-    runs = islands(m.select(*NARROW, "content", breaker.alias("breaks")), begins, after="breaks").filter("not breaks")
+    runs = _bubbles(m, breaker, gap_ms)
     return runs.groupBy("conversation_id", "island").agg(F.first("sender").alias("sender"), F.count("*").alias("n_bubbles"), F.max("timestamp_ms").alias("end_ms"), F.sum(F.length("content")).alias("n_chars")).drop("island")
 
 
+def reply_texts(m: DataFrame, breaker: Column, gap_ms: int = 90_000, most: int = 500, mark: str = MARK) -> DataFrame:
+    """The text of each reply turn: as many whole bubbles, from the first, as ``most`` characters hold with marks between.
+
+    A first bubble longer than that is cut and ends in an ellipsis.  Bubbles beyond are dropped before they are gathered.
+    """
+    run = Window.partitionBy("conversation_id", "island").orderBy(*TIME)
+    held = _bubbles(m, breaker, gap_ms).withColumn("content", F.coalesce("content", F.lit(""))).withColumns({"at": F.row_number().over(run), "size": F.sum(F.length("content") + len(mark)).over(run) - len(mark)})
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "content"))), lambda b: b["content"])
+    whole = held.filter((F.col("at") == 1) | (F.col("size") <= most)).groupBy("conversation_id", "island").agg(F.min(F.when(F.col("at") == 1, F.col("message_id"))).alias("first_id"), F.array_join(parts, mark).alias("text"))
+    return whole.select("conversation_id", "first_id", F.when(F.length("text") > most, F.concat(F.substring("text", 1, most - 1), F.lit("…"))).otherwise(F.col("text")).alias("text"))
+
+
 def counts_after(m: DataFrame, within_ms: int) -> DataFrame:
     """For each message with a time, the messages of others in the ``within_ms`` after it.
 

@@ -14,7 +14,8 @@ _STARTS = f"""(select message_id, conversation_id, sender, hour, type, responses
 _SCORE = """(case when length(content) > 200 then 3e-1 when length(content) > 100 then 2e-1 when length(content) > 50 then 1e-1 else 5e-2 end) + (case when abs(compound) > 5e-1 then 25e-2 when abs(compound) > 3e-1 then 15e-2 when abs(compound) > 1e-1 then 1e-1 else 0e0 end)
     + (case when media then 15e-2 else 0e0 end) + (case when contains(content, '?') or regexp_like(lower(content), '(^|[^a-z0-9_])(what|how|why|when|where|who)([^a-z0-9_]|$)') then 1e-1 else 0e0 end) + least(5e-2 * (length(content) - length(replace(content, '!', ''))), 15e-2)
     + (case when regexp_like(lower(content), 'https?://') or contains(lower(content), 'www.') then 1e-1 else 0e0 end) + (case when contains(content, '@') then 8e-2 else 0e0 end)
-    + (case when regexp_like(lower(content), 'love|hate|amazing|terrible|fantastic|awful|excited|worried|happy|sad|angry|surprised') then 1e-1 else 0e0 end) + (case when hour < 6 or hour > 22 then 5e-2 else 0e0 end) + (case when length(content) > 500 then 1e-1 else 0e0 end)"""
+    + (case when regexp_like(lower(content), 'love|hate|amazing|terrible|fantastic|awful|excited|worried|happy|sad|angry|surprised') then 1e-1 else 0e0 end) + (case when hour < 6 or hour > 22 then 5e-2 else 0e0 end) + (case when length(content) > 500 then 1e-1 else 0e0 end)
+    + (case when caps_count between 1 and 4 then 8e-2 else 0e0 end)"""
 #: Engagement of a conversation's members: messages, replies and starts in it, scaled to 100.
 _MEMBERS = "(select conversation_id, sender, least(100e0, 100e0 * count(*) / max(mean_n)) score from (select conversation_id, sender, avg(n_all) over () mean_n from (select conversation_id, sender, count(*) over (partition by sender) * 2e0 n_all from {m} where not sys)) group by conversation_id, sender)"
 

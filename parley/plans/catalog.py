@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.functions import clean
 from parley.functions import compat as C
 from parley.operators import ordered, summaries, texts
 from parley.operators.statements import STATEMENTS, apply
@@ -56,6 +57,11 @@ _BUBBLES = f"""k as (select *, is_system or has_photos breaks from m),
 o as (select *, coalesce(lag(breaks) {W}, true) aft, lag(sender) {W} prev_sender, timestamp_ms - lag(timestamp_ms) {W} gap_ms from k),
 i as (select *, sum(case when aft or breaks or sender != prev_sender or gap_ms > 90000 then 1 else 0 end) {W} island from o)"""
 events("win06_reply_turns", "select conversation_id, first(sender) sender, count(*) n_bubbles, max(timestamp_ms) end_ms, sum(length(content))::bigint n_chars from i where not breaks group by conversation_id, island", _BUBBLES)(lambda m: ordered.reply_turns(m, F.col("is_system") | F.col("has_photos")))
+_FITS = f"f as (select *, row_number() over run n, sum(length(content) + {len(ordered.MARK)}) over run - {len(ordered.MARK)} size from i where not breaks window run as (partition by conversation_id, island order by timestamp_ms, message_id))"
+for _most in (60, 500):
+    events(f"fn28_reply_texts_{_most}", f"select conversation_id, first_id, case when length(t) > {_most} then t[1:{_most - 1}] || '…' else t end \"text\" from (select conversation_id, min(message_id) filter (n = 1) first_id, string_agg(content, '{ordered.MARK}' order by n) t from f where n = 1 or size <= {_most} group by conversation_id, island)", f"{_BUBBLES}, {_FITS}")(
+        lambda m, most=_most: ordered.reply_texts(m, F.col("is_system") | F.col("has_photos"), most=most)
+    )
 events("win07_daily_starts", "select sender, count(*) starts from (select sender, row_number() over (partition by conversation_id, strftime(ts, '%Y-%m-%d') order by timestamp_ms, message_id) n from m) where n = 1 group by sender")(
     lambda m: m.groupBy("conversation_id", C.day(F.col("ts")).alias("d")).agg(F.min_by("sender", F.struct("timestamp_ms", "message_id")).alias("sender")).groupBy("sender").agg(F.count("*").alias("starts"))
 )
@@ -165,6 +171,12 @@ def fn21_page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table("pages")(spark, sf_dir).groupBy(host.alias("host")).agg(F.count("*").alias("n")).filter("host is not null and host <> ''")
 
 
+# -- cleaning of the first generation; the messages hold no entities, forms or accents, which tests cover
+events("fn33_clean_texts", "select message_id, regexp_replace(content, '[\\x00-\\x1F\\x7F]', '', 'g') cleaned from m")(lambda m: m.select("message_id", clean.cleaned("content").alias("cleaned")))
+events("fn34_clean_words", """select message_id, word, count(*) n from (select message_id, unnest(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(content, '[^\\x00-\\x7F]', '', 'g'), 'http\\S+', '', 'g'), '[^A-Za-z0-9_''-]', ' ', 'g')), ' +')) word from m)
+where length(word) > 1 and not regexp_matches(word, '^[0-9]+$') group by all""")(lambda m: m.select("message_id", F.explode(clean.cleaned_words("content")).alias("word")).groupBy("message_id", "word").agg(F.count("*").alias("n")))
+
+
 # -- operators stated in SQL
 def _stated(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ COMMON = {
     "sm": ("m k", "select m.* from {m} m join {k} k on k.conversation_id = m.conversation_id and k.participant = m.sender where m.conversation_id like 'whatsapp:%' or m.conversation_id in ('instagram:dm_1', 'instagram:dm_2', 'instagram:dm_3')"),
 }
 _EMOJI = texts.EMOJI
+#: Words in capitals.
+CAPITALS = r"\b[A-Z]{3,}\b"
 _STOPS = ", ".join(f"'{w}'" for w in texts.STOP_WORDS)
 _WORDS = "lower(regexp_replace(content, '[^A-Za-z0-9_\\s''’]', ' ', 'g'))"
 
@@ -42,7 +44,7 @@ def _islands(begins: str) -> str:
 
 ORACLE = {
     "m": f"""(select *, hour(ts) "hour", dayofweek(ts) dow, strftime(ts, '%Y-%m') "month", strftime(ts, '%Y-%m-%d') "day", has_photos or has_videos or content ilike '%sent an attachment%' media, {_system_sql()} sys,
-  len(list_filter(regexp_split_to_array(content, '\\s+'), lambda z: z <> '')) word_count, len(regexp_extract_all(content, '{_EMOJI}')) emoji_count, len(regexp_extract_all(content, '{texts.URL}')) url_count,
+  len(list_filter(regexp_split_to_array(content, '\\s+'), lambda z: z <> '')) word_count, len(regexp_extract_all(content, '{_EMOJI}')) emoji_count, len(regexp_extract_all(content, '{texts.URL}')) url_count, len(regexp_extract_all(content, '{CAPITALS}')) caps_count,
   greatest(compound, 0) pos, greatest(-compound, 0) neg, 1 - abs(compound) neu from m0)""",
     "r": f"(select conversation_id, prev_id from_message_id, message_id to_message_id, sender responder, gap_ms latency_ms from {_O} where sender <> prev_sender and gap_ms between 1000 and 86400000)",
     "t": f"(select conversation_id, island::bigint turn_no, first(sender) participant, count(*) message_count, min(timestamp_ms) start_ms, max(timestamp_ms) end_ms from {_islands('sender <> prev_sender')} group by conversation_id, island)",
@@ -62,7 +64,7 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     compound = F.col("compound")
     return m.withColumns({
         "hour": F.hour("ts"), "dow": F.dayofweek("ts") - 1, "month": C.month(F.col("ts")), "day": C.day(F.col("ts")), "media": summaries.media_message(), "sys": C.is_system(c, F.col("is_system")),
-        "word_count": texts.word_count(c), "emoji_count": F.regexp_count("content", F.lit(texts.EMOJI)), "url_count": F.regexp_count("content", F.lit(texts.URL)),
+        "word_count": texts.word_count(c), "emoji_count": F.regexp_count("content", F.lit(texts.EMOJI)), "url_count": F.regexp_count("content", F.lit(texts.URL)), "caps_count": F.regexp_count("content", F.lit(CAPITALS)),
         "pos": F.greatest(compound, F.lit(0.0)), "neg": F.greatest(-compound, F.lit(0.0)), "neu": 1 - F.abs(compound),
     })
 

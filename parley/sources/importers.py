@@ -84,7 +84,10 @@ def chat_name(path: Column) -> Column:
 
 
 def chat_text(spark: SparkSession, path: str) -> DataFrame:
-    """The messages of chat text files; lines without a time go on with the message before them."""
+    """The messages of chat text files; lines without a time go on with the message before them.
+
+    Spark never lists a file whose name begins with an underscore; rename such a file to ``chat.txt``.
+    """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select(F.col("_metadata.file_path").alias("path"), "value")
     lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
     starts = lines.withColumn("start", F.col("line").rlike(_LINE).cast("int")).withColumn("no", F.sum("start").over(Window.partitionBy("path").orderBy("at"))).filter("no > 0")
