@@ -6,8 +6,9 @@ dictionary, and with the toxic one in front of it.  The bytes that the toxic dic
 its distance from ordinary text.  A document is judged by its best windows, and a logistic curve
 fitted to labelled documents turns the savings into a score; the curve is the calibrated threshold.
 
-The dictionary for toxic text learns from the windows of toxic documents that the ordinary
-dictionary explains worst, so that what toxic documents share with all others does not fill it.
+The dictionary for toxic text is trained on one sample for each toxic document: the words in it, as
+they follow each other, whose distinct contexts set toxic documents apart.  So what toxic documents
+share with all others, which the ordinary dictionary explains already, does not fill it.
 Learning runs in one task on a bounded sample (``PER_CLASS`` documents of each class); only the two
 dictionaries and three numbers come back.  Every whole text is scored on its own row.
 
@@ -131,15 +132,22 @@ def _uses(part: list[tuple[bytes, int]]) -> Counter:
     return Counter(w for w, _, _ in seen)
 
 
-def _telling(foul: list[tuple[bytes, int]], plain: list[tuple[bytes, int]]) -> list[bytes]:
-    """The words that set toxic documents apart, the most used ones last.
+def _telling(foul: list[tuple[bytes, int]], plain: list[tuple[bytes, int]]) -> set[bytes]:
+    """The words that set toxic documents apart.
 
     Such a word has a use for ``SHARE`` of the toxic documents and is ``TIMES`` as frequent there.
     """
     toxic, common = _uses(foul), _uses(plain)
     docs, others = (max(1, len({d for _, d in part})) for part in (foul, plain))
-    found = [(n, w) for w, n in toxic.items() if n >= max(3, SHARE * docs) and n / docs > TIMES * (common[w] + 0.5) / others]
-    return [w for _, w in sorted(found)]
+    return {w for w, n in toxic.items() if n >= max(3, SHARE * docs) and n / docs > TIMES * (common[w] + 0.5) / others}
+
+
+def _residue(foul: list[tuple[bytes, int]], telling: set[bytes]) -> list[bytes]:
+    """For each toxic document its telling words in order, as one sample."""
+    found: dict[int, list[bytes]] = {}
+    for s, d in foul:
+        found.setdefault(d, []).extend(w for w in s.split() if w in telling)
+    return [b" " + b" ".join(words) + b" " for words in found.values() if words]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -172,8 +180,7 @@ def train(texts: pa.Array, labels: np.ndarray) -> Model:
         cut += [(data[a:b], int(o), int(labels[half][o])) for (a, b), o in zip(cuts.tolist(), owner, strict=True)]
     plain, foul = [x[:2] for x in cut if not x[2]], [x[:2] for x in cut if x[2]]
     ordinary = _dictionary([x for x, _ in plain])
-    telling = b" ".join(_telling(foul, plain))
-    toxic = telling + b" " if telling else _dictionary([x for x, _ in foul])
+    toxic = _dictionary(_residue(foul, _telling(foul, plain)) or [x for x, _ in foul])
     a, b = _coder(ordinary), _coder(toxic + ordinary)
     x = np.concatenate([savings(d, a, b) for d in tb.text_slices(texts.take(pa.array(np.flatnonzero(~half))))])
     w = _logistic(x, labels[~half])
