@@ -5,6 +5,7 @@ import re
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -43,3 +44,22 @@ def cleaned(texts: pd.Series) -> pd.Series:
 @F.pandas_udf(ArrayType(StringType()))
 def cleaned_words(texts: pd.Series) -> pd.Series:
     return texts.map(words_one)
+
+
+# The code points of the first generation's emoji.
+EMOJI_RUN = r"[\x{1F1E0}-\x{1F1FF}\x{1F300}-\x{1F5FF}\x{1F600}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F700}-\x{1F77F}\x{1F780}-\x{1F7FF}\x{1F800}-\x{1F8FF}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FA6F}\x{1FA70}-\x{1FAFF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}\x{1F004}-\x{1F0CF}]+"
+
+
+def emoji_runs(text: str) -> Column:
+    """Stretches of emoji, however many signs each has."""
+    return F.regexp_count(F.col(text), F.lit(EMOJI_RUN))
+
+
+def tag(text: str) -> Column:
+    """A lower-case label of letters, digits and underscores, of 50 characters at most."""
+    return F.left(F.regexp_replace(F.lower(F.trim(text)), r"[^\p{L}\p{N}_]", "_"), F.lit(50))
+
+
+def folder_title(folder: str) -> Column:
+    """The words of a folder's name, less a number at its end, with capitals."""
+    return F.initcap(F.replace(F.regexp_replace(folder, r"_\d+$", ""), F.lit("_"), F.lit(" ")))

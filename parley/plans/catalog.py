@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.functions import clean
+from parley.functions import clean, sentiment
 from parley.functions import compat as C
 from parley.operators import ordered, summaries, texts
 from parley.operators.statements import STATEMENTS, apply
@@ -177,6 +177,22 @@ events("fn34_clean_words", """select message_id, word, count(*) n from (select m
 where length(word) > 1 and not regexp_matches(word, '^[0-9]+$') group by all""")(lambda m: m.select("message_id", F.explode(clean.cleaned_words("content")).alias("word")).groupBy("message_id", "word").agg(F.count("*").alias("n")))
 
 
+events("fn35_emoji_runs", f"select message_id, len(regexp_extract_all(content, '{clean.EMOJI_RUN}')) runs from m")(lambda m: m.select("message_id", clean.emoji_runs("content").alias("runs")))
+events("fn36_tags", "select message_id, left(regexp_replace(lower(trim(content)), '[^\\pL\\pN_]', '_', 'g'), 50) tag from m")(lambda m: m.select("message_id", clean.tag("content").alias("tag")))
+events("src20_folder_titles", """select distinct folder, array_to_string(list_transform(string_split(replace(regexp_replace(folder, '_[0-9]+$', ''), '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') title
+from (select replace(conversation_id, ':', '_') folder from m)""")(lambda m: m.select(F.replace("conversation_id", F.lit(":"), F.lit("_")).alias("folder")).distinct().select("folder", clean.folder_title("folder").alias("title")))
+
+#: A stand-in for a lexicon file, whose words stand in the messages.
+FEW_VALENCES = {"funny": 1.9, "great": 3.1, "love": 3.2, "good": 1.9, "happy": 2.7, "thanks": 1.9, "sad": -2.1, "angry": -2.3, "sorry": -0.3, "hate": -2.7}
+
+
+@register("fn09_lexicon_sentiment")
+def fn09_lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = spark.createDataFrame(list(FEW_VALENCES.items()), "token string, valence double")
+    m = messages_from_events(spark, sf_dir).select("message_id", "content", "is_system")
+    return sentiment.with_sentiment(m, lexicon, skip=F.col("is_system")).select("message_id", "compound", "pos", "neg", "neu")
+
+
 # -- operators stated in SQL
 def _stated(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
