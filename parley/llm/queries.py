@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import compression_toxicity, decontamination, labelled, license_scan, packing, parity_join, quality_model, quality_rules, sentence_spans, sharding, suffix_dedup
+from parley.llm import compression_toxicity, decontamination, labelled, license_scan, merkle_manifest, packing, parity_join, prefix_bpe, quality_model, quality_rules, ranked_search, sentence_spans, sharding, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +68,23 @@ def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), shards=16)
 
 
+def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return prefix_bpe.digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle_sql(), "op5_quality_rules": quality_rules.oracle_sql()}
+    return {"op1_license_scan": license_scan.oracle_sql(), "op5_quality_rules": quality_rules.oracle_sql(), "op12_threshold_search": ranked_search.oracle_sql(), "op13_merkle_manifest": merkle_manifest.oracle_sql()}
