@@ -30,10 +30,8 @@ def ratio(a: Column, b: Column) -> Column:
 def is_system(content: Column, flag: Column) -> Column:
     """Flagged, empty, very short, internal, or worded like a notice."""
     low = F.lower(F.trim(content))
-    marked = F.lit(False)
-    for marker in SYSTEM_MARKERS:
-        marked = marked | low.contains(marker)
-    return flag | content.isNull() | (F.length(low) < 3) | low.startswith("__") | marked | low.rlike(SYSTEM_PATTERN)
+    # one search for all of it; a chain of conditions would lower the text again for each
+    return flag | content.isNull() | low.rlike("|".join([r"^(?s:.{0,2})\z", "^__", *SYSTEM_MARKERS, SYSTEM_PATTERN]))
 
 
 def bucket(x: Column, bounds: tuple, inclusive: bool) -> Column:

@@ -47,11 +47,9 @@ STATEMENTS = {
     "join05_reactions_to_messages": ("m x", "select x.actor, x.emoji, m.message_id, m.sender target from {x} x join {m} m on m.message_id = x.message_id"),
     "join08_conversations_of_sender": ("m", "select message_id from {m} where conversation_id in (select distinct conversation_id from {m} where sender = 'user_1')"),
     "join10_attachment_counts": ("m", "select a.conversation_id, cast(sum(coalesce(p.n, 0)) as bigint) photos from {m} a left join (select message_id, message_id % 3 + 1 n from {m} where has_photos) p on p.message_id = a.message_id group by a.conversation_id"),
-    "join11_after_media": ("m", """select a.message_id, b.message_id reply_id, b.timestamp_ms - a.timestamp_ms after_ms from (select * from {m} where media and not sys) a join (select * from {m} where not sys) b on a.conversation_id = b.conversation_id and a.sender <> b.sender
-        and b.timestamp_ms between a.timestamp_ms and a.timestamp_ms + 7200000 and (b.timestamp_ms > a.timestamp_ms or b.message_id > a.message_id)"""),
+    "join11_after_media": ("ma", "select message_id, reply_id, after_ms from {ma}"),
     "join14_message_before": ("m", "select message_id, before_text from (select message_id, content, lag(content) over (partition by conversation_id order by timestamp_ms, message_id) before_text from {m}) where contains(lower(content), 'meeting')"),
-    "join15_trigger_window": ("m", """select p.message_id peak_id, count(b.message_id) n from (select message_id, conversation_id, timestamp_ms, day from {m} where abs(compound) >= 99e-2) p join {m} b on b.day = p.day and b.conversation_id = p.conversation_id
-        and b.timestamp_ms between p.timestamp_ms - 21600000 and p.timestamp_ms group by p.message_id"""),
+    "join15_trigger_window": ("pw", "select peak_id, count(*) n from {pw} group by peak_id"),
     "join17_scores_of_members": ("m", "select a.conversation_id, round(avg(s.score), 6) score from (select distinct conversation_id, sender from {m}) a join (select sender, avg(compound) score from {m} group by sender having count(*) >= 60) s on s.sender = a.sender group by a.conversation_id"),
     "join18_message_chat_handle": ("m", """select m.message_id, c.conversation_id, coalesce(h.handle, 'Unknown') handle from {m} m join (select message_id, conversation_id from {m}) c on c.message_id = m.message_id
         left join (select distinct sender, concat('+', substr(sender, 6)) handle from {m} where cast(substr(sender, 6) as int) % 2 = 0) h on h.sender = m.sender"""),

@@ -13,10 +13,6 @@ STATEMENTS = {
     "agg39_daily_sums_by_sender": ("m", "select sender, conversation_id, day, round(sum(compound), 6) compound_sum, round(sum(pos), 6) positive_sum, round(sum(neg), 6) negative_sum, round(sum(neu), 6) neutral_sum, count(*) n from {m} where not sys group by sender, conversation_id, day"),
     "agg40_timeline_summary": ("m", "select min(day) first_day, max(day) last_day, round(avg(v), 6) mean_of_days, max_by(day, v) best_day, min_by(day, v) worst_day from (select day, avg(compound) v from {m} where not sys group by day)"),
     "agg41_mood_daily": ("m", f"select sender, day, conversation_id, round(v, 6) avg_compound, n from {_DAILY}"),
-    "agg42_mood_pairs": ("m", f"""select sender1, sender2, shared_days, days1 + days2 - shared_days total_days, round(c, 4) correlation, case when abs(c) >= 7e-1 then 'strong' when abs(c) >= 4e-1 then 'moderate' when abs(c) >= 2e-1 then 'weak' else 'none' end strength from
-        (select sender1, sender2, n shared_days, days1, days2, case when (n * xx - x * x) * (n * yy - y * y) > 1e-9 then (n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y)) else 0e0 end c from
-        (select a.sender sender1, b.sender sender2, count(*) n, max(a.n_days) days1, max(b.n_days) days2, sum(a.v) x, sum(b.v) y, sum(a.v * a.v) xx, sum(b.v * b.v) yy, sum(a.v * b.v) xy from (select *, count(*) over (partition by sender) n_days from {_MOOD}) a
-        join (select *, count(*) over (partition by sender) n_days from {_MOOD}) b on a.day = b.day and a.sender < b.sender where a.n_days >= 5 and b.n_days >= 5 group by a.sender, b.sender) where n >= 5) order by abs(round(c, 4)) desc, sender1, sender2 limit 50"""),
     "agg43_mood_patterns": ("m", f"""select sender, round(avg(v), 6) mean, round(stddev_pop(v), 6) variability, case when avg(v) > 5e-2 then 'positive' when avg(v) < -5e-2 then 'negative' else 'neutral' end dominant,
         case when avg(case when rn > h then v end) - avg(case when rn <= h then v end) > 5e-2 then 'improving' when avg(case when rn > h then v end) - avg(case when rn <= h then v end) < -5e-2 then 'declining' else 'stable' end trend from
         (select sender, v, row_number() over (partition by sender order by day) rn, floor(count(*) over (partition by sender) / 2) h, count(*) over (partition by sender) points from {_MOOD}) where points >= 5 group by sender"""),
@@ -26,6 +22,6 @@ STATEMENTS = {
     "win14_half_trend": ("m", f"select sender, round(avg(case when rn > h then v end) - avg(case when rn <= h then v end), 6) change from (select sender, v, row_number() over (partition by sender order by day) rn, floor(count(*) over (partition by sender) / 2) h from {_MOOD}) group by sender"),
     "win15_week_trend": ("m", """select conversation_id, wk, n, case when prev is null then 'first' when n > prev * 11e-1 then 'up' when n < prev * 9e-1 then 'down' else 'steady' end trend, round(sd / mean3, 6) variation from (select conversation_id, wk, n, lag(n) over (partition by conversation_id order by wk) prev,
         stddev_pop(n) over (partition by conversation_id order by wk rows between 2 preceding and current row) sd, avg(n) over (partition by conversation_id order by wk rows between 2 preceding and current row) mean3 from (select conversation_id, cast(floor(timestamp_ms / 604800000) as bigint) wk, cast(count(*) as double) n from {m} group by conversation_id, cast(floor(timestamp_ms / 604800000) as bigint)))"""),
-    "agg46_emotion_totals": ("e", "select emotion, round(sum(score), 4) total, round(100 * sum(score) / max(whole), 4) percentage from (select emotion, score, sum(score) over () whole from (select 'joy' emotion, joy score from {e} union all select 'sadness', sadness from {e} union all select 'anger', anger from {e} union all select 'fear', fear from {e} union all select 'surprise', surprise from {e})) group by emotion"),
+    "agg46_emotion_totals": ("e", "select emotion, round(total, 4) total, round(100 * total / (joy + sadness + anger + fear + surprise), 4) percentage from (select emotion, case emotion when 'joy' then joy when 'sadness' then sadness when 'anger' then anger when 'fear' then fear else surprise end total, joy, sadness, anger, fear, surprise from (select sum(joy) joy, sum(sadness) sadness, sum(anger) anger, sum(fear) fear, sum(surprise) surprise from {e}), (select 'joy' emotion union all select 'sadness' union all select 'anger' union all select 'fear' union all select 'surprise'))"),
     "agg47_emotion_profile": ("e", "select sender, round(sum(joy), 4) joy, round(sum(sadness), 4) sadness, round(sum(anger), 4) anger, round(sum(fear), 4) fear, round(sum(surprise), 4) surprise, count(*) n from {e} group by sender"),
 }

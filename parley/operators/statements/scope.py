@@ -3,9 +3,8 @@
 _BUCKETS = """(select '0-10s' bucket, 5000e0 mid union all select '10-30s', 20000e0 union all select '30-60s', 45000e0 union all select '1-5m', 180000e0 union all select '5-15m', 600000e0 union all select '15-60m', 2250000e0 union all select '>1h', 10800000e0)"""
 _LATENCY = "(select r.conversation_id, r.responder, case when latency_ms < 10000 then '0-10s' when latency_ms < 30000 then '10-30s' when latency_ms < 60000 then '30-60s' when latency_ms < 300000 then '1-5m' when latency_ms < 900000 then '5-15m' when latency_ms < 3600000 then '15-60m' else '>1h' end bucket, latency_ms from {r} r join (select distinct conversation_id from {sm}) c on c.conversation_id = r.conversation_id)"
 _LENGTH = "(select case when word_count <= 2 then '1-2' when word_count <= 5 then '3-5' when word_count <= 10 then '6-10' when word_count <= 20 then '11-20' when word_count <= 50 then '21-50' else '50+' end bucket from {sm} where word_count > 0)"
-_HOURS = "(select distinct message_id % 24 h from {m})"
-_DAYS = "(select distinct message_id % 7 d from {m})"
-_MOOD = "(select sender, day, sum(compound) / count(*) v from {sm} group by sender, day having count(*) >= 3)"
+_HOURS = "(select explode(sequence(0, 23)) as h)"
+_DAYS = "(select explode(sequence(0, 6)) as d)"
 
 STATEMENTS = {
     "dsh01_overview": ("sm", "select count(*) messages, count(distinct conversation_id) conversations, count(distinct sender) participants, cast(sum(word_count) as bigint) words, cast(sum(emoji_count) as bigint) emojis, count(case when media then 1 end) media_messages, round(avg(compound), 6) avg_sentiment, min(timestamp_ms) first_ms, max(timestamp_ms) last_ms from {sm}"),
@@ -14,8 +13,6 @@ STATEMENTS = {
     "dsh04_participants": ("sm r", "select a.sender, n, emojis, media_messages, round(avg_ms, 4) avg_ms from (select sender, count(*) n, cast(sum(emoji_count) as bigint) emojis, count(case when media then 1 end) media_messages from {sm} group by sender) a left join (select responder, avg(latency_ms) avg_ms from {r} where conversation_id in (select conversation_id from {sm}) group by responder) b on b.responder = a.sender"),
     "dsh05_average_response": ("r sm", f"select round(sum(n * mid) / sum(n), 4) avg_ms from (select bucket, count(*) n from {_LATENCY} group by bucket) a join {_BUCKETS} b on b.bucket = a.bucket"),
     "dsh06_daily_timeline": ("sm", "select day, round(sum(compound_sum) / sum(n), 6) avg_compound, cast(sum(n) as bigint) n from (select conversation_id, day, sum(compound) compound_sum, count(*) n from {sm} group by conversation_id, day) group by day"),
-    "dsh07_mood_pairs": ("sm", f"""select s1, s2, n shared_days, round(case when (n * xx - x * x) * (n * yy - y * y) > 1e-9 then (n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y)) else 0e0 end, 4) correlation from (select a.sender s1, b.sender s2, count(*) n, sum(a.v) x, sum(b.v) y, sum(a.v * a.v) xx, sum(b.v * b.v) yy, sum(a.v * b.v) xy from {_MOOD} a
-        join {_MOOD} b on a.day = b.day and a.sender < b.sender join (select distinct x.sender p1, y.sender p2 from (select distinct conversation_id, sender from {{sm}}) x join (select distinct conversation_id, sender from {{sm}}) y on x.conversation_id = y.conversation_id and x.sender < y.sender) e on e.p1 = a.sender and e.p2 = b.sender group by a.sender, b.sender) where n >= 3"""),
     "dsh08_reactions": ("x sm", "select replace(x.emoji, '️', '') emoji_key, count(*) n, count(distinct x.actor) reactors from {x} x join (select message_id from {sm}) s on s.message_id = x.message_id group by replace(x.emoji, '️', '')"),
     "dsh09_engagement": ("sm r", "select a.conversation_id, round(least(100e0, n / cast(people as double)), 6) messages_each, round(coalesce(avg_ms, 0), 4) avg_ms from (select conversation_id, count(*) n, count(distinct sender) people from {sm} group by conversation_id) a left join (select conversation_id, avg(latency_ms) avg_ms from {r} group by conversation_id) b on b.conversation_id = a.conversation_id"),
     "dsh10_turn_taking": ("t sm", "select participant, count(*) turns, round(avg(message_count), 6) avg_length, round(avg(1000e0 / greatest(pause, 1)), 9) responsiveness from (select *, start_ms - lag(end_ms) over (partition by conversation_id order by turn_no) pause from {t} where conversation_id in (select conversation_id from {sm})) group by participant"),
@@ -27,13 +24,14 @@ STATEMENTS = {
     "dsh16_content_types": ("sm", "select case when contains(content, 'http://') or contains(content, 'https://') then 'link_share' when word_count = 1 then 'single_word' when word_count <= 5 then 'short_text' when word_count <= 20 then 'medium_text' else 'long_text' end type, count(*) n, round(avg(length(content)), 6) avg_length, count(distinct sender) senders from {sm} group by case when contains(content, 'http://') or contains(content, 'https://') then 'link_share' when word_count = 1 then 'single_word' when word_count <= 5 then 'short_text' when word_count <= 20 then 'medium_text' else 'long_text' end"),
     "dsh17_lengths": ("sm", f"select bucket, n, round(sum(n * mid) over () / sum(n) over (), 6) mean_words from (select a.bucket, n, mid from (select bucket, count(*) n from {_LENGTH} group by bucket) a join (select '1-2' bucket, 15e-1 mid union all select '3-5', 4e0 union all select '6-10', 8e0 union all select '11-20', 155e-1 union all select '21-50', 355e-1 union all select '50+', 75e0) b on b.bucket = a.bucket)"),
     "dsh18_latencies": ("r sm", f"select bucket, count(*) n from {_LATENCY} group by bucket"),
-    "dsh19_heatmap": ("m sm", f"select t.sender, h.h as hour, coalesce(a.n, 0) n, round(coalesce(a.n, 0) / cast(max(coalesce(a.n, 0)) over () as double), 6) intensity from (select sender from {{sm}} group by sender order by count(*) desc, sender limit 10) t cross join {_HOURS} h left join (select sender, hour, count(*) n from {{sm}} group by sender, hour) a on a.sender = t.sender and a.hour = h.h"),
-    "dsh20_dense_hours": ("m sm", f"select h.h as hour, coalesce(a.n, 0) n from {_HOURS} h left join (select hour, count(*) n from {{sm}} group by hour) a on a.hour = h.h"),
-    "dsh20_dense_days": ("m sm", f"select d.d dow, coalesce(a.n, 0) n from {_DAYS} d left join (select dow, count(*) n from {{sm}} group by dow) a on a.dow = d.d"),
+    "dsh19_heatmap": ("sm", f"select t.sender, h.h as hour, coalesce(a.n, 0) n, round(coalesce(a.n, 0) / cast(max(coalesce(a.n, 0)) over () as double), 6) intensity from (select sender from {{sm}} group by sender order by count(*) desc, sender limit 10) t cross join {_HOURS} h left join (select sender, hour, count(*) n from {{sm}} group by sender, hour) a on a.sender = t.sender and a.hour = h.h"),
+    "dsh20_dense_hours": ("sm", f"select h.h as hour, coalesce(a.n, 0) n from {_HOURS} h left join (select hour, count(*) n from {{sm}} group by hour) a on a.hour = h.h"),
+    "dsh20_dense_days": ("sm", f"select d.d dow, coalesce(a.n, 0) n from {_DAYS} d left join (select dow, count(*) n from {{sm}} group by dow) a on a.dow = d.d"),
     "dsh21_daily_patterns": ("sm", "select dow, n, peak_hour, case when n >= 8e-1 * most then 'very high' when n >= 6e-1 * most then 'high' when n >= 3e-1 * most then 'medium' else 'low' end level from (select dow, cast(sum(n) as bigint) n, max_by(hour, n * 100 - hour) peak_hour, max(sum(n)) over () most from (select dow, hour, count(*) n from {sm} group by dow, hour) group by dow)"),
     "dsh22_frequency": ("sm", "select sender, n, case when n >= 500 then 'very active' when n >= 200 then 'active' when n >= 50 then 'moderate' else 'quiet' end level, round(n / cast(n_days as double), 6) per_day from (select sender, count(*) n, count(distinct day) n_days from {sm} group by sender)"),
     "dsh23_patterns": ("r sm", f"select round(100e0 * count(case when latency_ms < 300000 then 1 end) / count(*), 6) quick_share, round(100e0 * count(case when latency_ms >= 3600000 then 1 end) / count(*), 6) delayed_share, case when count(case when latency_ms < 300000 then 1 end) > 6e-1 * count(*) then 'fast' when count(case when latency_ms >= 3600000 then 1 end) > 5e-1 * count(*) then 'relaxed' else 'mixed' end style from {_LATENCY}"),
-    "dsh24_sentiment_by_sender": ("sm", "select sender, round(sum(s) / sum(n), 6) sentiment, cast(sum(n) as bigint) n from (select sender, conversation_id, sum(compound) s, count(*) n from {sm} group by sender, conversation_id having count(*) >= 10) group by sender"),
+    # in whole hundredths, rounded half away from zero to six digits by integers, so that ties are the same everywhere
+    "dsh24_sentiment_by_sender": ("sm", "select sender, sign(s) * floor((abs(s) * 20000e0 + n) / (2e0 * n)) / 1e6 sentiment, n from (select sender, cast(sum(s) as bigint) s, cast(sum(n) as bigint) n from (select sender, conversation_id, sum(cast(round(compound * 100) as bigint)) s, count(*) n from {sm} group by sender, conversation_id having count(*) >= 10) group by sender)"),
     "dsh25_media_senders": ("sm", "select sender, count(case when has_photos then 1 end) photos, count(case when has_videos then 1 end) videos, count(case when media then 1 end) n, case when count(case when has_photos then 1 end) >= count(case when has_videos then 1 end) then 'photos' else 'videos' end preferred from {sm} group by sender order by n desc, sender limit 10"),
     "dsh26_monthly_trend": ("sm", "select month, count(*) n, count(case when has_photos then 1 end) photos, count(case when has_videos then 1 end) videos, count(case when has_share then 1 end) links from {sm} group by month"),
     "dsh27_parts_of_day": ("sm", "select count(case when hour between 6 and 11 then 1 end) morning, count(case when hour between 12 and 17 then 1 end) afternoon, count(case when hour between 18 and 22 then 1 end) evening, count(case when hour >= 23 or hour < 6 then 1 end) night from {sm}"),

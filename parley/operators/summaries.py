@@ -88,30 +88,6 @@ def daily_sentiment(m: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("label", F.when(mean > 0.1, "positive").when(mean < -0.1, "negative").otherwise("neutral"))
 
 
-def sharing_pairs(m: DataFrame, most: int) -> DataFrame:
-    """Pairs of senders that share a conversation of at most ``most`` senders."""
-    members = m.select("conversation_id", "sender").distinct()
-    members = members.join(members.groupBy("conversation_id").agg(F.count("*").alias("n")).filter(F.col("n") <= most), "conversation_id", "left_semi")
-    a, b = (members.select("conversation_id", F.col("sender").alias(f"sender{i}")) for i in (1, 2))
-    return a.join(b, "conversation_id").filter("sender1 < sender2").select("sender1", "sender2").distinct()
-
-
-def mood_correlation(m: DataFrame, min_messages: int = 1, min_days: int = 5, pairs: DataFrame | None = None) -> DataFrame:
-    """Pearson correlation of daily means for senders who share days; 0 where one does not vary.
-
-    With ``pairs`` (sender1 < sender2) only these are compared, else all, which grows with the square of the senders.
-    """
-    daily = m.groupBy("sender", C.day(F.col("ts")).alias("date")).agg(F.avg("compound").alias("v"), F.count("*").alias("n")).filter(F.col("n") >= min_messages)
-    daily = daily.join(daily.groupBy("sender").agg(F.count("*").alias("days")).filter(F.col("days") >= min_days), "sender", "left_semi")
-    a, b = (daily.select("date", F.col("sender").alias(f"sender{i}"), F.col("v").alias(f"v{i}")) for i in (1, 2))
-    both = a.join(b, "date").filter("sender1 < sender2") if pairs is None else pairs.join(a, "sender1").join(b, ["sender2", "date"])
-    s = both.groupBy("sender1", "sender2").agg(F.count("*").alias("shared_days"), *(F.sum(F.expr(e)).alias(k) for k, e in {"x": "v1", "y": "v2", "xx": "v1*v1", "yy": "v2*v2", "xy": "v1*v2"}.items()))
-    n = F.col("shared_days")
-    below = F.sqrt(F.greatest((n * F.col("xx") - F.col("x") ** 2) * (n * F.col("yy") - F.col("y") ** 2), F.lit(0.0)))
-    r = F.when(below > 1e-9, (n * F.col("xy") - F.col("x") * F.col("y")) / below).otherwise(0.0)
-    return s.filter(n >= min_days).select("sender1", "sender2", "shared_days", F.round(r, 4).alias("correlation"))
-
-
 def turn_stats(t: DataFrame) -> DataFrame:
     total = Window.partitionBy("conversation_id")
     by = t.groupBy("conversation_id", "participant").agg(F.count("*").alias("turn_count"), F.round(F.avg("message_count"), 6).alias("avg_length"), F.max("message_count").alias("max_length"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import clean, sentiment
 from parley.functions import compat as C
-from parley.operators import ordered, summaries, texts
+from parley.operators import moods, ordered, summaries, texts
 from parley.operators.statements import STATEMENTS, apply
 from parley.plans import tables
 from parley.plans.registry import register
@@ -92,10 +92,45 @@ for _id, _keys in {"agg35_timeline": [], "agg36_sender_timeline": ["sender"], "a
     _k = "".join(f"{k}, " for k in _keys)
     events(_id, f"select *, {_DAILY} from (select {_k}strftime(ts, '%Y-%m-%d') \"date\", round(sum(compound), 6) compound_sum, count(*) n from m where not is_system group by all)")(lambda m, k=_keys: summaries.daily_sentiment(m, *k))
 events("agg37_extreme_example", "select sender, strftime(ts, '%Y-%m-%d') \"date\", arg_max(message_id, (abs(compound), -message_id)) message_id from m group by all")(lambda m: m.groupBy("sender", C.day(F.col("ts")).alias("date")).agg(F.max_by("message_id", F.struct(F.abs("compound"), -F.col("message_id"))).alias("message_id")))
-events("agg42_mood_correlation", """select sender1, sender2, n shared_days, round(case when sqrt(greatest((n * xx - x * x) * (n * yy - y * y), 0)) > 1e-9 then (n * xy - x * y) / sqrt(greatest((n * xx - x * x) * (n * yy - y * y), 0)) else 0 end, 4) correlation from
-(select a.sender sender1, b.sender sender2, count(*) n, sum(a.v) x, sum(b.v) y, sum(a.v * a.v) xx, sum(b.v * b.v) yy, sum(a.v * b.v) xy from d a join d b on a."date" = b."date" and a.sender < b.sender join g on g.s1 = a.sender and g.s2 = b.sender group by all) where n >= 5""",
- """d as (select sender, strftime(ts, '%Y-%m-%d') "date", avg(compound) v from m group by all), c as (select conversation_id, sender, count(*) over (partition by conversation_id) people from (select distinct conversation_id, sender from m)),
- g as (select distinct x.sender s1, y.sender s2 from c x join c y on x.conversation_id = y.conversation_id and x.sender < y.sender where x.people <= 50)""")(lambda m: summaries.mood_correlation(m, pairs=summaries.sharing_pairs(m, 50)))
+# the oracle joins days, Spark multiplies blocks of senders
+_MEANS = "g as (select sender, \"day\", conversation_id, avg(compound) v, count(*) n from {m} where not sys group by all having count(*) >= 3)"
+_LAST = 'd as (select sender, "day", arg_max(v, conversation_id) v from g group by all)'
+_WEIGHTED = 'd as (select sender, "day", sum(v * n) / sum(n) v from g group by all)'
+_R = """c as (select sender1, sender2, shared_days, total_days, case when sqrt(greatest(b, 0)) > 1e-9 then (n * xy - x * y) / sqrt(b) else 0 end r from
+(select a.sender sender1, b.sender sender2, count(*) n, count(*) shared_days, greatest(any_value(a.days), any_value(b.days)) total_days, sum(a.v) x, sum(b.v) y, sum(a.v * b.v) xy, (count(*) * sum(a.v * a.v) - sum(a.v) * sum(a.v)) * (count(*) * sum(b.v * b.v) - sum(b.v) * sum(b.v)) b
+ from (select *, count(*) over (partition by sender) as days from d) a join (select *, count(*) over (partition by sender) as days from d) b on a."day" = b."day" and a.sender < b.sender group by all) where n >= {least})"""
+_BANDS = "case when abs(r) >= 0.7 then 'strong' when abs(r) >= 0.4 then 'moderate' when abs(r) >= 0.2 then 'weak' else 'none' end"
+
+
+def _moods(name: str, table: str, means: str, least: int, sql: str) -> Callable:
+    """Register a query over correlations ``c`` of the messages in ``table``."""
+    whole = tables.oracle(table, f"{_MEANS.replace('{m}', '{' + table + '}')}, {means}, {_R.replace('{least}', str(least))} {sql}", more=True)
+
+    def wrap(query: Callable[[DataFrame], DataFrame]):
+        register(name, whole)(lambda spark, sf_dir: query(tables.make(table, spark, sf_dir, {})))
+        return query
+
+    return wrap
+
+
+def _weighted(m: DataFrame) -> DataFrame:
+    by = m.filter("not sys").groupBy("sender", "day", "conversation_id").agg(F.avg("compound").alias("v"), F.count("*").alias("n")).filter("n >= 3")
+    return by.groupBy("sender", "day").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"))
+
+
+def _rated(pairs: DataFrame) -> DataFrame:
+    return pairs.select("sender1", "sender2", "shared_days", "total_days", F.round("correlation", 4).alias("correlation"), moods.strength(F.col("correlation")).alias("strength"))
+
+
+_moods("agg42_mood_correlation", "m", _LAST, 5, f"select sender1, sender2, shared_days, total_days, round(r, 4) correlation, {_BANDS} strength from c order by abs(round(r, 4)) desc, sender1, sender2 limit 50")(lambda m: _rated(moods.correlations(moods.daily(m.filter("not sys")), most=50)))
+_moods("agg42_mood_pairs", "m", _WEIGHTED, 5, f"select sender1, sender2, shared_days, total_days, round(r, 4) correlation, {_BANDS} strength from c")(lambda m: _rated(moods.correlations(_weighted(m))))
+_moods("agg42_mood_summary", "m", _LAST, 5, f"select count(*) total_correlations, count(*) filter ({_BANDS} = 'strong') strong_correlations, floor(avg(abs(r)) * 1000 + 0.5) / 1000 average_correlation from c")(
+    lambda m: moods.correlations(moods.daily(m.filter("not sys"))).agg(F.count("*").alias("total_correlations"), F.count_if(moods.strength(F.col("correlation")) == "strong").alias("strong_correlations"), C.js_round(F.avg(F.abs("correlation")), 3).alias("average_correlation"))
+)
+_moods("dsh07_mood_pairs", "sm", _WEIGHTED, 3, """, e as (select distinct x.sender p1, y.sender p2 from (select distinct conversation_id, sender from {sm}) x join (select distinct conversation_id, sender from {sm}) y on x.conversation_id = y.conversation_id and x.sender < y.sender)
+select sender1 s1, sender2 s2, shared_days, round(r, 4) correlation from c join e on sender1 = p1 and sender2 = p2""")(
+    lambda m: moods.correlations(_weighted(m), min_days=3, shared=m.select("sender", F.col("conversation_id").alias("key"))).select(F.col("sender1").alias("s1"), F.col("sender2").alias("s2"), "shared_days", F.round("correlation", 4).alias("correlation"))
+)
 
 # -- turns, bursts, starters, engagement
 events("agg49_burst_depths", "select conversation_id, message_count depth, count(*) bursts from b group by all", _islands(300_000, 2))(lambda m: summaries.burst_depths(ordered.gap_islands(m, 300_000, 2)))

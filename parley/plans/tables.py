@@ -2,7 +2,9 @@
 
 m: messages with calendar columns, counts and flags; r: replies; t: turns; b: bursts; s: session
 starters; x: reactions; k: participants; w: words less stop words; em: single emojis; u: links;
-e: emotion scores; sm: the messages of selected conversations by their participants; emb: vectors
+e: emotion scores; mp: media messages; ma: these with the answers of others in two hours; sa: session
+starters with the answers of others in a day; pw: messages of strong feeling with the messages up to six
+hours before; de: the days' extremes; ev: peaks and valleys of these; tk: keywords near an event; sm: the messages of selected conversations by their participants; emb: vectors
 scored against vector 0; pages.
 """
 
@@ -12,16 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import compat as C
-from parley.operators import ordered, summaries, texts
+from parley.operators import intervals, ordered, summaries, texts, triggers
 from parley.sources.adapters import EVENTS_SQL, messages_from_events
 
 #: Stated once for both engines.
 COMMON = {
     "x": ("m", "select message_id, conversation_id, sender target, concat('user_', cast(substr(sender, 6) as bigint) + 1) actor, case message_id % 5 when 0 then '❤️' when 1 then '❤' when 2 then '😂' when 3 then '👍' else '😮' end emoji, timestamp_ms, case message_id % 3 when 0 then timestamp_ms when 1 then cast(floor(timestamp_ms / 1000) as bigint) else 0 end reaction_ts from {m} where message_id % 7 = 0"),
+    # of each day's messages of some feeling the stronger of the best and the worst, the worst on a tie
+    "de": ("m", """select day, case when abs(hi) > abs(lo) then hi else lo end v, n, case when abs(hi) > abs(lo) then hi_id else lo_id end message_id, case when abs(hi) > abs(lo) then hi_ms else lo_ms end timestamp_ms, row_number() over (order by day) i from
+    (select day, max(compound) hi, min(compound) lo, count(*) n, max_by(message_id, compound * 1000000000 - message_id) hi_id, min_by(message_id, compound * 1000000000 + message_id) lo_id, max_by(timestamp_ms, compound * 1000000000 - message_id) hi_ms, min_by(timestamp_ms, compound * 1000000000 + message_id) lo_ms from {m} where not sys and abs(compound) >= 1e-1 group by day)"""),
+    "ev": ("de", """select day, v, i, message_id, timestamp_ms, prev, next, case when v > prev and v > next and v > mean + 25e-2 * sd then 'peak' else 'valley' end type from (select day, v, i, message_id, timestamp_ms, lag(v) over (order by i) prev, lead(v) over (order by i) next, avg(v) over () mean, stddev_pop(v) over () sd, count(*) over () n_days from {de})
+    where n_days >= 3 and prev is not null and next is not null and (v > prev and v > next and v > mean + 25e-2 * sd or v < prev and v < next and v < mean - 25e-2 * sd)"""),
     "k": ("m", "select distinct conversation_id, sender participant from {m} where not sys"),
     "sm": ("m k", "select m.* from {m} m join {k} k on k.conversation_id = m.conversation_id and k.participant = m.sender where m.conversation_id like 'whatsapp:%' or m.conversation_id in ('instagram:dm_1', 'instagram:dm_2', 'instagram:dm_3')"),
 }
 _EMOJI = texts.EMOJI
+_HOURS = 3_600_000
 #: Words in capitals.
 CAPITALS = r"\b[A-Z]{3,}\b"
 _STOPS = ", ".join(f"'{w}'" for w in texts.STOP_WORDS)
@@ -42,6 +50,10 @@ def _islands(begins: str) -> str:
     return f"(select *, sum(case when prev_id is null or {begins} then 1 else 0 end) {_W} island from {_O})"
 
 
+def _reply_kind() -> str:
+    return "case when contains(b.content, 'reacted to') or contains(b.content, '❤️') then 'reaction' when b.has_photos or b.has_videos then 'media' else 'text' end"
+
+
 ORACLE = {
     "m": f"""(select *, hour(ts) "hour", dayofweek(ts) dow, strftime(ts, '%Y-%m') "month", strftime(ts, '%Y-%m-%d') "day", has_photos or has_videos or content ilike '%sent an attachment%' media, {_system_sql()} sys,
   len(list_filter(regexp_split_to_array(content, '\\s+'), lambda z: z <> '')) word_count, len(regexp_extract_all(content, '{_EMOJI}')) emoji_count, len(regexp_extract_all(content, '{texts.URL}')) url_count, len(regexp_extract_all(content, '{CAPITALS}')) caps_count,
@@ -54,9 +66,16 @@ ORACLE = {
     "em": f"(select message_id, conversation_id, sender, unnest(regexp_extract_all(content, '{_EMOJI}')) emoji from m)",
     "u": "(select regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '') \"domain\", * exclude (url) from (select *, unnest(regexp_extract_all(content, 'https?://[^\\s]+')) url from m))",
     "e": f"(select message_id, conversation_id, sender, {', '.join(f'{texts.emotion_sql(k)} {k}' for k in texts.EMOTIONS)} from m)",
+    "mp": "(select message_id, conversation_id, sender, \"hour\", timestamp_ms, case when has_photos then 'photo' when has_videos then 'video' else 'attachment' end kind from m where media)",
+    "ma": f"""(select a.message_id, a.kind, b.message_id reply_id, b.sender responder, b.timestamp_ms - a.timestamp_ms after_ms, {_reply_kind()} reply_kind from mp a join m b on a.conversation_id = b.conversation_id and a.sender <> b.sender
+        and b.timestamp_ms between a.timestamp_ms and a.timestamp_ms + {2 * _HOURS} and (b.timestamp_ms > a.timestamp_ms or b.message_id > a.message_id))""",
+    "sa": f"(select s.message_id, b.timestamp_ms - s.timestamp_ms after_ms from s join m b on b.conversation_id = s.conversation_id and b.sender <> s.sender and b.timestamp_ms > s.timestamp_ms and b.timestamp_ms <= s.timestamp_ms + {24 * _HOURS})",
+    "pw": f"(select p.message_id peak_id, b.message_id from m p join m b on b.\"day\" = p.\"day\" and b.conversation_id = p.conversation_id and b.timestamp_ms between p.timestamp_ms - {6 * _HOURS} and p.timestamp_ms where abs(p.compound) >= 0.99)",
+    "tk": f"""(select ev."day", cause, place, kind, keyword, weight from ev join m b on b."day" = ev."day" and not b.sys and abs(b.compound) >= 0.1 and b.timestamp_ms between ev.timestamp_ms - {6 * _HOURS} and ev.timestamp_ms
+        join (values {triggers.values()}) t(cause, place, kind, keyword, weight) on contains(lower(b.content), keyword))""",
     "emb": "(select v.vec_id, list_cosine_similarity(v.embedding::double[], q.embedding::double[]) score from embeddings v, (select embedding from embeddings where vec_id = 0) q)",
 }
-_NEEDS = {"x": "m", "k": "m", "sm": "m k", "r": "m", "t": "m", "b": "m", "s": "m", "w": "m", "em": "m", "u": "m", "e": "m", "m": "", "emb": "", "pages": ""}
+_NEEDS = {"mp": "m", "ma": "m mp", "sa": "m s", "pw": "m", "de": "m", "ev": "de", "tk": "m ev", "x": "m", "k": "m", "sm": "m k", "r": "m", "t": "m", "b": "m", "s": "m", "w": "m", "em": "m", "u": "m", "e": "m", "m": "", "emb": "", "pages": ""}
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +88,41 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+def _media(m: DataFrame) -> DataFrame:
+    kind = F.when(F.col("has_photos"), "photo").when(F.col("has_videos"), "video").otherwise("attachment")
+    return m.filter("media").select("message_id", "conversation_id", "sender", "hour", "timestamp_ms", kind.alias("kind"))
+
+
+def _media_answers(m: DataFrame, mp: DataFrame) -> DataFrame:
+    asked = mp.select("message_id", "conversation_id", "sender", "kind", "timestamp_ms", (F.col("timestamp_ms") + 2 * _HOURS).alias("until"))
+    answers = m.select("conversation_id", F.col("message_id").alias("reply_id"), F.col("sender").alias("responder"), F.col("timestamp_ms").alias("at"), F.expr(_reply_kind().replace("b.", "")).alias("reply_kind"))
+    both = intervals.pairs(asked, answers, ["conversation_id"], "timestamp_ms", "until", "at", 2 * _HOURS).filter("sender <> responder and (at > timestamp_ms or reply_id > message_id)")
+    return both.select("message_id", "kind", "reply_id", "responder", (F.col("at") - F.col("timestamp_ms")).alias("after_ms"), "reply_kind")
+
+
+def _starter_answers(m: DataFrame, s: DataFrame) -> DataFrame:
+    asked = s.select("message_id", "conversation_id", "sender", (F.col("timestamp_ms") + 1).alias("since"), (F.col("timestamp_ms") + 24 * _HOURS).alias("until"))
+    answers = m.select("conversation_id", F.col("message_id").alias("reply_id"), F.col("sender").alias("responder"), F.col("timestamp_ms").alias("at"))
+    both = intervals.pairs(asked, answers, ["conversation_id"], "since", "until", "at", 24 * _HOURS).filter("sender <> responder")
+    return both.select("message_id", (F.col("at") - F.col("since") + 1).alias("after_ms"))
+
+
+def _before_peaks(m: DataFrame) -> DataFrame:
+    peaks = m.filter("abs(compound) >= 99e-2").select("conversation_id", "day", F.col("message_id").alias("peak_id"), (F.col("timestamp_ms") - 6 * _HOURS).alias("since"), F.col("timestamp_ms").alias("until"))
+    return intervals.pairs(peaks, m.select("conversation_id", "day", "message_id", F.col("timestamp_ms").alias("at")), ["conversation_id", "day"], "since", "until", "at", 6 * _HOURS).select("peak_id", "message_id")
+
+
+def _event_keywords(m: DataFrame, ev: DataFrame) -> DataFrame:
+    windows = ev.select("day", (F.col("timestamp_ms") - 6 * _HOURS).alias("since"), F.col("timestamp_ms").alias("until"))
+    texts = m.filter("not sys and abs(compound) >= 1e-1").select("day", "content", "message_id", F.col("timestamp_ms").alias("at"))
+    near = intervals.pairs(windows, texts, ["day"], "since", "until", "at", 6 * _HOURS)
+    return triggers.keywords(near, "content").select("day", "cause", "place", "kind", "keyword", "weight")
+
+
+#: Tables of pairs, which Spark makes by cells of time and the oracle by comparing bounds.
+_PAIRED = {"mp": _media, "ma": _media_answers, "sa": _starter_answers, "pw": _before_peaks, "tk": _event_keywords}
+
+
 def make(name: str, spark: SparkSession, sf_dir: str, made: dict[str, DataFrame]) -> DataFrame:
     """The table of this name; tables already in ``made`` are used again."""
     if name in made:
@@ -85,6 +139,8 @@ def make(name: str, spark: SparkSession, sf_dir: str, made: dict[str, DataFrame]
         out = v.crossJoin(F.broadcast(query)).select("vec_id", texts.cosine(F.col("embedding"), F.col("query")).alias("score"))
     elif name == "pages":
         out = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    elif name in _PAIRED:
+        out = _PAIRED[name](*(base[k] for k in _NEEDS[name].split()))
     else:
         out = {
             "r": ordered.responses, "t": ordered.turns, "b": lambda m: ordered.gap_islands(m, 300_000, 2), "s": ordered.session_starters, "w": texts.words,
@@ -94,8 +150,8 @@ def make(name: str, spark: SparkSession, sf_dir: str, made: dict[str, DataFrame]
     return out
 
 
-def oracle(inputs: str, sql: str) -> str:
-    """The statement in the oracle's dialect, with the tables it reads before it."""
+def oracle(inputs: str, sql: str, more: bool = False) -> str:
+    """The statement in the oracle's dialect, with the tables it reads before it; ``more``: it begins with further CTEs."""
     names: list[str] = []
 
     def need(n: str) -> None:
@@ -110,5 +166,5 @@ def oracle(inputs: str, sql: str) -> str:
     ctes = [f"{n} as {ORACLE[n] if n in ORACLE else '(' + plain(COMMON[n][1]) + ')'}" for n in names]
     if "m" in names:
         ctes.insert(0, EVENTS_SQL.replace("m as (", "m0 as (", 1))
-    body = plain(sql).replace("left anti join", "anti join").replace("regexp_like(", "regexp_matches(").replace("sha2(", "sha256(").replace("), 256)", "))")
-    return f"with {', '.join(ctes)} {body}" if ctes else body
+    body = plain(sql).replace("left anti join", "anti join").replace("regexp_like(", "regexp_matches(").replace("sha2(", "sha256(").replace("), 256)", "))").replace("explode(sequence(", "unnest(generate_series(").replace("array_join(array_sort(collect_set(", "array_to_string(list_sort(list(distinct ")
+    return f"with {', '.join(ctes)}{',' if more else ''} {body}" if ctes else body

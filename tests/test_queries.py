@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parley.operators import ordered, summaries, texts
+from parley.operators import intervals, moods, ordered, summaries, texts, triggers
 from parley.plans import registry
 
 MIN = 60_000
@@ -78,10 +78,76 @@ def test_slices_of_time_give_the_rows_of_one_window(spark, monkeypatch):
 
 
 def test_perfect_correlation(spark):
-    rows = [(s, f"2024-01-0{d} 12:00:00", v * (0.8 - 0.2 * (d - 1))) for d in range(1, 7) for s, v in (("A", 1.0), ("B", 0.5))]
-    m = spark.createDataFrame(rows, "sender string, ts string, compound double").withColumn("ts", F.col("ts").cast("timestamp"))
-    (r,) = summaries.mood_correlation(m).collect()
-    assert (r.sender1, r.sender2, r.shared_days, r.correlation) == ("A", "B", 6, 1.0)
+    rows = [(s, "c1", f"2024-01-0{d}", v * (0.8 - 0.2 * (d - 1))) for d in range(1, 7) for s, v in (("A", 1.0), ("B", 0.5)) for _ in range(3)] + [("C", "c1", f"2024-01-0{d}", 0.5) for d in (1, 2) for _ in range(3)]
+    m = spark.createDataFrame(rows, "sender string, conversation_id string, day string, compound double")
+    (r,) = moods.correlations(moods.daily(m)).collect()
+    assert (r.sender1, r.sender2, r.shared_days, r.total_days, round(r.correlation, 9)) == ("A", "B", 6, 6, 1.0)
+
+
+@pytest.mark.parametrize(("block", "most"), [(512, None), (40, None), (40, 50)])
+def test_every_pair_of_a_large_conversation_is_correlated(spark, monkeypatch, block, most):
+    monkeypatch.setattr(moods, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    # 150 senders of one conversation, some of whom share too few days; one does not vary
+    values = {(f"s{i}", f"d{d:02}"): 0.25 if i == 3 else float(rng.normal()) for i in range(150) for d in range(12) if rng.random() < (0.3 if i % 10 == 0 else 0.8)}
+    got = {(r.sender1, r.sender2): r for r in moods.correlations(spark.createDataFrame([(s, d, v) for (s, d), v in values.items()], "sender string, day string, v double"), most=most).collect()}
+    days = {s: {d for t, d in values if t == s} for s, _ in values}
+    want = {}
+    for a in days:
+        for b in days:
+            both = sorted(days[a] & days[b])
+            if a < b and len(both) >= 5 and len(days[a]) >= 5 and len(days[b]) >= 5:
+                x, y = (np.array([values[s, d] for d in both]) for s in (a, b))
+                r = 0.0 if "s3" in (a, b) else float(np.corrcoef(x, y)[0, 1])
+                want[a, b] = (len(both), max(len(days[a]), len(days[b])), round(r, 4) + 0.0)
+    if most:
+        want = dict(sorted(want.items(), key=lambda p: (-abs(p[1][2]), p[0]))[:most])
+    assert {k: (r.shared_days, r.total_days, round(r.correlation, 4) + 0.0) for k, r in got.items()} == want and len(want) == (most or len(want)) > 40
+
+
+def test_pairs_that_share_a_chat(spark):
+    rows = [(s, f"d{d}", float((hash_ + d * 3) % 5)) for hash_, s in enumerate("abcd") for d in range(6)]
+    shared = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", "y"), ("d", "z"), ("zz", "x")], "sender string, key string")
+    got = moods.correlations(spark.createDataFrame(rows, "sender string, day string, v double"), shared=shared).collect()
+    assert {(r.sender1, r.sender2) for r in got} == {("a", "b"), ("c", "d")}
+
+
+@pytest.mark.parametrize("scale", [1, 10])
+def test_interval_join_compares_little_more_than_it_gives(spark, scale):
+    rng = np.random.default_rng(scale)
+    n, hour = 400 * scale, 3_600_000
+    # one conversation has a third of all rows; the span grows with the rows
+    points = [(i, "hot" if i % 3 == 0 else f"c{i % 7}", int(t)) for i, t in enumerate(rng.integers(0, n * hour // 100, n))]
+    asked = [(-i, c, t, t + 2 * hour) for i, c, t in points[::4]] + [(9, None, 0, 1), (9, "hot", None, 5), (9, "hot", 5, 4)]
+    left = spark.createDataFrame(asked, "id long, k string, a long, b long")
+    right = spark.createDataFrame([*points, (-1, "hot", None), (-2, None, 7)], "at_id long, k string, t long")
+    args = (left, right, ["k"], "a", "b", "t", 2 * hour)
+    want = {(i, j) for i, c, a, b in asked[:-3] for j, d, t in points if c == d and a <= t <= b}
+    for hot in (intervals.HOT, 3):
+        assert {(r.id, r.at_id) for r in intervals.pairs(*args, hot=hot).collect()} == want
+        assert intervals.candidates(*args, hot=hot).count() <= 1.5 * len(want)
+    plan = intervals.pairs(*args)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__cell" in plan
+
+
+@pytest.mark.parametrize("name", ["agg46_emotion_totals", "agg49_burst_distribution", "agg55_conversation_engagement", "srt01_by_count"])
+def test_no_task_gets_all_rows(spark, sf_dir, name):
+    """No window without keys, for which all rows would go to one partition."""
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan()
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        assert node.nodeName() != "Window" or node.partitionSpec().nonEmpty()
+        todo += [node.children().apply(i) for i in range(node.children().length())]
+
+
+def test_keywords_of_a_text_count_once_for_each_list(spark):
+    texts_ = [(1, "Work at the office, so much WORK; a promotion denied"), (2, None), (3, ""), (4, "nothing here")]
+    got = triggers.keywords(spark.createDataFrame(texts_, "id long, content string"), "content").collect()
+    lists = {(r.id, r.cause, r.kind, r.keyword, r.weight) for r in got}
+    assert len(got) == len(lists)
+    want = {(i, c, k, w, x) for i, t in texts_ if t for c, _, k, w, x in triggers.lexicon() if w in t.lower()}
+    assert lists == want and (1, "work_stress", "negative", "promotion denied", 2.0) in lists
 
 
 def test_reply_quantiles_without_a_list_of_replies(spark):
