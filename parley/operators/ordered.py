@@ -118,6 +118,48 @@ def reply_texts(m: DataFrame, breaker: Column, gap_ms: int = 90_000, most: int =
     return whole.select("conversation_id", "first_id", F.when(F.length("text") > most, F.concat(F.substring("text", 1, most - 1), F.lit("…"))).otherwise(F.col("text")).alias("text"))
 
 
+# What stands in the place of an attachment.
+PLACEHOLDER = r"(?i)sent \d+ photo|sent a voice message|shared a link"
+
+
+def breaker() -> Column:
+    """Rows that end a reply turn and belong to none: notices, blank texts and stand-ins for attachments."""
+    blank = F.coalesce(F.trim("content") == "", F.lit(True))
+    return F.col("is_system") | blank | F.col("content").rlike(PLACEHOLDER)
+
+
+def turn_texts(m: DataFrame, breaks: Column, gap_ms: int = 90_000, most_context: int = 400, most_reply: int = 550, mark: str = MARK) -> DataFrame:
+    """Reply turns with their texts: as the context of an answer, bubbles joined by spaces and cut; as a reply, whole bubbles joined by marks.
+
+    Only bubbles that reach into either text are gathered.
+    """
+    run = Window.partitionBy("conversation_id", "turn_no").orderBy(*TIME)
+    said = F.trim("content")
+    held = _bubbles(m, breaks, gap_ms).withColumnRenamed("island", "turn_no").withColumns({"said": said, "n_words": F.size(F.filter(F.split(said, r"\s+"), lambda w: w != ""))})
+    held = held.withColumns({"at": F.row_number().over(run), "upto": F.sum(F.length("said") + 1).over(run), "size": F.sum(F.length("said") + len(mark)).over(run) - len(mark)})
+    early, whole = F.col("upto") - F.length("said") - 1 < most_context, (F.col("at") == 1) | (F.col("size") <= most_reply)
+    keep = F.when(early | whole, F.struct("at", "said", early.alias("early"), whole.alias("whole")))
+    part = lambda b, flag: F.transform(F.filter(b, lambda x: x[flag]), lambda x: x["said"])
+    out = held.groupBy("conversation_id", "turn_no").agg(
+        F.first("sender").alias("sender"), F.count("*").alias("n_bubbles"), F.min_by("message_id", F.struct(*TIME)).alias("first_id"), F.min("timestamp_ms").alias("start_ms"), F.max("timestamp_ms").alias("end_ms"),
+        F.sum("n_words").alias("words"), F.sum(F.length("said")).alias("chars"), F.min(F.length("said")).alias("shortest"), F.max(F.length("said")).alias("longest"), F.array_sort(F.collect_list(keep)).alias("b"),
+    )
+    reply = F.array_join(part(F.col("b"), "whole"), mark)
+    reply = F.when(F.length(reply) > most_reply, F.concat(F.substring(reply, 1, most_reply - 1), F.lit("…"))).otherwise(reply)
+    return out.withColumns({"context": F.substring(F.array_join(part(F.col("b"), "early"), " "), 1, most_context), "reply": reply}).drop("b")
+
+
+#: Turns of a conversation that one task sorts.
+TURNS_A_SLICE = 1_000_000
+
+
+def reply_pairs(turns: DataFrame, least: int = 2) -> DataFrame:
+    """A turn and the one before it in the conversation by another sender, whose context has ``least`` characters."""
+    lagged = with_lags(turns, F.floor(F.col("turn_no") / TURNS_A_SLICE), ["turn_no"], partner="sender", prev_id="first_id", prev_chars="chars", prev_end_ms="end_ms", asked="context")
+    pairs = lagged.filter((F.col("partner") != F.col("sender")) & (F.length("asked") >= least))
+    return pairs.select("conversation_id", "turn_no", "partner", F.col("sender").alias("persona"), "prev_id", "first_id", "words", "n_bubbles", "chars", "shortest", "longest", "prev_chars", "start_ms", "end_ms", "prev_end_ms", F.col("asked").alias("context"), "reply")
+
+
 def counts_after(m: DataFrame, within_ms: int) -> DataFrame:
     """For each message with a time, the messages of others in the ``within_ms`` after it.
 

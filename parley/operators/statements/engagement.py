@@ -36,9 +36,14 @@ STATEMENTS = {
     "agg54_engagement_inputs": ("m", "select a.sender, conversations, messages, round(avg_len, 6) avg_len, n_days, first_ms, last_ms, coalesce(starts, 0) starts from (select sender, count(distinct conversation_id) conversations, count(*) messages, avg(length(content)) avg_len, count(distinct day) n_days, min(timestamp_ms) first_ms, max(timestamp_ms) last_ms from {m} group by sender) a left join (select sender, count(*) starts from (select sender, row_number() over (partition by conversation_id order by timestamp_ms, message_id) n from {m}) where n = 1 group by sender) s on s.sender = a.sender"),
     "agg55_conversation_engagement": ("m", f"select conversation_id, round(avg(score), 6) avg_engagement, count(case when score >= 70 then 1 end) high, count(case when score >= 40 and score < 70 then 1 end) medium, count(case when score < 40 then 1 end) low, round(var_pop(score), 6) variance from {_MEMBERS} group by conversation_id"),
     "agg56_starters": ("s m sa", f"select message_id, conversation_id, sender, type, responses, round(avg_ms, 4) avg_ms, score from {_STARTS}"),
-    "agg57_starter_patterns": ("s m sa", f"select sender, count(*) sessions, round(100e0 * count(case when responses > 0 then 1 end) / count(*), 6) success, round(avg(score), 6) avg_score, case when count(*) >= 20 then 'prolific' when count(*) >= 10 then 'active' when count(*) >= 5 then 'occasional' else 'rare' end tier from {_STARTS} group by sender"),
+    "agg57_starter_patterns": ("s m sa", f"select sender, count(*) sessions, round(100e0 * count(case when responses > 0 then 1 end) / count(*), 6) success, round(avg(score), 6) avg_score, cast(floor(avg(avg_ms) + 5e-1) as bigint) avg_response_ms, case when count(*) >= 20 then 'prolific' when count(*) >= 10 then 'active' when count(*) >= 5 then 'occasional' else 'rare' end tier from {_STARTS} group by sender"),
     "agg57_starter_types": ("s m sa", f"select sender, type, n, rank from (select *, row_number() over (partition by sender order by n desc, type) rank from (select sender, type, count(*) n from {_STARTS} group by sender, type)) where rank <= 3"),
-    "agg58_topics": ("s m w sa", f"select w.word, count(*) frequency, round(avg(a.score), 6) avg_engagement, round(100e0 * count(case when responses > 0 then 1 end) / count(*), 6) success from (select distinct message_id, word from {{w}}) w join {_STARTS} a on a.message_id = w.message_id group by w.word having count(*) >= 3 order by frequency desc, w.word limit 20"),
+    "agg57_starter_topics": ("s tp", "select sender, word, n, rank from (select *, row_number() over (partition by sender order by n desc, word) rank from (select s.sender, t.word, count(*) n from {s} s join {tp} t on t.message_id = s.message_id group by s.sender, t.word)) where rank <= 5"),
+    "agg57_starter_times": ("s m", "select s.sender, m.hour, count(*) n from {s} s join {m} m on m.message_id = s.message_id group by s.sender, m.hour"),
+    "agg56_starter_keywords": ("s tp", "select t.message_id, t.word, count(*) n from {s} s join {tp} t on t.message_id = s.message_id group by t.message_id, t.word"),
+    "agg58_topics": ("s m tp sa", f"""select a.word, frequency, avg_engagement, success, top_starters from (select w.word, count(*) frequency, floor(avg(a.score) * 10 + 5e-1) / 10 avg_engagement, floor(1000e0 * count(case when responses > 0 then 1 end) / count(*) + 5e-1) / 10 success from {{tp}} w join {_STARTS} a on a.message_id = w.message_id group by w.word having count(*) >= 3) a
+        join (select word, concat(max(case when rn = 1 then sender else '' end), max(case when rn = 2 then concat(',', sender) else '' end), max(case when rn = 3 then concat(',', sender) else '' end)) top_starters from (select word, sender, row_number() over (partition by word order by count(*) desc, sender) rn from (select w.word, s.sender from {{s}} s join {{tp}} w on w.message_id = s.message_id) group by word, sender) where rn <= 3 group by word) t on t.word = a.word
+        order by frequency desc, a.word limit 20"""),
     "agg59_starter_hours": ("s m sa", f"select hour, count(*) n, round(avg(responses), 6) avg_responses, min(case when rn = 1 then sender end) top_starter from (select hour, responses, sender, dense_rank() over (partition by hour order by c desc, sender) rn from (select *, count(*) over (partition by hour, sender) c from {_STARTS})) group by hour"),
     "agg60_importance": ("m", f"select message_id, sender, conversation_id, score from (select *, round(greatest(1e-1, least(1e0, {_SCORE})), 3) score from (select * from {{m}} where content is not null order by timestamp_ms desc, message_id desc limit 50000) where not sys) order by score desc, message_id limit 1000"),
     "win18_first_per_key": ("m", "select k, message_id, score from (select substr(lower(content), 1, 20) k, message_id, abs(compound) score, row_number() over (partition by substr(lower(content), 1, 20) order by abs(compound) desc, message_id) n from {m}) where n = 1"),

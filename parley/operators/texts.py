@@ -29,14 +29,48 @@ EMOTIONS = {
 }
 # Words that make an emotion stronger or weaker, and by how much; the first that is there counts.
 INTENSITY = (("very|extremely|incredibly|absolutely|totally|completely|really|so|super|ultra", 1.5), ("quite|pretty|fairly|somewhat|rather|kind of|sort of", 1.2), ("slightly|a bit|a little|barely|hardly|maybe|perhaps", 0.7))
-#: Words that say nothing by themselves.
-STOP_WORDS = ("the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out", "has", "him", "his", "how", "now", "see", "way", "who", "did", "its", "let", "she", "too", "use", "this", "that", "with", "have", "from", "they", "what", "when", "where", "why", "will", "your", "when")
+# Words that say nothing by themselves, and words of notices.
+STOP_WORDS = (
+    "the", "and", "that", "this", "but", "for", "not", "you", "are", "was", "will",
+    "can", "with", "have", "had", "they", "them", "their", "there", "then",
+    "than", "when", "what", "who", "why", "how", "where", "which", "some", "any",
+    "all", "one", "two", "see", "get", "got", "make", "made", "take", "come", "came",
+    "went", "said", "say", "know", "think", "like", "just", "now", "way", "may",
+    "use", "its", "only", "over", "also", "back", "after", "first", "well", "work",
+    "life", "day", "part", "year", "much", "good", "new", "old", "great", "right",
+    "still", "own", "long", "same", "want", "look", "find", "give", "here", "both",
+    "last", "most", "very", "call", "even", "need", "feel", "try", "ask", "turn",
+    "move", "live", "seem", "show", "help", "talk", "let", "put", "would", "could",
+    "should", "his", "her", "him", "she", "your",
+)
+NOTICE_WORDS = (
+    "sent", "photo", "photos", "video", "videos", "reacted", "reaction", "reactions",
+    "message", "messages", "attachment", "attachments", "liked", "shared", "share",
+    "voice", "removed", "unsent", "sticker", "stickers", "gamepigeon", "move",
+    "named", "changed", "added", "call", "missed", "started", "ended",
+)
+# Words that are no topic of a starter, and how many topics it has.
+TOPIC_STOPS = (
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her",
+    "was", "one", "our", "out", "day", "get", "has", "him", "his", "how", "man",
+    "new", "now", "old", "see", "two", "way", "who", "boy", "did", "its", "let",
+    "put", "say", "she", "too", "use",
+)
+TOPICS = 5
+#: Tasks that the words of one conversation are dealt to.
+NAME_SALTS = 16
 
 
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
+def snippet(text: Column, most: int = 140) -> Column:
+    """A text on one line with single spaces, cut to ``most`` characters and an ellipsis."""
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)
+
+
 def text_metrics(m: DataFrame) -> DataFrame:
     return m.filter("content is not null").select("message_id", "conversation_id", "sender", word_count(F.col("content")).alias("word_count"), F.regexp_count("content", F.lit(EMOJI)).alias("emoji_count"), F.regexp_count("content", F.lit(URL)).alias("url_count"))
 
@@ -64,17 +98,60 @@ def length_distribution(t: DataFrame) -> DataFrame:
     return out.withColumn("percentage", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy("conversation_id")), 6))
 
 
+def name_tokens(name: Column) -> Column:
+    """The words of a person's name, of two characters and more."""
+    return F.filter(F.split(F.regexp_replace(F.lower(name), r"[^A-Za-z0-9_\s'’]", " "), r"\s+"), lambda w: F.length(w) >= 2)
+
+
+def label_tokens(label: Column) -> Column:
+    """The words of a conversation's label, cut at underscores too."""
+    return F.filter(F.split(F.regexp_replace(F.lower(label), r"[^A-Za-z0-9_\s]", " "), r"[\s_]+"), lambda w: F.length(w) >= 2)
+
+
+def name_blocklist(m: DataFrame) -> DataFrame:
+    """conversation_id and word: what names the conversation or anyone who writes in it."""
+    who = m.filter("trim(sender) <> ''").select("conversation_id", "sender").distinct()
+    label = F.regexp_replace("conversation_id", "^(instagram|messenger|whatsapp|imessage|meta):", "")
+    return who.select("conversation_id", F.explode(F.array_union(name_tokens(F.col("sender")), label_tokens(label))).alias("word")).distinct()
+
+
+def without_names(words: DataFrame, names: DataFrame) -> DataFrame:
+    """The words that name nobody in their conversation; a conversation's words are dealt to several tasks."""
+    dealt = words.withColumn("__salt", F.pmod(F.xxhash64("message_id"), F.lit(NAME_SALTS)).cast("int"))
+    copies = names.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(NAME_SALTS - 1))))
+    return dealt.join(copies, ["conversation_id", "word", "__salt"], "left_anti").select(*words.columns)
+
+
 def word_frequencies(m: DataFrame, k: int = 1000) -> DataFrame:
-    words = m.filter("not is_system").select("conversation_id", "sender", F.explode(F.split(F.lower(F.regexp_replace("content", r"[^A-Za-z0-9\s']", " ")), r"\s+")).alias("word"))
-    counts = words.filter("length(word) > 2 and not contains(word, 'http')").groupBy("word", "sender", "conversation_id").agg(F.count("*").alias("n")).filter("n > 1")
-    return counts.orderBy(F.desc("n"), "word", "sender", "conversation_id").limit(k)
+    """The most frequent words by sender and conversation that were used twice; names are taken out after counting."""
+    said = m.withColumn("sys", C.is_system(F.col("content"), F.col("is_system")))
+    counts = plain_words(said).groupBy("word", "sender", "conversation_id").agg(F.count("*").alias("n")).filter("n > 1")
+    return counts.join(name_blocklist(m), ["conversation_id", "word"], "left_anti").select("word", "sender", "conversation_id", "n").orderBy(F.desc("n"), "word", "sender", "conversation_id").limit(k)
 
 
-def words(m: DataFrame) -> DataFrame:
+def plain_words(m: DataFrame) -> DataFrame:
     """The words of longer messages that are no notices, less stop words and links."""
     parts = F.split(F.lower(F.regexp_replace("content", r"[^A-Za-z0-9_\s'’]", " ")), r"\s+")
     out = m.filter("not sys and length(content) > 5").select("message_id", "conversation_id", "sender", F.explode(parts).alias("word"))
-    return out.filter((F.length("word") > 2) & ~F.contains("word", F.lit("http")) & ~F.col("word").isin(*STOP_WORDS))
+    return out.filter((F.length("word") > 2) & ~F.contains("word", F.lit("http")) & ~F.col("word").isin(*STOP_WORDS, *NOTICE_WORDS))
+
+
+def words(m: DataFrame) -> DataFrame:
+    return without_names(plain_words(m), name_blocklist(m))
+
+
+def vocabulary(m: DataFrame) -> DataFrame:
+    """The words of a persona's messages: letters and apostrophes, three and more, less stop words and names."""
+    found = F.regexp_extract_all(F.lower("content"), F.lit("[a-z']{3,}"), F.lit(0))
+    out = m.filter("not is_system and content is not null").select("message_id", "conversation_id", "sender", F.explode(found).alias("word"))
+    return without_names(out.filter(~F.col("word").isin(*STOP_WORDS)), name_blocklist(m))
+
+
+def topic_keywords(text: Column) -> Column:
+    """The first words of a text that may be topics, without links and mentions."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"https?://[^\s]+", ""), "@[A-Za-z0-9_]+", "")
+    parts = F.split(F.lower(F.regexp_replace(bare, r"[^A-Za-z0-9_\s'’]", " ")), r"\s+")
+    return F.slice(F.filter(parts, lambda w: (F.length(w) >= 3) & ~w.isin(*TOPIC_STOPS)), 1, TOPICS)
 
 
 def links(m: DataFrame) -> DataFrame:

@@ -173,7 +173,11 @@ events("agg02_emoji_by_sender", "select * from (select conversation_id, sender,
 events("agg03_top_emojis", "select sender, emoji, n, rank from (select *, row_number() over (partition by sender order by n desc, emoji) rank from (select sender, emoji, count(*) n from (select sender, unnest(regexp_extract_all(content, '[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}\\x{2600}-\\x{26FF}\\x{2700}-\\x{27BF}]')) emoji from m) group by all)) where rank <= 5")(texts.top_emojis)
 events("agg05_length_distribution", f"""select conversation_id, bucket, coalesce(n, 0) n, round(100 * coalesce(n, 0) / sum(coalesce(n, 0)) over (partition by conversation_id), 6) percentage from
 (select distinct conversation_id, unnest([{', '.join(f"'{label}'" for _, label in C.LENGTHS)}]) bucket from x where word_count > 0) left join (select conversation_id, {C.bucket_sql('word_count', C.LENGTHS, True)} bucket, count(*) n from x where word_count > 0 group by all) using (conversation_id, bucket)""", _METRICS)(lambda m: texts.length_distribution(texts.text_metrics(m)))
-events("agg06_word_frequencies", "select * from (select word, sender, conversation_id, count(*) n from (select conversation_id, sender, unnest(regexp_split_to_array(lower(regexp_replace(content, '[^A-Za-z0-9\\s'']', ' ', 'g')), '\\s+')) word from m where not is_system) where length(word) > 2 and not contains(word, 'http') group by all) where n > 1 order by n desc, word, sender, conversation_id limit 1000")(texts.word_frequencies)
+register("agg06_word_frequencies", tables.oracle("w", "select word, sender, conversation_id, count(*) n from {w} group by word, sender, conversation_id having count(*) > 1 order by n desc, word, sender, conversation_id limit 1000"))(lambda spark, sf_dir: texts.word_frequencies(messages_from_events(spark, sf_dir)))
+for _source in tables.SOURCES:
+    register("fn16_snippets" if _source == "events" else f"fn16_snippets_of_{_source}", tables.oracle("m", "c as (select message_id, array_to_string(list_filter(regexp_split_to_array(content, '\\s+'), lambda z: z <> ''), ' ') s from m) select message_id, case when length(s) > 140 then s[1:139] || '…' else s end snippet, case when length(s) > 120 then s[1:119] || '…' else s end shorter from c", more=True, source=_source))(
+        lambda spark, sf_dir, source=_source: tables.messages(spark, sf_dir, source).select("message_id", texts.snippet(F.col("content")).alias("snippet"), texts.snippet(F.col("content"), 120).alias("shorter"))
+    )
 events("agg09_url_domains", "select regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '') domain, sender, conversation_id, count(*) n, min(timestamp_ms) first_seen, max(timestamp_ms) last_seen from (select *, unnest(regexp_extract_all(content, 'https?://[^\\s]+')) url from m) group by 1, 2, 3 order by n desc, domain, sender, conversation_id limit 100")(texts.url_domains)
 events("agg45_emotions", f"select * from (select message_id, conversation_id, sender, {', '.join(f'{texts.emotion_sql(k)} {k}' for k in texts.EMOTIONS)} from m) where {' + '.join(texts.EMOTIONS)} > 0")(texts.emotions)
 _LOW = "lower(trim(content))"
@@ -229,14 +233,21 @@ def fn09_lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- operators stated in SQL
-def _stated(name: str) -> Callable[[SparkSession, str], DataFrame]:
+def _stated(name: str, source: str = "events") -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        made: dict[str, DataFrame] = {}
+        made = {"m": tables.messages(spark, sf_dir, source)}
         inputs = STATEMENTS[name][0].split()
         return apply(name, spark, **{k: tables.make(k, spark, sf_dir, made) for k in inputs})
 
     return query
 
 
+#: Rules on texts, which the turns of conversations try with other words than the events' few phrases.
+ON_CONVERSATIONS = (
+    "agg01_text_totals", "agg06_words_without_stop_words", "agg07_top_words", "agg10_content_types", "agg11_content_summary", "agg57_starter_topics", "agg58_topics", "agg60_importance", "fn05_reaction_detector", "fn10_content_class", "fn14_words", "fn15_name_blocklist",
+    "fn17_topic_keywords", "fn31_timeline_score", "per01_base_stats", "per02_vocabulary", "per07_few_shot_pairs", "per11_bubble_habits", "per11_bubble_triggers", "per12_turn_habits", "per23_held_out_pairs", "per24_fine_tune_rows", "win08_reply_pairs", "win10_turn_habits",
+)
 for _name, (_inputs, _text) in STATEMENTS.items():
     register(_name, tables.oracle(_inputs, _text))(_stated(_name))
+for _name in ON_CONVERSATIONS:
+    register(f"{_name}_of_conversations", tables.oracle(*STATEMENTS[_name], source="conversations"))(_stated(_name, "conversations"))

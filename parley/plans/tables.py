@@ -1,8 +1,9 @@
 """The tables that statements read, made from the driver's tables, for Spark and as SQL for the oracle.
 
 m: messages with calendar columns, counts and flags; r: replies; t: turns; b: bursts; s: session
-starters; x: reactions; k: participants; w: words less stop words; em: single emojis; u: links;
-e: emotion scores; mp: media messages; ma: these with the answers of others in two hours; sa: session
+starters; nb: words that name people and conversations; vw: vocabulary; tp: topics; pv: messages with the one before;
+me: the account holder; x: reactions; k: participants; w: words less stop words; em: single emojis; u: links;
+e: emotion scores; rt: reply turns; rp: these with the turn of another before; mp: media messages; ma: these with the answers of others in two hours; sa: session
 starters with the answers of others in a day; pw: messages of strong feeling with the messages up to six
 hours before; de: the days' extremes; ev: peaks and valleys of these; tk: keywords near an event; sm: the messages of selected conversations by their participants; emb: vectors
 scored against vector 0; pages.
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import compat as C
 from parley.operators import intervals, ordered, summaries, texts, triggers
-from parley.sources.adapters import EVENTS_SQL, messages_from_events
+from parley.sources.adapters import CONVERSATIONS_SQL, EVENTS_SQL, messages_from_conversations, messages_from_events
 
 #: Stated once for both engines.
 COMMON = {
@@ -26,13 +27,15 @@ COMMON = {
     "ev": ("de", """select day, v, i, message_id, timestamp_ms, prev, next, case when v > prev and v > next and v > mean + 25e-2 * sd then 'peak' else 'valley' end type from (select day, v, i, message_id, timestamp_ms, lag(v) over (order by i) prev, lead(v) over (order by i) next, avg(v) over () mean, stddev_pop(v) over () sd, count(*) over () n_days from {de})
     where n_days >= 3 and prev is not null and next is not null and (v > prev and v > next and v > mean + 25e-2 * sd or v < prev and v < next and v < mean - 25e-2 * sd)"""),
     "k": ("m", "select distinct conversation_id, sender participant from {m} where not sys"),
+    # the account holder: who is in most two-person chats
+    "me": ("m", "select sender from (select distinct conversation_id, sender from {m} where conversation_id in (select conversation_id from {m} group by conversation_id having count(distinct sender) = 2)) group by sender order by count(*) desc, sender limit 1"),
     "sm": ("m k", "select m.* from {m} m join {k} k on k.conversation_id = m.conversation_id and k.participant = m.sender where m.conversation_id like 'whatsapp:%' or m.conversation_id in ('instagram:dm_1', 'instagram:dm_2', 'instagram:dm_3')"),
 }
 _EMOJI = texts.EMOJI
 _HOURS = 3_600_000
 #: Words in capitals.
 CAPITALS = r"\b[A-Z]{3,}\b"
-_STOPS = ", ".join(f"'{w}'" for w in texts.STOP_WORDS)
+_quoted = lambda *lists: ", ".join(f"'{w}'" for ws in lists for w in ws)
 _WORDS = "lower(regexp_replace(content, '[^A-Za-z0-9_\\s''’]', ' ', 'g'))"
 
 
@@ -62,10 +65,20 @@ ORACLE = {
     "t": f"(select conversation_id, island::bigint turn_no, first(sender) participant, count(*) message_count, min(timestamp_ms) start_ms, max(timestamp_ms) end_ms from {_islands('sender <> prev_sender')} group by conversation_id, island)",
     "b": f"(select conversation_id, island::bigint island_no, arg_min(sender, (timestamp_ms, message_id)) starter, count(*) message_count, count(distinct sender) n_senders, min(timestamp_ms) start_ms, max(timestamp_ms) end_ms from {_islands('gap_ms > 300000')} group by conversation_id, island having count(*) >= 2)",
     "s": f"(select conversation_id, message_id, sender, timestamp_ms from {_O} where prev_id is null or gap_ms >= 14400000)",
-    "w": f"(select message_id, conversation_id, sender, word from (select *, unnest(regexp_split_to_array({_WORDS}, '\\s+')) word from m where not sys and length(content) > 5) where length(word) > 2 and not contains(word, 'http') and word not in ({_STOPS}))",
+    "nb": """(select distinct conversation_id, unnest(list_filter(list_concat(regexp_split_to_array(regexp_replace(lower(sender), '[^A-Za-z0-9_\\s''’]', ' ', 'g'), '\\s+'),
+        regexp_split_to_array(regexp_replace(lower(regexp_replace(conversation_id, '^(instagram|messenger|whatsapp|imessage|meta):', '')), '[^A-Za-z0-9_\\s]', ' ', 'g'), '[\\s_]+')), lambda z: length(z) >= 2)) word from m where trim(sender) <> '')""",
+    "w": f"(select message_id, conversation_id, sender, word from (select *, unnest(regexp_split_to_array({_WORDS}, '\\s+')) word from m where not sys and length(content) > 5) x where length(word) > 2 and not contains(word, 'http') and word not in ({_quoted(texts.STOP_WORDS, texts.NOTICE_WORDS)}) and not exists (select 1 from nb where nb.conversation_id = x.conversation_id and nb.word = x.word))",
+    "vw": f"(select message_id, conversation_id, sender, word from (select *, unnest(regexp_extract_all(lower(content), '[a-z'']{{3,}}')) word from m where not is_system and content is not null) x where word not in ({_quoted(texts.STOP_WORDS)}) and not exists (select 1 from nb where nb.conversation_id = x.conversation_id and nb.word = x.word))",
+    "tp": f"(select message_id, conversation_id, sender, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(content, 'https?://[^\\s]+', '', 'g'), '@[A-Za-z0-9_]+', '', 'g'), '[^A-Za-z0-9_\\s''’]', ' ', 'g')), '\\s+'), lambda z: length(z) >= 3 and z not in ({_quoted(texts.TOPIC_STOPS)}))[1:{texts.TOPICS}]) word from m)",
+    "pv": f"(select *, lag(message_id) {_W} prev_id, lag(sender) {_W} prev_sender, lag(is_system) {_W} prev_system, lag(word_count) {_W} prev_words, lag(length(content)) {_W} prev_chars, lag(content) {_W} prev_content, timestamp_ms - lag(timestamp_ms) {_W} gap_ms from m where trim(content) <> '')",
     "em": f"(select message_id, conversation_id, sender, unnest(regexp_extract_all(content, '{_EMOJI}')) emoji from m)",
     "u": "(select regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '') \"domain\", * exclude (url) from (select *, unnest(regexp_extract_all(content, 'https?://[^\\s]+')) url from m))",
     "e": f"(select message_id, conversation_id, sender, {', '.join(f'{texts.emotion_sql(k)} {k}' for k in texts.EMOTIONS)} from m)",
+    "rt": f"""(select conversation_id, turn_no::bigint turn_no, any_value(sender) sender, count(*) n_bubbles, arg_min(message_id, (timestamp_ms, message_id)) first_id, min(timestamp_ms) start_ms, max(timestamp_ms) end_ms, sum(len(list_filter(regexp_split_to_array(said, '\\s+'), lambda z: z <> '')))::bigint words, sum(length(said))::bigint chars, min(length(said)) shortest, max(length(said)) longest,
+        string_agg(said, ' ' order by timestamp_ms, message_id)[1:400] context, case when length(first(said order by timestamp_ms, message_id)) > 550 then first(said order by timestamp_ms, message_id)[1:549] || '…' else string_agg(said, '{ordered.MARK}' order by timestamp_ms, message_id) filter (pos = 1 or size <= 550) end reply from
+        (select *, row_number() over run pos, sum(length(said) + {len(ordered.MARK)}) over run - {len(ordered.MARK)} size from (select *, sum(case when coalesce(aft, true) or breaks or sender <> prev_sender or gap_ms > 90000 then 1 else 0 end) {_W} turn_no from
+        (select *, trim(content) said, lag(breaks) {_W} aft, lag(sender) {_W} prev_sender, timestamp_ms - lag(timestamp_ms) {_W} gap_ms from (select *, is_system or coalesce(trim(content), '') = '' or regexp_matches(lower(content), 'sent [0-9]+ photo|sent a voice message|shared a link') breaks from m))) where not breaks window run as (partition by conversation_id, turn_no order by timestamp_ms, message_id)) group by conversation_id, turn_no)""",
+    "rp": "(select * exclude (sender, asked), sender persona, asked context from (select * exclude (context), lag(sender) over w partner, lag(first_id) over w prev_id, lag(chars) over w prev_chars, lag(end_ms) over w prev_end_ms, lag(context) over w asked from rt window w as (partition by conversation_id order by turn_no)) where partner <> sender and length(asked) >= 2)",
     "mp": "(select message_id, conversation_id, sender, \"hour\", timestamp_ms, case when has_photos then 'photo' when has_videos then 'video' else 'attachment' end kind from m where media)",
     "ma": f"""(select a.message_id, a.kind, b.message_id reply_id, b.sender responder, b.timestamp_ms - a.timestamp_ms after_ms, {_reply_kind()} reply_kind from mp a join m b on a.conversation_id = b.conversation_id and a.sender <> b.sender
         and b.timestamp_ms between a.timestamp_ms and a.timestamp_ms + {2 * _HOURS} and (b.timestamp_ms > a.timestamp_ms or b.message_id > a.message_id))""",
@@ -75,11 +88,15 @@ ORACLE = {
         join (values {triggers.values()}) t(cause, place, kind, keyword, weight) on contains(lower(b.content), keyword))""",
     "emb": "(select v.vec_id, list_cosine_similarity(v.embedding::double[], q.embedding::double[]) score from embeddings v, (select embedding from embeddings where vec_id = 0) q)",
 }
-_NEEDS = {"mp": "m", "ma": "m mp", "sa": "m s", "pw": "m", "de": "m", "ev": "de", "tk": "m ev", "x": "m", "k": "m", "sm": "m k", "r": "m", "t": "m", "b": "m", "s": "m", "w": "m", "em": "m", "u": "m", "e": "m", "m": "", "emb": "", "pages": ""}
+_NEEDS = {"nb": "m", "vw": "m nb", "tp": "m", "pv": "m", "me": "m", "rt": "m", "rp": "rt", "mp": "m", "ma": "m mp", "sa": "m s", "pw": "m", "de": "m", "ev": "de", "tk": "m ev", "x": "m", "k": "m", "sm": "m k", "r": "m", "t": "m", "b": "m", "s": "m", "w": "m nb", "em": "m", "u": "m", "e": "m", "m": "", "emb": "", "pages": ""}
 
 
-def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, c = messages_from_events(spark, sf_dir), F.col("content")
+#: Where messages come from, for Spark and as SQL.
+SOURCES = {"events": (messages_from_events, EVENTS_SQL), "conversations": (messages_from_conversations, CONVERSATIONS_SQL)}
+
+
+def messages(spark: SparkSession, sf_dir: str, source: str = "events") -> DataFrame:
+    m, c = SOURCES[source][0](spark, sf_dir), F.col("content")
     compound = F.col("compound")
     return m.withColumns({
         "hour": F.hour("ts"), "dow": F.dayofweek("ts") - 1, "month": C.month(F.col("ts")), "day": C.day(F.col("ts")), "media": summaries.media_message(), "sys": C.is_system(c, F.col("is_system")),
@@ -120,7 +137,7 @@ def _event_keywords(m: DataFrame, ev: DataFrame) -> DataFrame:
 
 
 #: Tables of pairs, which Spark makes by cells of time and the oracle by comparing bounds.
-_PAIRED = {"mp": _media, "ma": _media_answers, "sa": _starter_answers, "pw": _before_peaks, "tk": _event_keywords}
+_PAIRED = {"w": lambda m, nb: texts.without_names(texts.plain_words(m), nb), "vw": lambda m, nb: texts.vocabulary(m), "rp": ordered.reply_pairs, "mp": _media, "ma": _media_answers, "sa": _starter_answers, "pw": _before_peaks, "tk": _event_keywords}
 
 
 def make(name: str, spark: SparkSession, sf_dir: str, made: dict[str, DataFrame]) -> DataFrame:
@@ -132,7 +149,7 @@ def make(name: str, spark: SparkSession, sf_dir: str, made: dict[str, DataFrame]
     if name in COMMON:
         out = spark.sql(COMMON[name][1], **{k: base[k] for k in COMMON[name][0].split()})
     elif name == "m":
-        out = _messages(spark, sf_dir)
+        out = messages(spark, sf_dir)
     elif name == "emb":
         v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
         query = v.filter("vec_id = 0").select(F.col("embedding").alias("query")).limit(1)
@@ -143,14 +160,15 @@ def make(name: str, spark: SparkSession, sf_dir: str, made: dict[str, DataFrame]
         out = _PAIRED[name](*(base[k] for k in _NEEDS[name].split()))
     else:
         out = {
-            "r": ordered.responses, "t": ordered.turns, "b": lambda m: ordered.gap_islands(m, 300_000, 2), "s": ordered.session_starters, "w": texts.words,
+            "rt": lambda m: ordered.turn_texts(m, ordered.breaker()), "r": ordered.responses, "t": ordered.turns, "b": lambda m: ordered.gap_islands(m, 300_000, 2), "s": ordered.session_starters, "nb": texts.name_blocklist, "tp": lambda m: m.select("message_id", "conversation_id", "sender", F.explode(texts.topic_keywords(F.col("content"))).alias("word")),
+            "pv": lambda m: ordered.with_previous(m.filter("trim(content) <> ''").withColumn("n_chars", F.length("content")), prev_system="is_system", prev_words="word_count", prev_chars="n_chars", prev_content="content").drop("n_chars"),
             "em": lambda m: m.select("message_id", "conversation_id", "sender", F.explode(F.regexp_extract_all("content", F.lit(texts.EMOJI), F.lit(0))).alias("emoji")), "u": texts.links, "e": texts.emotion_scores,
         }[name](m)
     made[name] = out
     return out
 
 
-def oracle(inputs: str, sql: str, more: bool = False) -> str:
+def oracle(inputs: str, sql: str, more: bool = False, source: str = "events") -> str:
     """The statement in the oracle's dialect, with the tables it reads before it; ``more``: it begins with further CTEs."""
     names: list[str] = []
 
@@ -165,6 +183,6 @@ def oracle(inputs: str, sql: str, more: bool = False) -> str:
     plain = lambda s: s.format(**{n: n for n in _NEEDS})
     ctes = [f"{n} as {ORACLE[n] if n in ORACLE else '(' + plain(COMMON[n][1]) + ')'}" for n in names]
     if "m" in names:
-        ctes.insert(0, EVENTS_SQL.replace("m as (", "m0 as (", 1))
+        ctes.insert(0, SOURCES[source][1].replace("m as (", "m0 as (", 1))
     body = plain(sql).replace("left anti join", "anti join").replace("regexp_like(", "regexp_matches(").replace("sha2(", "sha256(").replace("), 256)", "))").replace("explode(sequence(", "unnest(generate_series(").replace("array_join(array_sort(collect_set(", "array_to_string(list_sort(list(distinct ")
     return f"with {', '.join(ctes)}{',' if more else ''} {body}" if ctes else body

@@ -29,6 +29,7 @@ def messages_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 11 == 0).alias("has_photos"),
         (F.col("event_id") % 13 == 0).alias("has_videos"),
         (F.col("event_id") % 17 == 0).alias("has_share"),
+        (F.col("event_id") % 23 == 0).alias("has_audio"),
         (F.col("event_id") % 19 == 0).alias("is_system"),
         (((F.col("event_id") * 37 + F.col("user_id") * 11) % 201 - 100).cast("double") / 100).alias("compound"),
     )
@@ -39,15 +40,21 @@ _CASE = " ".join(f"when {i} then '{p}'" for i, p in enumerate(PHRASES))
 EVENTS_SQL = f"""m as (select event_id message_id,
   case when event_type in ('view', 'click') then 'instagram:dm_' || (user_id // 2) else 'whatsapp:group_' || (user_id % 10) end conversation_id,
   'user_' || user_id sender, case when event_type in ('view', 'click') then 'instagram' else 'whatsapp' end source, epoch_us(ts) // 1000 timestamp_ms, ts,
-  case event_id % 12 {_CASE} end "content", event_id % 11 = 0 has_photos, event_id % 13 = 0 has_videos, event_id % 17 = 0 has_share, event_id % 19 = 0 is_system,
+  case event_id % 12 {_CASE} end "content", event_id % 11 = 0 has_photos, event_id % 13 = 0 has_videos, event_id % 17 = 0 has_share, event_id % 23 = 0 has_audio, event_id % 19 = 0 is_system,
   ((event_id * 37 + user_id * 11) % 201 - 100)::double / 100 compound from events)"""
 
 
+#: The turns of conversations for the oracle: a CTE named m.
+CONVERSATIONS_SQL = """m as (select conv_id * 1000 + turn message_id, 'meta:c' || conv_id conversation_id, role sender, 'meta' source, 1704067200000 + conv_id * 86400000 + turn * 60000 timestamp_ms, make_timestamp((1704067200000 + conv_id * 86400000 + turn * 60000) * 1000) ts,
+  text "content", false has_photos, false has_videos, false has_share, false has_audio, role = 'system' is_system, ((conv_id * 37 + turn * 11) % 201 - 100)::double / 100 compound from conversations)"""
+
+
 def messages_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One message per turn, a minute apart; system turns are flagged."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     ms = F.lit(1704067200000) + F.col("conv_id") * 86400000 + F.col("turn") * 60000
     return c.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.concat(F.lit("meta:c"), F.col("conv_id")).alias("conversation_id"), F.col("role").alias("sender"),
-        ms.alias("timestamp_ms"), F.timestamp_millis(ms).alias("ts"), F.col("text").alias("content"), (F.col("role") == "system").alias("is_system"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.concat(F.lit("meta:c"), F.col("conv_id")).alias("conversation_id"), F.col("role").alias("sender"), F.lit("meta").alias("source"),
+        ms.alias("timestamp_ms"), F.timestamp_millis(ms).alias("ts"), F.col("text").alias("content"), *(F.lit(False).alias(f"has_{k}") for k in ("photos", "videos", "share", "audio")), (F.col("role") == "system").alias("is_system"),
+        (((F.col("conv_id") * 37 + F.col("turn") * 11) % 201 - 100).cast("double") / 100).alias("compound"),
     )
