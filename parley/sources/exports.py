@@ -1,8 +1,7 @@
 """Finding chat exports, telling their platform, and exports of text blocks as messages.
 
 A folder's files are listed and sniffed by Spark; no file's content is read but that of text files.
-Spark never lists a file whose name begins with an underscore: a chat file named so is to be renamed
-to ``chat.txt`` first.
+``_chat.txt``, which Spark's own listing leaves out, is found by name.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.sources.importers import namespaced
+from parley.sources.importers import hidden_paths, namespaced
 
 #: Platforms in the order in which a folder is asked for them.
 PLATFORMS = ("imessage_db", "imessage", "whatsapp", "meta")
@@ -50,7 +49,7 @@ def _texts(spark: SparkSession, root: str) -> DataFrame:
 
 def _chat_named(path: Column) -> Column:
     low = F.lower(_name(path))
-    return (low == "chat.txt") | low.contains("whatsapp")
+    return low.isin("chat.txt", "_chat.txt") | low.contains("whatsapp")
 
 
 def block_text(spark: SparkSession, root: str) -> DataFrame:
@@ -87,7 +86,8 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     name = _name(F.col("path"))
     other = F.when(name.isin(*DATABASES), "imessage_db").when(name.rlike(r"^message_\d+\.json$"), "meta")
     text = F.when(_chat_named(F.col("path")), "whatsapp").when(looks_like_blocks(F.col("value")), "imessage")
-    return listed.filter(~name.endswith(".txt")).select("path", "changed_ms", other.alias("platform")).unionByName(_texts(spark, root).select("path", "changed_ms", text.alias("platform")))
+    hidden = spark.createDataFrame([(p, 0, "whatsapp") for p in hidden_paths(spark, root, "_chat.txt")], "path string, changed_ms long, platform string")
+    return hidden.unionByName(listed.filter(~name.endswith(".txt")).select("path", "changed_ms", other.alias("platform"))).unionByName(_texts(spark, root).select("path", "changed_ms", text.alias("platform")))
 
 
 def platform(spark: SparkSession, root: str) -> DataFrame:
@@ -103,10 +103,10 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     """
     rel, low = _below(F.col("path"), root), F.lower(_name(F.col("path")))
     depth = F.size(F.split(rel, "/"))
-    alone = (low.endswith(".zip") & (depth == 1)) | ((low.endswith("chat.db") | (low == "chat.txt")) & (depth <= 2))
+    alone = (low.endswith(".zip") & (depth == 1)) | ((low.endswith("chat.db") | low.isin("chat.txt", "_chat.txt")) & (depth <= 2))
     folder = F.when(F.col("platform").isNotNull() & (depth > 1), F.split(rel, "/")[0])
     found = files(spark, root).select(F.when(alone, rel).otherwise(folder).alias("candidate"), "changed_ms").filter("candidate is not null")
     name = F.lower(_name(F.col("candidate")))
-    add = F.when(name.endswith(".zip"), BONUS["zip"]).otherwise(0) + F.when(name.isin("chat.db", "chat.txt"), BONUS["db"]).otherwise(0)
+    add = F.when(name.endswith(".zip"), BONUS["zip"]).otherwise(0) + F.when(name.isin("chat.db", "chat.txt", "_chat.txt"), BONUS["db"]).otherwise(0)
     add = add + F.when(name.rlike("instagram|facebook|whatsapp"), BONUS["name"]).otherwise(0)
     return found.groupBy("candidate").agg(F.max("changed_ms").alias("changed_ms")).select("candidate", (F.col("changed_ms") + add).alias("score")).orderBy(F.desc("score"), "candidate")

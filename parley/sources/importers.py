@@ -6,18 +6,48 @@ read and parsed by Spark, a file a row, so an export of any number of chats is s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.functions import compat as C
 
 _ITEM = "array<struct<uri: string, creation_timestamp: bigint>>"
 JSON_SCHEMA = f"""participants array<struct<name: string>>, title string, thread_path string, messages array<struct<sender_name: string, timestamp_ms: bigint, content: string, type: string, is_unsent: boolean,
     photos: {_ITEM}, videos: {_ITEM}, audio_files: {_ITEM}, share: struct<link: string, share_text: string>, reactions: array<struct<reaction: string, actor: string>>>>"""
-# Notices of chat text files.
-NOTICES = ("messages and calls are end-to-end encrypted", "created group", "added you", "changed the subject", "changed this group's icon", "left", "joined using this group's invite link", "security code changed", "media omitted", "missed voice call", "missed video call")
-_DATE = r"(\d{1,2}/\d{1,2}/\d{2,4}),? (\d{1,2}:\d{2}(?::\d{2})?)(?:[\s\x{202F}]?([AaPp][Mm]))?"
-_LINE = rf"^[\x{{200E}}\x{{200F}}]?\[?{_DATE}\]?(?: - | )(.*)$"
+# What a notice of a chat text file holds.
+NOTICES = (
+    "end-to-end encrypted",
+    "security code changed",
+    "created group",
+    "added you",
+    "left",
+    "changed the subject",
+    "changed this group",
+    "changed the group",
+    "removed",
+    "joined using",
+    "deleted this message",
+    "message was deleted",
+    "missed voice call",
+    "missed video call",
+    "calling",
+    "media omitted",
+    "document omitted",
+    "sticker omitted",
+    "gif omitted",
+    "audio omitted",
+    "video omitted",
+    "image omitted",
+    "contact card omitted",
+    "waiting for this message",
+    "messages and calls are",
+)
+_DATE = r"(\d{1,2}[/.]\d{1,2}[/.]\d{2,4}),? (\d{1,2}:\d{2}(?::\d{2})?)(?:[\s\x{202F}]?([AaPp][Mm]))?"
+_LINE = rf"^[\x{{200E}}\x{{200F}}\x{{FEFF}}]*\[?{_DATE}\]?(?: - | )(.*)$"
 
 
 def repair(text: Column) -> Column:
@@ -35,6 +65,39 @@ def unescape(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("\\u00")), whole).otherwise(text)
 
 
+def decoded(text: Column) -> Column:
+    """A text of an export as it was written: both kinds of double encoding undone."""
+    return unescape(repair(text))
+
+
+def looks_encoded(text: Column) -> Column:
+    """Whether a text holds literal ``\\u00XX`` of bytes above ASCII; false for null."""
+    return F.coalesce(text.rlike(r"\\u00[89a-fA-F][0-9a-fA-F]"), F.lit(False))
+
+
+def _decoded(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType):
+        return decoded(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: _decoded(v, kind.elementType)) if _has_text(kind) else value
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, v: _decoded(v, kind.valueType)) if _has_text(kind.valueType) else value
+    if isinstance(kind, T.StructType) and _has_text(kind):
+        fields = [_decoded(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
+def _has_text(kind: T.DataType) -> bool:
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [getattr(kind, k) for k in ("elementType", "valueType") if hasattr(kind, k)]
+    return isinstance(kind, T.StringType) or any(map(_has_text, inner))
+
+
+def decode_all(df: DataFrame) -> DataFrame:
+    """df with every text decoded, however deep in structs, arrays and values of maps; names and keys stay."""
+    return df.select(*(_decoded(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields))
+
+
 def source_of(path: Column) -> Column:
     return F.when(F.lower(path).contains("facebook"), "messenger").otherwise("instagram")
 
@@ -50,18 +113,18 @@ def json_export(spark: SparkSession, root: str) -> DataFrame:
     """
     files = spark.read.schema(JSON_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "message_*.json").json(root)
     files = files.withColumn("path", F.col("_metadata.file_path"))
-    rows = files.select("path", F.explode("messages").alias("x")).select("path", "x.*").filter("sender_name is not null and timestamp_ms is not null")
+    rows = decode_all(files.select("path", F.explode("messages").alias("x")).select("path", "x.*").filter("sender_name is not null and timestamp_ms is not null"))
     count = lambda c: F.coalesce(F.size(c), F.lit(0))
-    sender, body = repair(F.col("sender_name")), F.when(F.col("is_unsent"), None).otherwise(repair(F.col("content")))
+    sender, body = F.col("sender_name"), F.when(F.col("is_unsent"), None).otherwise(F.col("content"))
     some = lambda c, word: F.when(count(c) > 0, F.concat(sender, F.lit(" sent "), count(c), F.lit(f" {word}"), F.when(count(c) > 1, "s").otherwise("")))
-    notice = F.coalesce(some("photos", "photo"), some("videos", "video"), F.when(count("audio_files") > 0, F.concat(sender, F.lit(" sent a voice message"))), F.when(F.col("share").isNotNull(), F.coalesce(repair(F.col("share.share_text")), F.concat(sender, F.lit(" shared a link")))))
+    notice = F.coalesce(some("photos", "photo"), some("videos", "video"), F.when(count("audio_files") > 0, F.concat(sender, F.lit(" sent a voice message"))), F.when(F.col("share").isNotNull(), F.coalesce(F.col("share.share_text"), F.concat(sender, F.lit(" shared a link")))))
     source, folder = source_of(F.col("path")), F.element_at(F.split("path", "/"), -2)
     content = F.coalesce(body, notice)
     return rows.select(
         namespaced(source, folder).alias("conversation_id"), sender.alias("sender"), "timestamp_ms", content.alias("content"), source.alias("source"),
         (F.coalesce(F.col("type") == "Call", F.lit(False)) | (body.isNull() & notice.isNotNull()) | C.is_system(content, F.lit(False))).alias("is_system"),
         (count("photos") > 0).alias("has_photos"), (count("videos") > 0).alias("has_videos"), (count("audio_files") > 0).alias("has_audio"), F.col("share").isNotNull().alias("has_share"),
-        F.transform(F.coalesce("reactions", F.array()), lambda r: F.struct(repair(r["reaction"]).alias("reaction"), repair(r["actor"]).alias("actor"))).alias("reactions"),
+        F.coalesce("reactions", F.array()).alias("reactions"), F.col("share.link").alias("share_link"), *(F.coalesce(c, F.array()).alias(c) for c in ("photos", "videos", "audio_files")),
     )
 
 
@@ -70,7 +133,7 @@ def chat_time(date: Column, time: Column, half: Column) -> Column:
 
     The first number is the day unless the second is above 12; two-digit years are of this century.
     """
-    a, b, y = (F.split(date, "/")[i].cast("int") for i in range(3))
+    a, b, y = (F.split(date, "[/.]")[i].cast("int") for i in range(3))
     month_first = (a <= 12) & (b > 12)
     h, minute = (F.split(time, ":")[i].cast("int") for i in (0, 1))
     second = F.coalesce(F.get(F.split(time, ":"), F.lit(2)).cast("int"), F.lit(0))
@@ -83,15 +146,42 @@ def chat_name(path: Column) -> Column:
     return F.when(stem.isin("_chat", "chat"), "WhatsApp Chat").otherwise(stem)
 
 
-def chat_text(spark: SparkSession, path: str) -> DataFrame:
-    """The messages of chat text files; lines without a time go on with the message before them.
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
 
-    Spark never lists a file whose name begins with an underscore; rename such a file to ``chat.txt``.
-    """
+    for b in batches:
+        for path in b.column(0).to_pylist():
+            system, at = fs.FileSystem.from_uri(path)
+            with system.open_input_stream(at) as f:
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read().decode("utf-8", "replace")])], names=["path", "value"])
+
+
+def hidden_paths(spark: SparkSession, root: str, name: str) -> list[str]:
+    """The paths of files of this name below root, which may begin with an underscore; Spark's own listing leaves such files out."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(top, True)
+    paths = []
+    while found.hasNext():
+        path = found.next().getPath()
+        if path.getName() == name:
+            paths.append(path.toUri().toString())
+    return sorted(paths)
+
+
+def hidden_texts(spark: SparkSession, root: str, name: str = "_chat.txt") -> DataFrame:
+    """path and value of such files, opened in tasks, one to a file."""
+    paths = hidden_paths(spark, root, name)
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return rows.mapInArrow(_read, "path string, value string")
+
+
+def chat_text(spark: SparkSession, path: str) -> DataFrame:
+    """The messages of chat text files; lines without a time go on with the message before them."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select(F.col("_metadata.file_path").alias("path"), "value")
+    files = files.unionByName(hidden_texts(spark, path))
     lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
     starts = lines.withColumn("start", F.col("line").rlike(_LINE).cast("int")).withColumn("no", F.sum("start").over(Window.partitionBy("path").orderBy("at"))).filter("no > 0")
-    whole = starts.groupBy("path", "no").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("parts")).select("path", "no", F.col("parts")[0]["line"].alias("head"), F.transform(F.slice("parts", 2, 1_000_000), lambda p: p["line"]).alias("more"))
+    whole = starts.groupBy("path", "no").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("parts")).select("path", "no", F.col("parts")[0]["line"].alias("head"), F.transform(F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0))), lambda p: p["line"]).alias("more"))
     part = lambda i: F.regexp_extract("head", _LINE, i)
     body = part(4)
     has_sender = body.rlike(r"^[^:]{1,80}: ")
@@ -99,25 +189,41 @@ def chat_text(spark: SparkSession, path: str) -> DataFrame:
     text = F.regexp_replace(text, r"\s+$", "")
     low, notice = F.lower(text), F.lit(False)
     for n in NOTICES:
-        notice = notice | low.endswith(n) | low.startswith(n)
+        notice = notice | low.contains(n)
     return whole.select(
         namespaced(F.lit("whatsapp"), chat_name(F.col("path"))).alias("conversation_id"), F.when(has_sender, F.regexp_extract(body, r"^([^:]{1,80}): ", 1)).otherwise("System").alias("sender"),
         chat_time(part(1), part(2), part(3)).alias("timestamp_ms"), text.alias("content"), F.lit("whatsapp").alias("source"), (~has_sender | notice).alias("is_system"),
     ).filter("timestamp_ms is not null")
 
 
+#: Hash buckets that conversations are numbered in, and the length of the slices of time in which one is.
+ID_BUCKETS = 4096
+SLICE_MS = 86_400_000
+
+
 def with_ids(m: DataFrame) -> DataFrame:
-    """message_id by conversation, time and sender, from 1, numbered within each conversation's own range of ids."""
-    place = F.row_number().over(Window.partitionBy("conversation_id").orderBy("timestamp_ms", "sender", "content"))
-    return m.withColumn("message_id", F.shiftleft(F.xxhash64("conversation_id").bitwiseAND(F.lit((1 << 39) - 1)), 24) + place)
+    """message_id from 1 without gaps, along conversation (in order of hash bucket and name), time, sender and text.
+
+    A conversation begins where those before it end, so no two share an id however large they are; it is
+    sorted in slices of time, and only counts go through windows over more than a slice.
+    """
+    at = ["conversation_id", "__slice"]
+    rows = m.withColumn("__slice", F.coalesce(F.floor(F.col("timestamp_ms") / SLICE_MS), F.lit(-(2**62)))).withColumn("__bucket", F.pmod(F.xxhash64("conversation_id"), F.lit(ID_BUCKETS)))
+    before = lambda keys, order, n: F.coalesce(F.sum(n).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = rows.groupBy("__bucket", *at).agg(F.count("*").alias("n"))
+    buckets = slices.groupBy("__bucket").agg(F.sum("n").alias("n")).select("__bucket", before([], ["__bucket"], "n").alias("__first"))  # ID_BUCKETS rows at most
+    offsets = slices.join(buckets, "__bucket").select(F.col("conversation_id").alias("__chat"), F.col("__slice").alias("__at"), (F.col("__first") + before(["__bucket"], at, "n")).alias("__before"))
+    placed = rows.join(offsets, F.col("conversation_id").eqNullSafe(F.col("__chat")) & (F.col("__slice") == F.col("__at"))).drop("__chat", "__at")
+    return placed.withColumn("message_id", F.col("__before") + F.row_number().over(Window.partitionBy(*at).orderBy("timestamp_ms", "sender", "content"))).drop("__slice", "__bucket", "__before")
+
+
+def attachments(m: DataFrame) -> dict[str, DataFrame]:
+    """The children of messages with ids, by table: reactions, photos, videos and audio, one row each with its place."""
+    items = {"photos": "photos", "videos": "videos", "audio": "audio_files"}
+    out = {k: m.select("message_id", F.posexplode(c).alias("place", "x")).select("message_id", "place", "x.uri", "x.creation_timestamp") for k, c in items.items()}
+    return out | {"reactions": m.select("message_id", F.posexplode("reactions").alias("place", "x")).select("message_id", "place", "x.reaction", "x.actor")}
 
 
 def replace_by_source(m: DataFrame, path: str) -> None:
     """Store messages by source; sources that m has are replaced, others stay."""
     m.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
-
-
-def fine_tune_lines(pairs: DataFrame, path: str) -> None:
-    """Pairs of context and reply as lines of JSON with chat roles."""
-    turn = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
-    pairs.select(F.to_json(F.struct(F.array(turn("user", "context"), turn("assistant", "reply")).alias("messages"))).alias("value")).write.mode("overwrite").text(path)

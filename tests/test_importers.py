@@ -33,7 +33,7 @@ def test_chat_text(spark, tmp_path):
     )
     rows = importers.chat_text(spark, str(tmp_path)).orderBy("timestamp_ms", "sender").collect()
     at = lambda s: spark.sql(f"select unix_millis(timestamp'{s}')").first()[0]
-    assert [(r.sender, r.content, r.is_system) for r in rows] == [("Ann", "hello\nand more", False), ("System", "Messages and calls are end-to-end encrypted", True), ("Bob", "ok: fine", False), ("Ann", "image omitted", False)]
+    assert [(r.sender, r.content, r.is_system) for r in rows] == [("Ann", "hello\nand more", False), ("System", "Messages and calls are end-to-end encrypted", True), ("Bob", "ok: fine", False), ("Ann", "image omitted", True)]
     assert [r.timestamp_ms for r in rows] == [at("2024-03-15 10:30:45")] * 2 + [at("2024-03-25 13:05:00"), at("2024-03-26 01:05:09")]
     assert {r.conversation_id for r in rows} == {"whatsapp:Ann"}
 
