@@ -19,13 +19,8 @@ STATEMENTS = {
     # -- stored tables
     "snk01_attachment_text": ("m", """select message_id, coalesce(body, case when has_photos then concat(sender, ' sent ', n, ' photo', case when n > 1 then 's' else '' end) when has_videos then concat(sender, ' sent ', n, ' video', case when n > 1 then 's' else '' end)
         when has_share then concat(sender, ' shared a link') else '' end) content, body is null system from (select *, case when message_id % 2 = 0 then null else content end body, message_id % 3 + 1 n from {m} where has_photos or has_videos or has_share)"""),
-    "snk02_replace_by_source": ("m", """select source, count(*) n, min(message_id) least, max(message_id) most from
-        (select * from {m} where message_id % 2 = 1 and source = 'whatsapp' union all select * from {m} where message_id % 2 = 0 and source not in (select source from {m} where message_id % 2 = 1 and source = 'whatsapp')) group by source"""),
     "snk03_namespaced_ids": ("m", """select conversation_id, case when raw like 'instagram:_%' or raw like 'messenger:_%' or raw like 'whatsapp:_%' or raw like 'imessage:_%' or raw like 'meta:_%' then raw else concat(source, ':', raw) end named
         from (select distinct conversation_id, source, case when source = 'whatsapp' then replace(conversation_id, 'whatsapp:', '') else conversation_id end raw from {m})"""),
-    "snk10_upsert_meta": ("m", "select k, v from (select sender k, message_id v, row_number() over (partition by sender order by timestamp_ms desc, message_id desc) n from {m}) where n = 1"),
-    "snk11_replace_metrics": ("m", """select message_id, word_count from (select *, row_number() over (partition by message_id order by version desc) n from
-        (select message_id, word_count, 1 version from {m} union all select message_id, word_count + 1, 2 from {m} where message_id % 4 = 0)) where n = 1"""),
     # -- filters
     "flt02_conversation_scope": ("m", "select message_id from {m} where conversation_id in (select conversation_id from {m} group by conversation_id having count(*) >= 50)"),
     "flt04_participant_union": ("k", "select distinct participant from {k} where conversation_id in ('whatsapp:group_1', 'whatsapp:group_2')"),

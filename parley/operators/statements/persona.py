@@ -35,7 +35,6 @@ STATEMENTS = {
     "per13_shared_timeline": ("m me", f"""select persona, day, k, message_id, score, place from (select *, count(*) over (partition by persona) facts from (select *, row_number() over (partition by persona order by score desc, day desc, message_id) place from (select *, row_number() over (partition by persona, k order by score desc, day desc, message_id) again from
         (select sender persona, day, message_id, lower(substr(trim(content), 1, 60)) k, round({TIMELINE}, 6) score from (select *, count(*) over (partition by sender) rows_of, row_number() over (partition by sender order by timestamp_ms desc, message_id desc) newest from {{m}} where not is_system and trim(content) <> ''
         and conversation_id in (select conversation_id from {{m}} where sender in (select sender from {{me}})) and sender not in (select sender from {{me}})) where rows_of >= 20 and newest <= 4000) where score >= 35e-1) where again = 1) where place <= 12) where facts >= 3"""),
-    "per14_vectors_to_make": ("m", "select sender, message_id from (select sender, message_id, row_number() over (partition by sender order by timestamp_ms desc, message_id desc) n, count(*) over (partition by sender) c from {m} where length(trim(content)) >= 8 and not sys) where n <= 2500 and c >= 20 and message_id % 3 <> 0"),
     "per19_memory_snippets": ("m", "select message_id, concat(coalesce(before_text, ''), ' -> ', content) snippet from (select message_id, content, lag(content) over (partition by conversation_id order by timestamp_ms, message_id) before_text from {m}) where contains(lower(content), 'trip')"),
     "per20_thread_seed": ("m", """select k.conversation_id, k.persona, m.message_id, case when m.sender = k.persona then 'assistant' else 'user' end chat_role, m.place from (select distinct conversation_id, sender persona from {m} where conversation_id in (select conversation_id from {m} group by conversation_id having count(distinct sender) = 2)) k
         join (select conversation_id, message_id, sender, row_number() over (partition by conversation_id order by timestamp_ms desc, message_id desc) place from {m} where not is_system and trim(content) <> '') m on m.conversation_id = k.conversation_id where m.place <= 80"""),

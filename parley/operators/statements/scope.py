@@ -35,5 +35,4 @@ STATEMENTS = {
     "dsh25_media_senders": ("sm", "select sender, count(case when has_photos then 1 end) photos, count(case when has_videos then 1 end) videos, count(case when media then 1 end) n, case when count(case when has_photos then 1 end) >= count(case when has_videos then 1 end) then 'photos' else 'videos' end preferred from {sm} group by sender order by n desc, sender limit 10"),
     "dsh26_monthly_trend": ("sm", "select month, count(*) n, count(case when has_photos then 1 end) photos, count(case when has_videos then 1 end) videos, count(case when has_share then 1 end) links from {sm} group by month"),
     "dsh27_parts_of_day": ("sm", "select count(case when hour between 6 and 11 then 1 end) morning, count(case when hour between 12 and 17 then 1 end) afternoon, count(case when hour between 18 and 22 then 1 end) evening, count(case when hour >= 23 or hour < 6 then 1 end) night from {sm}"),
-    "dsh28_freshness": ("m", "select source, imported, generated, case when generated is null then 'never generated' when imported > generated then 'stale' else 'fresh' end state from (select source, max(timestamp_ms) imported, max(case when message_id % 50 = 0 then timestamp_ms end) generated from {m} group by source)"),
 }

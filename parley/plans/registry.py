@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from parley.plans import catalog, memory  # noqa: F401  (enter their queries when imported)
+    from parley.plans import catalog, memory, outputs  # noqa: F401  (enter their queries when imported)
 
 
 def queries() -> dict[str, Query]:
