@@ -16,9 +16,6 @@ _SCORE = """(case when length(content) > 200 then 3e-1 when length(content) > 10
     + (case when regexp_like(lower(content), 'https?://') or contains(lower(content), 'www.') then 1e-1 else 0e0 end) + (case when contains(content, '@') then 8e-2 else 0e0 end)
     + (case when regexp_like(lower(content), 'love|hate|amazing|terrible|fantastic|awful|excited|worried|happy|sad|angry|surprised') then 1e-1 else 0e0 end) + (case when hour < 6 or hour > 22 then 5e-2 else 0e0 end) + (case when length(content) > 500 then 1e-1 else 0e0 end)
     + (case when caps_count between 1 and 4 then 8e-2 else 0e0 end)"""
-#: Engagement of a conversation's members: their messages in it against twice the mean of all messages' senders.
-_MEMBERS = """(select conversation_id, sender, least(100e0, 100e0 * n / mean_n) score from (select conversation_id, sender, count(*) n from {m} where not sys group by conversation_id, sender),
-    (select sum(2e0 * n * n) / sum(n) mean_n from (select sender, cast(count(*) as double) n from {m} where not sys group by sender)))"""
 
 STATEMENTS = {
     "agg15_corpus_summary": ("m", "select count(*) conversations, cast(sum(n) as bigint) messages, round(avg(n - 1), 6) avg_turns, round(avg(duration), 4) avg_duration_ms, round(avg(people), 6) avg_participants, max(everyone) unique_participants from (select conversation_id, cast(count(*) as double) n, cast(max(timestamp_ms) - min(timestamp_ms) as double) duration, cast(count(distinct sender) as double) people from {m} group by conversation_id), (select count(distinct sender) everyone from {m})"),
@@ -34,7 +31,6 @@ STATEMENTS = {
         round(100e0 * count(case when prev <> participant and message_count = 1 and turn_no > first_turn then 1 end) / count(*), 6) interruption_rate from (select *, min(turn_no) over (partition by conversation_id, participant) first_turn from {_PAUSES}) where conversation_id in {_KEPT} group by conversation_id, participant"""),
     "agg52_turn_participants": ("t", f"""select participant, count(distinct conversation_id) conversations, count(*) turns, round(avg(message_count), 6) avg_length, round(avg(case when prev <> participant and pause > 0 and pause < 86400000 then 1000000e0 / pause end), 6) responsiveness from {_PAUSES} where conversation_id in {_KEPT} group by participant"""),
     "agg54_engagement_inputs": ("m", "select a.sender, conversations, messages, round(avg_len, 6) avg_len, n_days, first_ms, last_ms, coalesce(starts, 0) starts from (select sender, count(distinct conversation_id) conversations, count(*) messages, avg(length(content)) avg_len, count(distinct day) n_days, min(timestamp_ms) first_ms, max(timestamp_ms) last_ms from {m} group by sender) a left join (select sender, count(*) starts from (select sender, row_number() over (partition by conversation_id order by timestamp_ms, message_id) n from {m}) where n = 1 group by sender) s on s.sender = a.sender"),
-    "agg55_conversation_engagement": ("m", f"select conversation_id, round(avg(score), 6) avg_engagement, count(case when score >= 70 then 1 end) high, count(case when score >= 40 and score < 70 then 1 end) medium, count(case when score < 40 then 1 end) low, round(var_pop(score), 6) variance from {_MEMBERS} group by conversation_id"),
     "agg56_starters": ("s m sa", f"select message_id, conversation_id, sender, type, responses, round(avg_ms, 4) avg_ms, score from {_STARTS}"),
     "agg57_starter_patterns": ("s m sa", f"select sender, count(*) sessions, round(100e0 * count(case when responses > 0 then 1 end) / count(*), 6) success, round(avg(score), 6) avg_score, cast(floor(avg(avg_ms) + 5e-1) as bigint) avg_response_ms, case when count(*) >= 20 then 'prolific' when count(*) >= 10 then 'active' when count(*) >= 5 then 'occasional' else 'rare' end tier from {_STARTS} group by sender"),
     "agg57_starter_types": ("s m sa", f"select sender, type, n, rank from (select *, row_number() over (partition by sender order by n desc, type) rank from (select sender, type, count(*) n from {_STARTS} group by sender, type)) where rank <= 3"),

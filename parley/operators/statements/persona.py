@@ -9,6 +9,10 @@ _WITH_YOU = "(select * from (select p.*, row_number() over (partition by persona
 _ADJACENT = "(select *, sender persona, substr(prev_content, 1, 400) context, substr(content, 1, 500) reply from {pv} where not is_system and not prev_system and prev_sender <> sender)"
 _STARTS = "(select sender, count(*) starts from (select sender, row_number() over (partition by conversation_id, day order by timestamp_ms, message_id) n from {m}) where n = 1 group by sender)"
 
+# Labels of lengths and of emoji rates.
+_LENGTH_LABEL = "case when avg_words < 4 then 'very short' when avg_words < 10 then 'short' when avg_words < 25 then 'medium' else 'long' end"
+_EMOJI_LABEL = "case when avg_emojis >= 4e-1 then 'often' when avg_emojis < 5e-2 then 'rarely' else 'sparingly' end"
+
 STATEMENTS = {
     "per01_base_stats": ("m", "select sender, count(*) n, round(avg(word_count), 6) avg_words, round(avg(emoji_count), 6) avg_emojis from {m} where not sys group by sender having count(*) >= 5"),
     "per02_vocabulary": ("vw", "select sender, word, n, rank from (select *, row_number() over (partition by sender order by n desc, word) rank from (select sender, word, count(*) n from {vw} group by sender, word)) where rank <= 25"),
@@ -20,10 +24,10 @@ STATEMENTS = {
     "per07_with_you_pairs": ("rp me", f"""select persona, first_id, pick from (select *, row_number() over (partition by persona order by rn, first_at) pick from (select *, row_number() over (partition by persona, conversation_id order by score desc, place) rn, min(spot) over (partition by persona, conversation_id) first_at from
         (select *, row_number() over (partition by persona order by score desc, conversation_id, place) spot from (select *, words + case when n_bubbles > 1 then 2 else 0 end score from (select *, row_number() over (partition by persona order by rn0, conversation_id) kept from (select *, row_number() over (partition by persona, conversation_id order by turn_no) rn0 from {_WITH_YOU})) where kept <= 80)))) where pick <= 40"""),
     "per07_ranked_pairs": ("rp", "select persona, partner, first_id, rank from (select *, row_number() over (partition by persona, partner order by words + case when n_bubbles > 1 then 2 else 0 end desc, first_id) rank from {rp}) where rank <= 40"),
-    "per09_relationship": ("m", """select a.s1, a.s2, a.chats, messages, round(100e0 * questions / messages, 6) question_rate, round(avg_words, 6) avg_words from (select x.sender s1, y.sender s2, count(*) chats from (select distinct conversation_id, sender from {m}) x join (select distinct conversation_id, sender from {m}) y on x.conversation_id = y.conversation_id and x.sender < y.sender and x.conversation_id like 'instagram%' group by x.sender, y.sender) a
-        join (select sender, count(*) messages, count(case when contains(content, '?') then 1 end) questions, avg(word_count) avg_words from {m} where not sys group by sender) b on b.sender = a.s1"""),
-    "per10_conversation_voices": ("m", "select conversation_id, sender, n, avg_words, rank from (select *, row_number() over (partition by sender order by n desc, conversation_id) rank from (select conversation_id, sender, count(*) n, round(avg(word_count), 6) avg_words from {m} where not sys group by conversation_id, sender having count(*) >= 25)) where rank <= 20"),
-    "per10_platform_voices": ("m k", "select m.sender, m.source, count(*) n, round(avg(m.word_count), 6) avg_words, round(100e0 * count(case when p.people = 2 then 1 end) / count(*), 6) dm_share from {m} m join (select conversation_id, count(*) people from {k} group by conversation_id) p on p.conversation_id = m.conversation_id where not m.sys group by m.sender, m.source having count(*) >= 40"),
+    "per10_conversation_voices": ("m k", f"""select v.conversation_id, v.sender, n, avg_words, avg_emojis, people, {_LENGTH_LABEL} length_label, case when people <= 2 then 'dm' when people <= 5 then 'small_group' else 'group' end chat_type, {_EMOJI_LABEL} emoji_label, rank from (select *, row_number() over (partition by sender order by n desc, conversation_id) rank from
+        (select conversation_id, sender, count(*) n, floor(avg(word_count) * 10 + 5e-1) / 10 avg_words, floor(avg(emoji_count) * 100 + 5e-1) / 100 avg_emojis from {{m}} where not is_system and trim(content) <> '' group by conversation_id, sender having count(*) >= 25)) v join (select conversation_id, count(*) people from {{k}} group by conversation_id) p on p.conversation_id = v.conversation_id where rank <= 20"""),
+    "per10_platform_voices": ("m k", f"""select sender, source, n, chats, avg_words, avg_emojis, {_LENGTH_LABEL} length_label, {_EMOJI_LABEL} emoji_label, dm_share, case when dm_share >= 6e-1 then 'mostly 1:1' when dm_share <= 35e-2 then 'often groups' else '' end where_mostly from (select m.sender, m.source, count(*) n, count(distinct m.conversation_id) chats, floor(avg(m.word_count) * 10 + 5e-1) / 10 avg_words, floor(avg(m.emoji_count) * 100 + 5e-1) / 100 avg_emojis,
+        floor(1000e0 * count(case when coalesce(p.people, 0) <= 2 then 1 end) / count(*) + 5e-1) / 1000 dm_share from {{m}} m left join (select conversation_id, count(*) people from {{k}} group by conversation_id) p on p.conversation_id = m.conversation_id where not m.is_system and trim(m.content) <> '' and trim(m.source) <> '' group by m.sender, m.source having count(*) >= 40)"""),
     "per11_bubble_habits": ("rt", """select sender, turns, floor(1000 * multi / cast(turns as double) + 5e-1) / 1000 multi_rate, floor(100 * bubbles / cast(turns as double) + 5e-1) / 100 avg_bubbles, most, coalesce(middle, 1e0) median_when_multi from (select sender, count(*) turns, count(case when n_bubbles > 1 then 1 end) multi, sum(n_bubbles) bubbles, max(n_bubbles) most, median(case when n_bubbles > 1 then n_bubbles end) middle from {rt} group by sender) where turns >= 10"""),
     "per11_bubble_triggers": ("rp", """select persona, samples, case when kinds = '' then 'separate thoughts that do not fit in one text' else substr(kinds, 3) end triggers from (select persona, count(*) samples, concat(case when avg(asks) >= 25e-2 then ', follow-up questions' else '' end, case when avg(plans) >= 2e-1 then ', plans/logistics' else '' end, case when avg(reacts) >= 15e-2 then ', reactions + a second thought' else '' end) kinds from
         (select persona, case when contains(reply, '?') then 1e0 else 0e0 end asks, case when regexp_like(lower(reply), '(^|[^a-z0-9_])(time|when|where|meet|friday|saturday|sunday|tomorrow|tonight|free|plans?)([^a-z0-9_]|$)') then 1e0 else 0e0 end plans, case when regexp_like(lower(reply), '^(omg|wait|haha|lol|lmao|no way|dude|bro)([^a-z0-9_]|$)') then 1e0 else 0e0 end reacts from

@@ -120,18 +120,23 @@ def starter_responses(m: DataFrame, starters: DataFrame, within_ms: int = 86_400
 
 
 def engagement(m: DataFrame, replies: DataFrame) -> DataFrame:
-    """Six components of 0 to 100 per participant, scaled by means over participants, and their weighted sum."""
-    m = m.filter("not is_system")
+    """Six components of 0 to 100 per participant, scaled by means over participants, and their weighted sum.
+
+    Conversations of one sender count in the number of all conversations and in nothing else.
+    """
+    every = m.agg(F.count_distinct("conversation_id").alias("g_conversations"))
+    shared = m.groupBy("conversation_id").agg(F.count_distinct("sender").alias("n")).filter("n >= 2")
+    m = m.join(shared, "conversation_id", "left_semi")
     first = m.groupBy("conversation_id").agg(F.min_by("sender", F.struct("timestamp_ms", "message_id")).alias("participant"))
     starts = first.groupBy("participant").agg(F.count("*").alias("starts"))
     latency = replies.groupBy(F.col("responder").alias("participant")).agg(F.avg("latency_ms").alias("latency"))
     p = m.groupBy(F.col("sender").alias("participant")).agg(
-        F.count_distinct("conversation_id").alias("conversations"), F.count("*").alias("messages"), F.avg(F.length("content")).alias("length"),
+        F.count_distinct("conversation_id").alias("conversations"), F.count("*").alias("messages"), F.avg(F.coalesce(F.length("content"), F.lit(0))).alias("length"),
         F.count_distinct(C.day(F.col("ts"))).alias("days"), ((F.max("timestamp_ms") - F.min("timestamp_ms")) / 86_400_000).alias("span"),
     )
     p = p.join(starts, "participant", "left").join(latency, "participant", "left").fillna({"starts": 0, "latency": 0.0, "length": 0.0})
     p = p.withColumn("per", F.col("messages") / F.col("conversations"))
-    whole = p.agg(F.avg("per").alias("g_per"), F.avg("latency").alias("g_latency"), F.avg("length").alias("g_length")).crossJoin(m.agg(F.count_distinct("conversation_id").alias("g_conversations")))
+    whole = p.agg(F.avg("per").alias("g_per"), F.avg("latency").alias("g_latency"), F.avg("length").alias("g_length")).crossJoin(every)
     p = p.crossJoin(F.broadcast(whole))  # one row
     cap = lambda c: F.least(F.lit(100.0), c)
     parts = {
@@ -147,6 +152,15 @@ def engagement(m: DataFrame, replies: DataFrame) -> DataFrame:
     return p.select("participant", F.round("overall", 4).alias("overall_score"), *(F.round(k, 4).alias(k) for k in WEIGHTS), F.col("conversations").alias("conversations_count"), F.col("messages").alias("total_messages"), tier.alias("engagement_tier"))
 
 
+def conversation_engagement(m: DataFrame, replies: DataFrame) -> DataFrame:
+    """The mean of the scores of a conversation's members, how many are of each tier, and how far they differ."""
+    scores = engagement(m, replies).select(F.col("participant").alias("sender"), "overall_score", "engagement_tier")
+    members = m.select("conversation_id", "sender").distinct().join(scores, "sender")
+    tier = lambda t: F.count_if(F.col("engagement_tier") == t).alias(t)
+    out = members.groupBy("conversation_id").agg(F.count("*").alias("n"), C.js_round(F.avg("overall_score"), 1).alias("avg_engagement"), tier("high"), tier("medium"), tier("low"), F.round(F.var_pop("overall_score"), 4).alias("variance"))
+    return out.join(m.groupBy("conversation_id").agg(F.count_distinct("sender").alias("people")).filter("people >= 2").select("conversation_id"), "conversation_id", "left_semi").drop("n")
+
+
 def participants_filter(rows: DataFrame, participants: DataFrame) -> DataFrame:
     """Rows whose sender belongs to the row's conversation; conversations without participants keep theirs."""
     known = participants.select("conversation_id").distinct().withColumn("known", F.lit(True))

@@ -141,15 +141,18 @@ events("agg50_turn_patterns", """select conversation_id, turn_count, round(most
 join (select conversation_id, coalesce(avg(p) filter (p > 0 and p < 86400000), 0) pause from (select *, start_ms - lag(end_ms) over (partition by conversation_id order by turn_no) p from t) group by 1) using (conversation_id)""", TURNS)(lambda m: summaries.turn_patterns(ordered.turns(m)))
 events("agg56_starter_responses", "select s.message_id, s.conversation_id, s.sender, count(x.message_id) response_count from o s left join m x on s.conversation_id = x.conversation_id and x.timestamp_ms > s.timestamp_ms and x.timestamp_ms <= s.timestamp_ms + 86400000 and x.sender != s.sender where s.prev_id is null or s.gap_ms >= 14400000 group by all", ORDERED)(lambda m: summaries.starter_responses(m, ordered.session_starters(m)))
 _PARTS = ", ".join(f"round({k}, 4) {k}" for k in summaries.WEIGHTS)
-events("agg53_engagement", f"""select participant, round(overall, 4) overall_score, {_PARTS}, conversations conversations_count, messages total_messages, case when overall >= 70 then 'high' when overall >= 40 then 'medium' else 'low' end engagement_tier from
+_SCORED = f"""y as (select participant, round(overall, 4) overall_score, {_PARTS}, conversations conversations_count, messages total_messages, case when overall >= 70 then 'high' when overall >= 40 then 'medium' else 'low' end engagement_tier from
 (select *, {' + '.join(f'{k} * {w}' for k, w in summaries.WEIGHTS.items())} overall from (select *, least(100, messages / conversations / g_per * 50) message_frequency,
  case when latency > 0 then least(100, g_latency / latency * 50) else 50 end response_speed, least(100, starts / conversations * 100) conversation_initiation,
  case when len > 0 then least(100, len / g_len * 50) else 25 end message_length, least(100, n_days / greatest(1, ceil(span)) * 100) consistency, least(100, conversations / g_conv * 200) social_connectivity
- from p, (select avg(messages / conversations) g_per, avg(latency) g_latency, avg(len) g_len from p), (select count(distinct conversation_id) g_conv from m where not is_system)))""",
- REPLIES + """, p as (select sender participant, count(distinct conversation_id) conversations, count(*) messages, avg(length(content)) len, count(distinct strftime(ts, '%Y-%m-%d')) n_days, (max(timestamp_ms) - min(timestamp_ms)) / 86400000 span,
- coalesce(any_value(starts), 0) starts, coalesce(any_value(latency), 0) latency from m
- left join (select participant, count(*) starts from (select arg_min(sender, (timestamp_ms, message_id)) participant from m where not is_system group by conversation_id) group by 1) s on s.participant = sender
- left join (select responder, avg(latency_ms) latency from r group by 1) l on l.responder = sender where not is_system group by 1)""")(lambda m: summaries.engagement(m, ordered.responses(m)))
+ from p, (select avg(messages / conversations) g_per, avg(latency) g_latency, avg(len) g_len from p), (select count(distinct conversation_id) g_conv from m))))"""
+_SCORES = f"""{REPLIES}, mm as (select * from m where conversation_id in (select conversation_id from m group by 1 having count(distinct sender) >= 2)), p as (select sender participant, count(distinct conversation_id) conversations, count(*) messages, avg(coalesce(length(content), 0)) len, count(distinct strftime(ts, '%Y-%m-%d')) n_days, (max(timestamp_ms) - min(timestamp_ms)) / 86400000 span,
+ coalesce(any_value(starts), 0) starts, coalesce(any_value(latency), 0) latency from mm
+ left join (select participant, count(*) starts from (select arg_min(sender, (timestamp_ms, message_id)) participant from mm group by conversation_id) group by 1) s on s.participant = sender
+ left join (select responder, avg(latency_ms) latency from r group by 1) l on l.responder = sender group by 1), {_SCORED}"""
+events("agg53_engagement", "select * from y", _SCORES)(lambda m: summaries.engagement(m, ordered.responses(m)))
+events("agg55_conversation_engagement", """select conversation_id, floor(avg(overall_score) * 10 + 0.5) / 10 avg_engagement, count(*) filter (engagement_tier = 'high') high, count(*) filter (engagement_tier = 'medium') medium, count(*) filter (engagement_tier = 'low') low, round(var_pop(overall_score), 4) variance
+from (select distinct conversation_id, sender from mm) k join y on y.participant = k.sender group by 1""", _SCORES)(lambda m: summaries.conversation_engagement(m, ordered.responses(m)))
 events("per08_infer_self", "select sender, count(*) chats from (select distinct conversation_id, sender from m where conversation_id in (select conversation_id from m group by 1 having count(distinct sender) = 2)) group by 1 order by chats desc, sender limit 1")(
     lambda m: m.join(m.groupBy("conversation_id").agg(F.count_distinct("sender").alias("n")).filter("n = 2"), "conversation_id", "left_semi").select("conversation_id", "sender").distinct().groupBy("sender").agg(F.count("*").alias("chats")).orderBy(F.desc("chats"), "sender").limit(1)
 )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.operators import ordered, retrieval
+from parley.operators import ordered, relationships, retrieval
 from parley.plans import tables
 from parley.plans.registry import register
 from parley.sources.adapters import messages_from_conversations
@@ -183,3 +183,34 @@ def fn25_pair_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a reply shares with the turn before it, and how their lengths compare."""
     pairs = tables.make("rp", spark, sf_dir, {})
     return pairs.select("first_id", *(f(F.col("context"), F.col("reply")) for f in (retrieval.token_jaccard, retrieval.length_ratio)))
+
+
+# -- relationship cards
+_LINES = """, mb as (select distinct conversation_id, sender from m where not is_system), sc as (select conversation_id, sender persona from mb where sender not in (select sender from me) and conversation_id in (select conversation_id from mb where sender in (select sender from me))),
+l0 as (select *, row_number() over (partition by sender order by timestamp_ms desc, message_id desc) newest from m where not is_system and trim(content) <> '' and (conversation_id, sender) in (select (conversation_id, persona) from sc)),
+ln as (select *, trim(content) said, lower(trim(content)) low, string_split(trim(content), chr(10))[1][1:80] head from l0 where newest <= 3000 and sender in (select sender from l0 group by 1 having count(*) >= 8)),
+ps as (select list_distinct([regexp_split_to_array(lower(trim(sender)), '\\s+')[1], regexp_split_to_array(lower(trim(sender)), '\\s+')[-1]]) parts from me)"""
+_FOND = "[" + ", ".join(f"'{e}'" for e in relationships.ENDEARMENTS) + "]"
+_NAMED = f"lower(regexp_extract(head, '{relationships.GREETING}', 1))".replace("a-z']", "a-z'']")
+_GREETS = f"regexp_matches(head, '{relationships.GREETING}')".replace("a-z']", "a-z'']")
+_PHRASES = f"""f as (select sender persona, 'address' kind, unnest(list_concat(list_filter([case when {_NAMED} <> '' and (len(list_filter(parts, lambda p: starts_with({_NAMED}, p[1:3]) or starts_with(p, {_NAMED}[1:3]))) > 0 or list_contains({_FOND}, {_NAMED})) then {_NAMED} else '' end], lambda z: length(z) >= 2),
+  list_filter({_FOND}, lambda e: regexp_matches(low, '\\b' || e || '\\b')), list_filter(parts, lambda p: length(p) >= 3 and (length(said) < 40 or {_GREETS}) and regexp_matches(low, '\\b' || regexp_escape(p) || '\\b')))) item from ln, ps
+union all select sender, 'opener', lower(regexp_extract(said, '{relationships.OPENER}', 1)) from ln union all select sender, 'closer', lower(regexp_extract(said, '{relationships.CLOSER}', 1)) from ln where word_count <= 6)"""
+
+
+def _card_query(name: str, sql: str, query) -> None:
+    for source in tables.SOURCES:
+        def made(spark: SparkSession, sf_dir: str, source: str = source) -> DataFrame:
+            held = {"m": tables.messages(spark, sf_dir, source)}
+            return query(held["m"], tables.make("me", spark, sf_dir, held))
+
+        whole = tables.oracle("m me", (_LINES[2:] + sql).replace("{", "{{").replace("}", "}}"), more=True, source=source) if sql else None
+        register(name if source == "events" else f"{name}_of_{source}", whole)(made)
+
+
+_card_query("per09_relationship_phrases", f", {_PHRASES} select persona, kind, item, n, rank from (select *, row_number() over (partition by persona, kind order by n desc, item) rank from (select persona, kind, item, count(*) n from f where item <> '' group by all)) where rank <= 6", relationships.phrases)
+_card_query("per09_relationship_mentions", "", relationships.mentions)
+_card_query("per09_relationship_teasing", f", t as (select sender persona, said line, least(20, word_count) words, newest, row_number() over (partition by sender, low order by least(20, word_count) desc, newest) again from ln where length(said) between 8 and 120 and regexp_matches(said, '{relationships.TEASE}')) select persona, line, rank from (select *, row_number() over (partition by persona order by words desc, newest) rank from t where again = 1) where rank <= 5", relationships.teasing)
+_card_query("per09_relationship_cards", """, a as (select sender persona, count(*) shared_messages, floor(avg(word_count) * 10 + 0.5) / 10 words_with_you, floor(avg(case when contains(content, '?') then 1.0::double else 0 end) * 1000 + 0.5) / 1000 question_rate from ln group by 1), b as (select persona, count(*) shared_chats from sc group by 1),
+d as (select sender persona, avg(compound) v, avg(case when compound > 0.05 then 1.0::double else 0 end) p, avg(case when compound < -0.05 then 1.0::double else 0 end) q from m where not is_system and (conversation_id, sender) in (select (conversation_id, persona) from sc) group by 1), e as (select sender persona, floor(avg(word_count) * 10 + 0.5) / 10 words_everywhere from m where not is_system group by 1)
+select persona, shared_messages, shared_chats, case when v is null then 'tone with you is hard to pin down from available data' when v > 0.2 and p > 0.35 then 'usually warm / upbeat with you' when v < -0.1 or q > 0.3 then 'often blunt or cooler with you than average' when v > 0.05 then 'mildly positive / friendly with you' else 'fairly neutral with you' end tone, question_rate, words_with_you, words_everywhere from a join b using (persona) join d using (persona) join e using (persona)""", relationships.cards)

@@ -76,8 +76,8 @@ def snk04_json_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.read_lines(spark, run.root, "messages_by_sender", "conversation_id string, sender string, message_count long")
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made: dict[str, DataFrame] = {}
+def _pairs(spark: SparkSession, sf_dir: str, source: str = "events") -> DataFrame:
+    made = {"m": tables.messages(spark, sf_dir, source)}
     pairs, me = tables.make("rp", spark, sf_dir, made), tables.make("me", spark, sf_dir, made)
     holder = me.select(F.col("sender").alias("partner"), F.lit(True).alias("with_you"))
     return pairs.withColumn("source", F.split("conversation_id", ":")[0]).join(holder, "partner", "left").fillna(False, ["with_you"])
@@ -96,10 +96,10 @@ def snk05_fine_tune_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("src22_unused_pairs", tables.oracle("rp", """f as (select * from (select *, row_number() over (partition by persona order by rn, conversation_id) pick from (select *, row_number() over (partition by persona, conversation_id order by turn_no) rn from rp)) where pick <= 80)
-select persona, first_id from rp where (persona, trim(context), trim(reply)) not in (select (persona, trim(context), trim(reply)) from f)""", more=True))
+select persona, first_id from rp where (persona, trim(context), trim(reply)) not in (select (persona, trim(context), trim(reply)) from f)""", more=True, source="conversations"))
 def src22_unused_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs left for a second run, which reads the few-shot pairs of the first back from its dataset."""
-    pairs = _pairs(spark, sf_dir)
+    pairs = _pairs(spark, sf_dir, "conversations")
     nth = F.expr("row_number() over (partition by persona, conversation_id order by turn_no)")
     pick = F.expr("row_number() over (partition by persona order by nth, conversation_id)")
     shots = pairs.withColumn("nth", nth).withColumn("pick", pick).filter("pick <= 80")
