@@ -19,6 +19,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_cl
 
     ``learn`` says which rows of labels may be learned from.  The sample is the rows of smallest id
     hash, so it does not depend on partitioning; a document labelled both ways is left out; its ids are broadcast, which ``2 * per_class`` bounds.
+    Of rows that share an id one text is taken, the least.
     """
     known = labels.filter(learn & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("other"))
     known = known.filter("label = other").select("__id", "label", F.xxhash64("__id").alias("__h"))
@@ -26,7 +27,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_cl
     for value in (0, 1):
         part = known.filter(F.col("label") == value).orderBy("__h", "__id").limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
-    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("__h", F.col("text").cast("string").alias("text"), "label")
+    found = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("__id", "__h", F.col("text").cast("string").alias("text"), "label")
+    return found.groupBy("__id", "__h", "label").agg(F.min("text").alias("text")).select("__h", "text", "label")
 
 
 def table(batches: Iterator[pa.RecordBatch]) -> pa.Table:

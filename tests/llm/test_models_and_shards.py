@@ -47,3 +47,11 @@ def test_whole_licences(spark):
     texts = [f"Copyright X. {body}. End", body.replace("merge", "move"), body.replace(" or substantial portions", "")]
     got = [r.labels for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
     assert got == ["mit-full,mit-text", "mit-text", "mit-text"]
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark):
+    rows = [(7, f"text {i}") for i in range(20_001)] + [(i, "other") for i in range(20, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), *((i, i % 2) for i in range(20, 60))], "doc_id long, quality int")
+    found = labelled.sample(docs, labels, "quality", labelled.fold("doc_id", 4) >= 0, per_class=30).collect()
+    assert len(found) == 41 and [r.text for r in found if r.text.startswith("text")] == ["text 0"]
