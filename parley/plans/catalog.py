@@ -53,14 +53,14 @@ events("win03_bursts", "select * from b", _islands(300_000, 2))(lambda m: ordere
 events("win04_session_starters", "select conversation_id, message_id, sender, timestamp_ms from o where prev_id is null or gap_ms >= 14400000", ORDERED)(ordered.session_starters)
 events("win05_threads", "select * from b", _islands(3_600_000, 1))(lambda m: ordered.gap_islands(m, 3_600_000))
 events("v106_gaps", "select conversation_id, message_id, sender, gap_ms from o where gap_ms > 86400000", ORDERED)(lambda m: ordered.with_previous(m.select(*ordered.NARROW)).filter("gap_ms > 86400000").select("conversation_id", "message_id", "sender", "gap_ms"))
-_BUBBLES = f"""k as (select *, is_system or has_photos breaks from m),
+_BUBBLES = f"""k as (select *, is_system or coalesce(trim(content), '') = '' or regexp_matches(lower(content), 'sent [0-9]+ photo|sent a voice message|shared a link') breaks from m),
 o as (select *, coalesce(lag(breaks) {W}, true) aft, lag(sender) {W} prev_sender, timestamp_ms - lag(timestamp_ms) {W} gap_ms from k),
 i as (select *, sum(case when aft or breaks or sender != prev_sender or gap_ms > 90000 then 1 else 0 end) {W} island from o)"""
-events("win06_reply_turns", "select conversation_id, first(sender) sender, count(*) n_bubbles, max(timestamp_ms) end_ms, sum(length(content))::bigint n_chars from i where not breaks group by conversation_id, island", _BUBBLES)(lambda m: ordered.reply_turns(m, F.col("is_system") | F.col("has_photos")))
+events("win06_reply_turns", "select conversation_id, first(sender) sender, count(*) n_bubbles, max(timestamp_ms) end_ms, sum(length(content))::bigint n_chars from i where not breaks group by conversation_id, island", _BUBBLES)(lambda m: ordered.reply_turns(m, ordered.breaker()))
 _FITS = f"f as (select *, row_number() over run n, sum(length(content) + {len(ordered.MARK)}) over run - {len(ordered.MARK)} size from i where not breaks window run as (partition by conversation_id, island order by timestamp_ms, message_id))"
 for _most in (60, 500):
     events(f"fn28_reply_texts_{_most}", f"select conversation_id, first_id, case when length(t) > {_most} then t[1:{_most - 1}] || '…' else t end \"text\" from (select conversation_id, min(message_id) filter (n = 1) first_id, string_agg(content, '{ordered.MARK}' order by n) t from f where n = 1 or size <= {_most} group by conversation_id, island)", f"{_BUBBLES}, {_FITS}")(
-        lambda m, most=_most: ordered.reply_texts(m, F.col("is_system") | F.col("has_photos"), most=most)
+        lambda m, most=_most: ordered.reply_texts(m, ordered.breaker(), most=most)
     )
 events("win07_daily_starts", "select sender, count(*) starts from (select sender, row_number() over (partition by conversation_id, strftime(ts, '%Y-%m-%d') order by timestamp_ms, message_id) n from m) where n = 1 group by sender")(
     lambda m: m.groupBy("conversation_id", C.day(F.col("ts")).alias("d")).agg(F.min_by("sender", F.struct("timestamp_ms", "message_id")).alias("sender")).groupBy("sender").agg(F.count("*").alias("starts"))
