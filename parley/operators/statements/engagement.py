@@ -11,6 +11,7 @@ _TYPE = """case when contains(c, '?') or c like 'what%' or c like 'how%' or c li
 _STARTS = f"""(select message_id, conversation_id, sender, hour, content, type, responses, avg_ms, least(least(responses, 50) + case when avg_ms < 300000 then 30 when avg_ms < 1800000 then 20 when avg_ms < 7200000 then 10 else 5 end + 20, 100) score from
     (select s.message_id, s.conversation_id, s.sender, s.hour, content, {_TYPE} type, coalesce(responses, 0) responses, coalesce(avg_ms, 0) avg_ms from (select s.*, m.hour, m.content, lower(m.content) c from {{s}} s join {{m}} m on m.message_id = s.message_id) s
     left join (select message_id, count(*) responses, avg(after_ms) avg_ms from {{sa}} group by message_id) b on b.message_id = s.message_id))"""
+STARTS = _STARTS
 _SCORE = """(case when length(content) > 200 then 3e-1 when length(content) > 100 then 2e-1 when length(content) > 50 then 1e-1 else 5e-2 end) + (case when abs(compound) > 5e-1 then 25e-2 when abs(compound) > 3e-1 then 15e-2 when abs(compound) > 1e-1 then 1e-1 else 0e0 end)
     + (case when media then 15e-2 else 0e0 end) + (case when contains(content, '?') or regexp_like(lower(content), '(^|[^a-z0-9_])(what|how|why|when|where|who)([^a-z0-9_]|$)') then 1e-1 else 0e0 end) + least(5e-2 * (length(content) - length(replace(content, '!', ''))), 15e-2)
     + (case when regexp_like(lower(content), 'https?://') or contains(lower(content), 'www.') then 1e-1 else 0e0 end) + (case when contains(content, '@') then 8e-2 else 0e0 end)

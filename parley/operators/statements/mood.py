@@ -20,8 +20,15 @@ STATEMENTS = {
     "win13_streaks": ("m", f"""select sender, max(case when sign_of = 1 then n else 0 end) positive_streak, max(case when sign_of = -1 then n else 0 end) negative_streak from (select sender, sign_of, island, count(*) n from
         (select sender, sign_of, rn - row_number() over (partition by sender, sign_of order by day) island from (select sender, day, case when v > 0 then 1 when v < 0 then -1 else 0 end sign_of, row_number() over (partition by sender order by day) rn from {_MOOD})) group by sender, sign_of, island) group by sender"""),
     "win14_half_trend": ("m", f"select sender, round(avg(case when rn > h then v end) - avg(case when rn <= h then v end), 6) change from (select sender, v, row_number() over (partition by sender order by day) rn, floor(count(*) over (partition by sender) / 2) h from {_MOOD}) group by sender"),
-    "win15_week_trend": ("m", """select conversation_id, wk, n, case when prev is null then 'first' when n > prev * 11e-1 then 'up' when n < prev * 9e-1 then 'down' else 'steady' end trend, round(sd / mean3, 6) variation from (select conversation_id, wk, n, lag(n) over (partition by conversation_id order by wk) prev,
-        stddev_pop(n) over (partition by conversation_id order by wk rows between 2 preceding and current row) sd, avg(n) over (partition by conversation_id order by wk rows between 2 preceding and current row) mean3 from (select conversation_id, cast(floor(timestamp_ms / 604800000) as bigint) wk, cast(count(*) as double) n from {m} group by conversation_id, cast(floor(timestamp_ms / 604800000) as bigint)))"""),
+    "win15_month_trend": ("m", """select conversation_id, month, cast(n as bigint) n, case when prev is null then 'stable' when n > prev * 11e-1 then 'increasing' when n < prev * 9e-1 then 'decreasing' else 'stable' end trend, case when i >= 3 then round(greatest(0e0, least(100e0, (1 - sd / mean3) * 100)), 6) else 0e0 end consistency from
+        (select conversation_id, month, n, lag(n) over (partition by conversation_id order by month) prev, row_number() over (partition by conversation_id order by month) i, stddev_pop(n) over (partition by conversation_id order by month rows between 2 preceding and current row) sd, avg(n) over (partition by conversation_id order by month rows between 2 preceding and current row) mean3
+        from (select conversation_id, month, cast(count(*) as double) n from {m} group by conversation_id, month))"""),
+    "win15_half_trends": ("m", """select conversation_id, case when later - earlier > 15e-2 * earlier and earlier > 0 then 'increasing' when later - earlier < -15e-2 * earlier and earlier > 0 then 'decreasing' else 'stable' end trend from (select conversation_id, coalesce(avg(case when i <= floor(months / 2e0) then n end), 0e0) earlier, coalesce(avg(case when i > floor(months / 2e0) then n end), 0e0) later from
+        (select *, row_number() over (partition by conversation_id order by month) i, count(*) over (partition by conversation_id) as months from (select conversation_id, month, cast(count(*) as double) n from {m} group by conversation_id, month)) group by conversation_id)"""),
+    # the same rule on weeks, since the events cover a month
+    "win15_week_trend": ("m", """select conversation_id, wk, cast(n as bigint) n, case when prev is null then 'stable' when n > prev * 11e-1 then 'increasing' when n < prev * 9e-1 then 'decreasing' else 'stable' end trend, case when i >= 3 then round(greatest(0e0, least(100e0, (1 - sd / mean3) * 100)), 6) else 0e0 end consistency from
+        (select conversation_id, wk, n, lag(n) over (partition by conversation_id order by wk) prev, row_number() over (partition by conversation_id order by wk) i, stddev_pop(n) over (partition by conversation_id order by wk rows between 2 preceding and current row) sd, avg(n) over (partition by conversation_id order by wk rows between 2 preceding and current row) mean3
+        from (select conversation_id, cast(floor(timestamp_ms / 604800000) as bigint) wk, cast(count(*) as double) n from {m} group by conversation_id, cast(floor(timestamp_ms / 604800000) as bigint)))"""),
     "agg46_emotion_totals": ("e", "select emotion, round(total, 4) total, round(100 * total / (joy + sadness + anger + fear + surprise), 4) percentage from (select emotion, case emotion when 'joy' then joy when 'sadness' then sadness when 'anger' then anger when 'fear' then fear else surprise end total, joy, sadness, anger, fear, surprise from (select sum(joy) joy, sum(sadness) sadness, sum(anger) anger, sum(fear) fear, sum(surprise) surprise from {e}), (select 'joy' emotion union all select 'sadness' union all select 'anger' union all select 'fear' union all select 'surprise'))"),
     "agg47_emotion_profile": ("e", "select sender, round(sum(joy), 4) joy, round(sum(sadness), 4) sadness, round(sum(anger), 4) anger, round(sum(fear), 4) fear, round(sum(surprise), 4) surprise, count(*) n from {e} group by sender"),
 }

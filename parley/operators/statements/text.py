@@ -8,6 +8,7 @@ _TYPE = f"""case when {_REACTION} then 'reaction' when has_photos or has_videos
     when word_count = 1 then 'single_word' when word_count <= 5 then 'short_text' when word_count <= 20 then 'medium_text' else 'long_text' end"""
 _KIND = """case when has_photos then 'image' when has_videos then 'video' when has_audio then 'audio' when has_share then 'link' when contains(content, 'sent a gif') then 'gif' when contains(content, 'sent a sticker') then 'sticker'
     when contains(content, 'sent a file') or contains(content, 'sent an attachment') then 'document' else 'other' end"""
+TYPE = _TYPE
 _TYPED = f"(select *, {_TYPE} type from {{m}} where content is not null and not sys)"
 #: An attachment's example names its sender alone.
 _ATTACHED = f"(select *, {_KIND} type from {{m}} where has_photos or has_videos or has_audio or has_share or content ilike '%sent an attachment%' or content ilike '%sent a gif%' or content ilike '%sent a sticker%' or content ilike '%sent a file%')"
@@ -52,5 +53,9 @@ STATEMENTS = {
     "fn32_reaction_time": ("x m", "select x.message_id, case when x.reaction_ts > 1000000000000 then x.reaction_ts when x.reaction_ts > 0 then x.reaction_ts * 1000 else m.timestamp_ms end ms from {x} x join {m} m on m.message_id = x.message_id"),
     "fn37_keys": ("m", "select message_id, sha2(concat(cast(timestamp_ms as string), '-', sender, '-', substr(content, 1, 256)), 256) k from {m}"),
     "fn38_duration": ("r", "select to_message_id, case when latency_ms < 60000 then concat(cast(floor(latency_ms / 1000) as bigint), 's') when latency_ms < 3600000 then concat(cast(floor(latency_ms / 60000) as bigint), 'm') else concat(cast(floor(latency_ms / 3600000) as bigint), 'h') end label from {r}"),
-    "fn13_importance_factors": ("m", "select message_id, case when length(content) > 200 then 3e-1 when length(content) > 100 then 2e-1 when length(content) > 50 then 1e-1 else 5e-2 end length_score, case when abs(compound) > 5e-1 then 25e-2 when abs(compound) > 3e-1 then 15e-2 when abs(compound) > 1e-1 then 1e-1 else 0e0 end sentiment_score from {m}"),
+    "fn13_importance_factors": ("m", """select message_id, substr(concat(case when length(content) > 200 then ', Long Message' when length(content) > 100 then ', Medium Message' when length(content) > 50 then ', Short Message' else '' end,
+        case when compound > 5e-1 then ', Very Positive' when compound < -5e-1 then ', Very Negative' when compound > 3e-1 then ', Positive' when compound < -3e-1 then ', Negative' when abs(compound) > 1e-1 then ', Mild Sentiment' else '' end, case when media then ', Contains Media' else '' end,
+        case when contains(content, '?') or regexp_like(lower(content), '(^|[^a-z0-9_])(what|how|why|when|where|who)([^a-z0-9_]|$)') then ', Question' else '' end, case when contains(content, '!') then ', Exclamation' else '' end, case when regexp_like(lower(content), 'https?://') or contains(lower(content), 'www.') then ', Link Sharing' else '' end,
+        case when contains(content, '@') then ', Mentions' else '' end, case when regexp_like(lower(content), 'love|hate|amazing|terrible|fantastic|awful|excited|worried|happy|sad|angry|surprised') then ', Emotional Content' else '' end, case when caps_count between 1 and 4 then ', Emphasis' else '' end,
+        case when hour < 6 or hour > 22 then ', Late Night Message' else '' end, case when length(content) > 500 then ', Very Long Message' else '' end), 3) factors from {m} where content is not null"""),
 }

@@ -161,6 +161,15 @@ def conversation_engagement(m: DataFrame, replies: DataFrame) -> DataFrame:
     return out.join(m.groupBy("conversation_id").agg(F.count_distinct("sender").alias("people")).filter("people >= 2").select("conversation_id"), "conversation_id", "left_semi").drop("n")
 
 
+def engagement_of_selection(m: DataFrame, replies: DataFrame, selected: DataFrame) -> DataFrame:
+    """Scores of all messages' participants, averaged over the selected conversations that each writes in."""
+    scores = engagement(m, replies).withColumnRenamed("participant", "sender")
+    rows = selected.groupBy("conversation_id", "sender").agg(F.count("*").alias("n")).join(scores, "sender")
+    mean = lambda c: C.js_round(F.avg(c), 1).alias(c)
+    tier = F.when(F.avg("overall_score") >= 70, "high").when(F.avg("overall_score") >= 40, "medium").otherwise("low")
+    return rows.groupBy(F.col("sender").alias("participant")).agg(mean("overall_score"), mean("message_frequency"), mean("response_speed"), mean("social_connectivity"), F.count("*").alias("conversations"), F.sum("n").alias("messages"), tier.alias("tier"))
+
+
 def participants_filter(rows: DataFrame, participants: DataFrame) -> DataFrame:
     """Rows whose sender belongs to the row's conversation; conversations without participants keep theirs."""
     known = participants.select("conversation_id").distinct().withColumn("known", F.lit(True))

@@ -153,6 +153,18 @@ _SCORES = f"""{REPLIES}, mm as (select * from m where conversation_id in (select
 events("agg53_engagement", "select * from y", _SCORES)(lambda m: summaries.engagement(m, ordered.responses(m)))
 events("agg55_conversation_engagement", """select conversation_id, floor(avg(overall_score) * 10 + 0.5) / 10 avg_engagement, count(*) filter (engagement_tier = 'high') high, count(*) filter (engagement_tier = 'medium') medium, count(*) filter (engagement_tier = 'low') low, round(var_pop(overall_score), 4) variance
 from (select distinct conversation_id, sender from mm) k join y on y.participant = k.sender group by 1""", _SCORES)(lambda m: summaries.conversation_engagement(m, ordered.responses(m)))
+
+
+@register("dsh09_engagement", tables.oracle("sm", f"""{_SCORES.replace(" from m)", " from m)")}, z as (select c.conversation_id, c.sender, c.n, y.* from (select conversation_id, sender, count(*) n from sm group by all) c join y on y.participant = c.sender)
+select sender participant, floor(avg(overall_score) * 10 + 0.5) / 10 overall_score, floor(avg(message_frequency) * 10 + 0.5) / 10 message_frequency, floor(avg(response_speed) * 10 + 0.5) / 10 response_speed, floor(avg(social_connectivity) * 10 + 0.5) / 10 social_connectivity, count(*) conversations, sum(n)::bigint messages,
+case when avg(overall_score) >= 70 then 'high' when avg(overall_score) >= 40 then 'medium' else 'low' end tier from z group by sender""", more=True))
+def dsh09_engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the members of selected conversations, averaged over these; messages are those of the selection."""
+    made: dict[str, DataFrame] = {}
+    m, sm = tables.make("m", spark, sf_dir, made), tables.make("sm", spark, sf_dir, made)
+    return summaries.engagement_of_selection(m, ordered.responses(m), sm)
+
+
 events("per08_infer_self", "select sender, count(*) chats from (select distinct conversation_id, sender from m where conversation_id in (select conversation_id from m group by 1 having count(distinct sender) = 2)) group by 1 order by chats desc, sender limit 1")(
     lambda m: m.join(m.groupBy("conversation_id").agg(F.count_distinct("sender").alias("n")).filter("n = 2"), "conversation_id", "left_semi").select("conversation_id", "sender").distinct().groupBy("sender").agg(F.count("*").alias("chats")).orderBy(F.desc("chats"), "sender").limit(1)
 )
@@ -235,6 +247,9 @@ def fn09_lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentiment.with_sentiment(m, lexicon, skip=F.col("is_system")).select("message_id", "compound", "pos", "neg", "neu")
 
 
+register("v104_reaction_points", tables.oracle("x", "select message_id, left(regexp_replace(lower(trim(actor)), '[^\\pL\\pN_]', '_', 'g'), 50) actor, emoji from {x}"))(lambda spark, sf_dir: tables.make("x", spark, sf_dir, {}).select("message_id", clean.tag("actor").alias("actor"), "emoji"))
+
+
 # -- operators stated in SQL
 def _stated(name: str, source: str = "events") -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,13 +121,18 @@ def json_export(spark: SparkSession, root: str) -> DataFrame:
     source, folder = source_of(F.col("path")), F.element_at(F.split("path", "/"), -2)
     content = F.coalesce(body, notice)
     return rows.select(
-        namespaced(source, folder).alias("conversation_id"), sender.alias("sender"), "timestamp_ms", content.alias("content"), source.alias("source"),
+        namespaced(source, folder).alias("conversation_id"), folder.alias("folder"), sender.alias("sender"), "timestamp_ms", content.alias("content"), source.alias("source"),
         (F.coalesce(F.col("type") == "Call", F.lit(False)) | (body.isNull() & notice.isNotNull()) | C.is_system(content, F.lit(False))).alias("is_system"),
         (count("photos") > 0).alias("has_photos"), (count("videos") > 0).alias("has_videos"), (count("audio_files") > 0).alias("has_audio"), F.col("share").isNotNull().alias("has_share"),
         F.coalesce("reactions", F.array()).alias("reactions"), F.col("share.link").alias("share_link"), *(F.coalesce(c, F.array()).alias(c) for c in ("photos", "videos", "audio_files")),
     )
 
 
+def folder_messages(spark: SparkSession, root: str, folder: str) -> DataFrame:
+    """The messages of one conversation's folder, from all its files, in order of time."""
+    return json_export(spark, root).filter(F.col("folder") == folder).sort("timestamp_ms", "sender", "content")
+
+
 def chat_time(date: Column, time: Column, half: Column) -> Column:
     """Milliseconds of a chat file's date and time in the session's zone.
 

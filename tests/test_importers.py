@@ -24,6 +24,8 @@ def test_json_export(spark, tmp_path):
     assert sorted(got) == [1, 2, 4, 5]
     assert (got[2].content, got[2].is_system, got[2].has_photos) == ("Bob sent 1 photo", True, True)
     assert (got[1].content, got[1].reactions[0].reaction, got[1].is_system) == ("café ❤", "❤", False)
+    assert [r.timestamp_ms for r in importers.folder_messages(spark, str(tmp_path), "bob_1").collect()] == [1, 2, 4, 5] and importers.folder_messages(spark, str(tmp_path), "other").count() == 0
+    assert {r.uri for r in importers.attachments(importers.with_ids(importers.json_export(spark, str(tmp_path))))["photos"].collect()} == {"a.jpg"}
     assert got[4].content is None and got[5].is_system and got[1].conversation_id == "instagram:bob_1"
 
 
