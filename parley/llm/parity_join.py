@@ -229,10 +229,16 @@ def _near(rule: Rule) -> str:
 
 
 def _tested(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that pass by size and sketch."""
+    """The pairs (a, b) that pass by size and sketch; pairs of one set (a large key's first) are dealt out."""
+    whole = pairs
     for x in "ab":
-        pairs = pairs.join(nodes.select(F.col("sig").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
-    return pairs.filter(_near(rule)).select("a", "b")
+        sets = nodes.select(F.col("sig").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        whole = spread_join(whole, sets, x, _counts(pairs, x))
+    return whole.filter(_near(rule)).select("a", "b")
+
+
+def _counts(pairs: DataFrame, key: str) -> DataFrame:
+    return pairs.groupBy(key).agg(F.count("*").alias("n"))
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
@@ -241,7 +247,9 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) ->
     keyed = docs.select(*_row_key("doc_id", _text_key()), "text")
     texts = keyed.join(named.select("sig", F.col("rep.nul").alias("nul"), F.col("rep.idk").alias("idk"), F.col("rep.tsig").alias("tsig")).hint("shuffle_hash"), ["nul", "idk", "tsig"])
     texts = texts.groupBy("sig").agg(F.any_value("text").alias("text"))  # a row may stand there twice
-    whole = pairs.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("sig").alias("b"), F.col("text").alias("tb")), "b")
+    whole = pairs
+    for x in "ab":
+        whole = spread_join(whole, texts.select(F.col("sig").alias(x), F.col("text").alias(f"t{x}")), x, _counts(pairs, x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,7 +349,7 @@ def _classes(docs: DataFrame, rule: Rule) -> Classes:
     nodes = sized.filter("n_shingles > 0").groupBy("sig").agg(F.any_value("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch"), F.min("doc_id").alias("first"), F.min(row).alias("rep"))
     nodes = stored(nodes, "nodes")
     met = stored(_met(docs, rule), "met")
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
+    pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "pairs")
     tried = stored(_tested(pairs, nodes, rule), "tried")
     links = [stored(_linked(tried, nodes, docs, rule), "links")]
     members = met.filter("key is not null")
@@ -351,7 +359,7 @@ def _classes(docs: DataFrame, rule: Rule) -> Classes:
         near = members.join(direct, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left")
         members = stored(near.select("key", F.col("b").alias("sig"), F.when(F.col("x").isNotNull() | (F.col("a") == F.col("b")), F.col("a")).otherwise(F.col("b")).alias("group")), "members")
         found = stored(_across(members, nodes, rule, forest=True), "found")
-        links.append(stored(_linked(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), nodes, docs, rule), "links"))
+        links.append(stored(_linked(stored(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs"), nodes, docs, rule), "links"))
         # where all of a forest holds, its key has no other components; elsewhere every pair of components is verified
         failed = found.join(links[0].unionByName(links[1]), ["a", "b"], "left_anti").select("key").distinct()
         members = stored(members.join(failed, "key", "left_semi").select("key", "sig"), "members")
@@ -359,7 +367,7 @@ def _classes(docs: DataFrame, rule: Rule) -> Classes:
             roots = components(links[0].unionByName(links[1]))
             members = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("group", F.coalesce("root", "sig"))
             rest = _across(members, nodes, rule, forest=False).select("a", "b").distinct()
-            links.append(stored(_linked(rest.join(tried.unionByName(found.select("a", "b")), ["a", "b"], "left_anti"), nodes, docs, rule), "links"))
+            links.append(stored(_linked(stored(rest.join(tried.unionByName(found.select("a", "b")), ["a", "b"], "left_anti"), "pairs"), nodes, docs, rule), "links"))
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)

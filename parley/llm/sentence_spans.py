@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textbytes as tb
-from parley.llm.storage import stored
+from parley.llm.storage import drop, scratch, spread_join, stored
 
 SPAN = 3
 LEAST_WORDS = 12
@@ -137,14 +137,18 @@ def _places(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, sig long, place int, hash long")
 
 
+@scratch
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, sig and the sorted places of each document's non-first repeated runs."""
     places = stored(_places(docs), "runs")
     at = F.struct("doc_id", "sig", "place")
-    many = places.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    found = stored(places.join(many, "hash"), "repeated-runs")
-    later = found.join(found.groupBy("hash").agg(F.min(at).alias("first")), "hash").filter(at != F.col("first"))
-    return later.select("doc_id", "sig", "place").distinct().groupBy("doc_id", "sig").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    many = stored(places.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"), "run-counts")
+    found = stored(spread_join(places, many.select("hash"), "hash", many), "repeated-runs")
+    drop(places)
+    first = found.groupBy("hash").agg(F.min(at).alias("first"))
+    later = spread_join(found, first, "hash", many).filter(at != F.col("first"))
+    cut = later.select("doc_id", "sig", "place").distinct().groupBy("doc_id", "sig").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    return stored(cut, "repeated-places")
 
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

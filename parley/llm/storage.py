@@ -16,7 +16,8 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key of more than ``HOT`` rows is dealt to ``SALTS`` tasks; at most ``HOT_KEYS`` keys are.
+#: A key of more than ``HOT`` rows is dealt to a task for each ``HOT`` of them, ``SALTS`` tasks at most;
+#: ``HOT_KEYS`` keys at most are, so that any other key has less than one row in ``HOT_KEYS`` of all.
 HOT = 1000
 HOT_KEYS = 1000
 SALTS = 64
@@ -47,15 +48,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    """df written in the warehouse in buckets by ``keys``, so that joins on them do not move it again.
+    """df written in the shared folder in buckets by ``keys``, so that joins on them do not move it again.
 
     df should be dealt by these keys already, or every task writes a file for each bucket.
     """
     spark = df.sparkSession
     table = f"parley_{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+    path = f"{shared_folder(spark).rstrip('/')}/{table}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(table)
     if _open:
-        _open[-1].append(table)
+        _open[-1] += [table, path]
     return spark.table(table)
 
 
@@ -103,17 +105,17 @@ def scratch(function: Callable) -> Callable:
 def spread_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``table`` on ``key``; no column of rows but the key may be in table.
 
-    Rows of the most frequent keys are dealt to ``SALTS`` tasks, and the table's rows of these keys are
-    copied to each.  ``counts`` (key, n) may give the frequencies if they are known; the keys that are
+    Rows of the most frequent keys are dealt to up to ``SALTS`` tasks, and the table's rows of these keys
+    are copied to each.  ``counts`` (key, n) may give the frequencies if they are known; the keys that are
     broadcast are ``HOT_KEYS`` at most.
     """
     if counts is None:
         counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    hot = counts.filter(F.col("n") > HOT).orderBy(F.desc("n"), key).limit(HOT_KEYS).select(key, F.lit(True).alias("__hot"))
-    hot = F.broadcast(hot)
+    tasks = F.least(F.lit(SALTS), F.ceil(F.col("n") / HOT)).cast("int")
+    hot = F.broadcast(counts.filter(F.col("n") > HOT).orderBy(F.desc("n"), key).limit(HOT_KEYS).select(key, tasks.alias("__tasks")))
     others = [c for c in rows.columns if c != key]
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*(others or [key])), F.lit(SALTS)).cast("int")).otherwise(0)
-    dealt = rows.join(hot, key, "left").withColumn("__salt", salt).drop("__hot")
-    copies = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    copied = table.join(hot, key, "left").withColumn("__salt", copies).drop("__hot")
+    salt = F.when(F.col("__tasks").isNotNull(), F.pmod(F.xxhash64(*(others or [key])), F.col("__tasks")).cast("int")).otherwise(0)
+    dealt = rows.join(hot, key, "left").withColumn("__salt", salt).drop("__tasks")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("__tasks", F.lit(1)) - 1))
+    copied = table.join(hot, key, "left").withColumn("__salt", copies).drop("__tasks")
     return dealt.join(copied, [key, "__salt"], how).drop("__salt")
