@@ -17,8 +17,6 @@ STATEMENTS = {
         (select message_id, case when message_id % 23 = 0 then null else sender end sender, case when message_id % 29 = 0 then null when message_id % 31 = 0 then timestamp_ms * 1000 else timestamp_ms end ms from {m})
         where sender is null or ms is null or ms < 946684800000 or ms > 2145916800000"""),
     # -- stored tables
-    "snk01_attachment_text": ("m", """select message_id, coalesce(body, case when has_photos then concat(sender, ' sent ', n, ' photo', case when n > 1 then 's' else '' end) when has_videos then concat(sender, ' sent ', n, ' video', case when n > 1 then 's' else '' end)
-        when has_share then concat(sender, ' shared a link') else '' end) content, body is null system from (select *, case when message_id % 2 = 0 then null else content end body, message_id % 3 + 1 n from {m} where has_photos or has_videos or has_share)"""),
     "snk03_namespaced_ids": ("m", """select conversation_id, case when raw like 'instagram:_%' or raw like 'messenger:_%' or raw like 'whatsapp:_%' or raw like 'imessage:_%' or raw like 'meta:_%' then raw else concat(source, ':', raw) end named
         from (select distinct conversation_id, source, case when source = 'whatsapp' then replace(conversation_id, 'whatsapp:', '') else conversation_id end raw from {m})"""),
     # -- filters

@@ -6,7 +6,6 @@ _EACH = """(select a.message_id, a.conversation_id, a.sender, a.hour, a.kind, co
     count(case when after_ms >= 300000 and after_ms < 1800000 then 1 end) quick, count(case when after_ms >= 1800000 and after_ms < 7200000 then 1 end) delayed, count(case when after_ms >= 7200000 then 1 end) late from {ma} group by message_id) b on b.message_id = a.message_id)"""
 
 STATEMENTS = {
-    "agg20_attachment_series": ("m", "select conversation_id, month, count(case when has_photos then 1 end) photo_messages, cast(coalesce(sum(case when has_photos then message_id % 3 + 1 end), 0) as bigint) photo_count, count(case when has_videos then 1 end) video_count from {m} group by conversation_id, month"),
     "agg24_media_with_attachments": ("m", "select conversation_id, sender, count(case when has_photos then 1 end) photos, count(case when has_videos then 1 end) videos, count(case when content ilike '%sent an attachment%' then 1 end) attachments, count(*) messages, count(case when media then 1 end) media_messages from {m} group by conversation_id, sender"),
     "agg25_media_types": ("m", "select conversation_id, photos, videos, attachments, round(100e0 * media_messages / messages, 6) media_ratio from (select conversation_id, count(case when has_photos then 1 end) photos, count(case when has_videos then 1 end) videos, count(case when content ilike '%sent an attachment%' then 1 end) attachments, count(*) messages, count(case when media then 1 end) media_messages from {m} group by conversation_id)"),
     "agg26_media_by_month": ("m", "select conversation_id, month, sender, count(case when media then 1 end) media_messages, count(*) messages from {m} group by conversation_id, month, sender having count(case when media then 1 end) > 0"),

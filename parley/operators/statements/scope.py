@@ -1,13 +1,19 @@
 """Scoped re-aggregation (DSH): every statement reads ``sm``, the messages of selected conversations by their participants."""
 
 from parley.operators.statements.engagement import STARTS as _STARTS
+from parley.operators.statements.peaks import BEST as _BEST, SAID as _SAID, SHARES as _SHARES
 from parley.operators.statements.text import TYPE
+from parley.operators.texts import TOP_WORD_STOPS
 
 _BUCKETS = """(select '0-10s' bucket, 5000e0 mid union all select '10-30s', 20000e0 union all select '30-60s', 45000e0 union all select '1-5m', 180000e0 union all select '5-15m', 600000e0 union all select '15-60m', 2250000e0 union all select '>1h', 10800000e0)"""
 _LATENCY = "(select r.conversation_id, r.responder, case when latency_ms < 10000 then '0-10s' when latency_ms < 30000 then '10-30s' when latency_ms < 60000 then '30-60s' when latency_ms < 300000 then '1-5m' when latency_ms < 900000 then '5-15m' when latency_ms < 3600000 then '15-60m' else '>1h' end bucket, latency_ms from {r} r join (select distinct conversation_id from {sm}) c on c.conversation_id = r.conversation_id)"
 _LENGTH = "(select case when word_count <= 2 then '1-2' when word_count <= 5 then '3-5' when word_count <= 10 then '6-10' when word_count <= 20 then '11-20' when word_count <= 50 then '21-50' else '50+' end bucket from {sm} where word_count > 0)"
 _HOURS = "(select explode(sequence(0, 23)) as h)"
 _DAYS = "(select explode(sequence(0, 6)) as d)"
+_STOPS = ", ".join(f"'{w}'" for w in TOP_WORD_STOPS)
+#: The events whose message is of a selected conversation, and how often each has which first cause, the earliest first among equals.
+_EVENTS = f"(select b.day, b.type, b.v, b.cause, m.conversation_id from {_BEST} b join {{ev}} e on e.day = b.day join {{m}} m on m.message_id = e.message_id where m.conversation_id in (select conversation_id from {{sm}}))"
+_CAUSES = f"(select cause, n, impact, row_number() over (order by n desc, first_day) rank from (select cause, count(*) n, avg(abs(v)) impact, min(day) first_day from {_EVENTS} group by cause))"
 
 STATEMENTS = {
     # links have no counts by conversation, so there are 0 of a selection
@@ -25,10 +31,21 @@ STATEMENTS = {
     "dsh11_thread_depths": ("b sm", "select depth, n, round(100e0 * n / whole, 6) percentage from (select message_count depth, count(*) n from {b} where conversation_id in (select conversation_id from {sm}) group by message_count), (select count(*) whole from {b} where conversation_id in (select conversation_id from {sm}))"),
     "dsh11_thread_starters": ("b sm k", "select starter, cast(sum(n) as bigint) threads_started, round(avg(depth), 6) avg_thread_depth from (select b.conversation_id, starter, count(*) n, avg(message_count) depth from {b} b join {k} k on k.conversation_id = b.conversation_id and k.participant = b.starter where b.conversation_id in (select conversation_id from {sm}) group by b.conversation_id, starter) group by starter"),
     "dsh12_peak_days": ("sm", "select day, v, rank from (select day, round(v, 6) v, row_number() over (order by abs(round(v, 6)) desc, day) rank from (select day, avg(compound) v from {sm} where abs(compound) >= 1e-1 group by day)) where rank <= 10"),
+    # the recovery that a selection reads isn't among an event's fields, so its mean is 0
+    "dsh12_summary": ("ev m sm tk", f"""select n_peaks, n_valleys, extreme_events, avg_peak_intensity, avg_valley_intensity, 0e0 avg_recovery_time, coalesce(c.cause, 'N/A') dominant_pattern from (select count(case when type = 'peak' then 1 end) n_peaks, count(case when type = 'valley' then 1 end) n_valleys, count(case when abs(v) > 25e-2 then 1 end) extreme_events,
+        round(coalesce(avg(case when type = 'peak' then abs(v) end), 0e0), 6) avg_peak_intensity, round(coalesce(avg(case when type = 'valley' then abs(v) end), 0e0), 6) avg_valley_intensity from {_EVENTS}) a left join {_CAUSES} c on c.rank = 1"""),
+    "dsh12_patterns": ("ev m sm tk", f"""select case when p > q then 'volatility' when q > p then 'gradual_decline' else 'stability' end pattern_type, case when q > p then q else p + q end frequency, round(intensity, 6) avg_intensity, case when p > q then 'More emotional peaks than valleys in this period' when q > p then 'More emotional valleys than peaks in this period' else 'Balanced peaks and valleys' end description
+        from (select count(case when type = 'peak' then 1 end) p, count(case when type = 'valley' then 1 end) q, avg(abs(v)) intensity from {_EVENTS}) where p + q > 0
+        union all select 'cyclical', c.n, round(a.intensity, 6), concat('Most common trigger: ', replace(c.cause, '_', ' ')) from {_CAUSES} c join (select avg(abs(v)) intensity from {_EVENTS}) a on c.rank = 1"""),
+    "dsh12_triggers": ("ev m sm tk k", f"""select c.cause, c.n frequency, round(c.impact, 6) avg_impact, c.rank, coalesce(w.keywords, '') keywords, coalesce(p.senders, '') senders from {_CAUSES} c
+        left join (select cause, array_join(array_sort(collect_set(keyword)), ',') keywords from (select cause, keyword, row_number() over (partition by cause order by keyword) rn from (select distinct e.cause, s.keyword from {_EVENTS} e join {_SAID} s on s.day = e.day)) where rn <= 10 group by cause) w on w.cause = c.cause
+        left join (select cause, array_join(array_sort(collect_set(sender)), ',') senders from (select cause, sender, row_number() over (partition by cause order by sender) rn from (select distinct e.cause, s.sender from {_EVENTS} e join {_SHARES} s on s.day = e.day join {{k}} k on k.conversation_id = e.conversation_id and k.participant = s.sender)) where rn <= 5 group by cause) p on p.cause = c.cause"""),
     "dsh13_starters": ("s m sm sa", f"select sender, count(*) sessions, cast(floor(avg(score) + 5e-1) as bigint) avg_score, case when count(*) >= 10 then 'prolific' when count(*) >= 5 then 'active' when count(*) >= 2 then 'occasional' else 'rare' end tier from {_STARTS} where message_id in (select message_id from {{sm}}) group by sender"),
     "dsh13_starter_types": ("s m sm sa", f"select sender, type, count(*) n from {_STARTS} where message_id in (select message_id from {{sm}}) group by sender, type"),
     "dsh13_starter_topics": ("s sm tp", "select sender, word, n, rank from (select *, row_number() over (partition by sender order by n desc, word) rank from (select s.sender, t.word, count(*) n from {s} s join {tp} t on t.message_id = s.message_id where s.message_id in (select message_id from {sm}) group by s.sender, t.word)) where rank <= 5"),
-    "dsh14_top_words": ("w sm", "select word, count(*) n, count(distinct w.sender) senders, count(distinct w.conversation_id) conversations from {w} w join (select message_id from {sm}) s on s.message_id = w.message_id group by word order by n desc, word limit 50"),
+    # from the thousand most frequent rows of word, sender and conversation, as they are kept
+    "dsh14_top_words": ("w sm", f"""select a.word, cast(sum(a.n) as bigint) n, count(distinct a.sender) senders, count(distinct a.conversation_id) conversations from (select word, sender, conversation_id, count(*) n from {{w}} group by word, sender, conversation_id having count(*) > 1 order by n desc, word, sender, conversation_id limit 1000) a
+        join (select distinct conversation_id, sender from {{sm}}) s on s.conversation_id = a.conversation_id and s.sender = a.sender where length(a.word) >= 3 and a.word not in ({_STOPS}) group by a.word order by n desc, a.word limit 50"""),
     "dsh15_domains": ("u sm", "select domain, count(*) n, count(distinct u.sender) senders, count(distinct u.conversation_id) conversations, min(u.timestamp_ms) first_seen, max(u.timestamp_ms) last_seen from {u} u join (select message_id from {sm}) s on s.message_id = u.message_id group by domain order by n desc, domain limit 12"),
     "dsh16_content_types": ("sm", f"select type, count(*) n, cast(floor(avg(length(content)) + 5e-1) as bigint) avg_length, count(distinct sender) senders from (select *, {TYPE} type from {{sm}} where content is not null and not sys) group by type"),
     "dsh17_lengths": ("sm", f"select bucket, n, round(sum(n * mid) over () / sum(n) over (), 6) mean_words from (select a.bucket, n, mid from (select bucket, count(*) n from {_LENGTH} group by bucket) a join (select '1-2' bucket, 15e-1 mid union all select '3-5', 4e0 union all select '6-10', 8e0 union all select '11-20', 155e-1 union all select '21-50', 355e-1 union all select '50+', 75e0) b on b.bucket = a.bucket)"),

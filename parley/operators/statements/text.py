@@ -41,7 +41,6 @@ STATEMENTS = {
         join (select conversation_id, type, concat(max(case when rn = 1 then concat(sender, ' shared ', type) else '' end), max(case when rn = 2 then concat(' | ', sender, ' shared ', type) else '' end), max(case when rn = 3 then concat(' | ', sender, ' shared ', type) else '' end)) examples from
         (select *, row_number() over (partition by conversation_id, type order by sender) rn from (select distinct conversation_id, type, sender from {_ATTACHED})) where rn <= 3 group by conversation_id, type) ex on ex.conversation_id = a.conversation_id and ex.type = a.type"""),
     "fn05_reaction_detector": ("m", f"select message_id from {{m}} where {_REACTION}"),
-    "fn08_emoji_total": ("m", "select message_id, greatest(emoji_count, decoded) emoji_total from (select message_id, emoji_count, case when message_id % 2 = 0 then emoji_count + 1 else 0 end decoded from {m})"),
     "fn10_content_class": ("m", f"select message_id, {_TYPE} type from {{m}} where content is not null"),
     "fn11_attachment_class": ("m", f"select message_id, {_KIND} type from {{m}}"),
     "fn14_words": ("w", "select message_id, word, count(*) n from {w} group by message_id, word"),

@@ -24,6 +24,14 @@ def conversation_summary(m: DataFrame, replies: DataFrame) -> DataFrame:
     return base.join(latency, "conversation_id", "left").select("*", (F.col("last_ms") - F.col("first_ms")).alias("duration_ms"), (F.col("message_count") - 1).alias("turns"))
 
 
+def attachment_series(m: DataFrame, photos: DataFrame, videos: DataFrame) -> DataFrame:
+    """conversation_id, month, photo_count and video_count of the messages that have any; photos and videos hold a row each, by message_id."""
+    counts = [t.groupBy("message_id").agg(F.count("*").alias(n)) for t, n in ((photos, "photo_count"), (videos, "video_count"))]
+    shown = m.filter("conversation_id is not null and (has_photos or has_videos)").select("message_id", "conversation_id", C.month(F.timestamp_millis("timestamp_ms")).alias("month"))
+    joined = shown.join(counts[0], "message_id", "left").join(counts[1], "message_id", "left")
+    return joined.groupBy("conversation_id", "month").agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("photo_count", "video_count")))
+
+
 def messages_by_sender(m: DataFrame) -> DataFrame:
     return m.groupBy("conversation_id", "sender").agg(F.count("*").alias("message_count"))
 

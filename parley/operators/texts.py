@@ -50,6 +50,20 @@ NOTICE_WORDS = (
     "named", "changed", "added", "call", "missed", "started", "ended",
 )
 # Words that are no topic of a starter, and how many topics it has.
+# Further words that a list of top words leaves out, the last three lines notices of platforms.
+TOP_WORD_STOPS = (
+    "the", "and", "you", "that", "was", "for", "are", "with", "his", "they", "this", "have", "from",
+    "not", "had", "but", "what", "can", "said", "all", "were", "when", "your", "how", "each", "she",
+    "which", "their", "time", "will", "about", "out", "many", "then", "them", "these", "may", "way",
+    "use", "her", "than", "call", "who", "its", "now", "find", "long", "down", "day", "did", "get",
+    "come", "made", "part", "just", "like", "good", "know", "think", "want", "see", "back", "also",
+    "well", "work", "make", "look", "feel", "going", "really", "yeah", "okay", "haha", "lol", "yes",
+    "sure", "thanks", "thank", "nice", "cool",
+    "sent", "photo", "photos", "video", "videos", "reacted", "reaction", "reactions",
+    "message", "messages", "attachment", "attachments", "liked", "shared", "share",
+    "voice", "removed", "unsent", "sticker", "stickers", "gamepigeon", "move",
+    "named", "changed", "added", "missed", "started", "ended",
+)
 TOPIC_STOPS = (
     "the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her",
     "was", "one", "our", "out", "day", "get", "has", "him", "his", "how", "man",
@@ -61,6 +75,11 @@ TOPICS = 5
 NAME_SALTS = 16
 
 
+def emoji_total(raw: Column, decoded: Column) -> Column:
+    """The emojis of a text as it stands or as decoded, whichever are more."""
+    return F.greatest(*(F.coalesce(F.regexp_count(t, F.lit(EMOJI)), F.lit(0)) for t in (raw, decoded)))
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 

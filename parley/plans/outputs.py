@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.operators import summaries, vector_index
+from parley.operators import summaries, texts, vector_index
 from parley.plans import tables
 from parley.plans.registry import register
-from parley.sources import datasets, store
+from parley.sources import datasets, importers, store
 from parley.sources.store import Database, scratch_folder
 
 
@@ -20,6 +20,68 @@ def _database(spark: SparkSession) -> Database:
     return Database(spark, scratch_folder(spark, "database"), buckets=16)
 
 
+#: Messages as an export of JSON holds them, for the oracle: photos and videos in ones, twos and threes, every second message with media without a text.
+_EXPORT = f"""raw as (select message_id, timestamp_ms, sender, is_system, case when source = 'instagram' then 'instagram:' else 'messenger:' end || split_part(conversation_id, ':', 2) conversation_id,
+  case when message_id % 2 = 0 and (has_photos or has_videos or has_audio or has_share) then null else "content" end body, case when has_photos then message_id % 3 + 1 else 0 end photos, case when has_videos then message_id % 3 + 1 else 0 end videos, has_audio::bigint audio, has_share, (message_id % 7 = 0)::bigint reactions from m),
+imported as (select *, case when body is not null then body when photos > 0 then sender || ' sent ' || photos || ' photo' || case when photos > 1 then 's' else '' end when videos > 0 then sender || ' sent ' || videos || ' video' || case when videos > 1 then 's' else '' end
+  when audio > 0 then sender || ' sent a voice message' when has_share and message_id % 4 = 0 then 'see this 😮' when has_share then sender || ' shared a link' end "content" from raw)"""
+
+
+def _garbled(text):
+    """A text as exports hold it: UTF-8 read as Latin-1."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+
+def exported(m: DataFrame) -> DataFrame:
+    """The messages as rows of a JSON export, garbled as these are."""
+    items = lambda has, kind: F.when(F.col(has), F.transform(F.sequence(F.lit(1), (F.col("message_id") % 3 + 1).cast("int")), lambda i: F.struct(F.concat_ws("/", F.lit(kind), "message_id", i).alias("uri"), F.floor(F.col("timestamp_ms") / 1000).alias("creation_timestamp"))))
+    one = F.array(F.struct(F.concat_ws("/", F.lit("audio"), "message_id").alias("uri"), F.floor(F.col("timestamp_ms") / 1000).alias("creation_timestamp")))
+    media = F.col("has_photos") | F.col("has_videos") | F.col("has_audio") | F.col("has_share")
+    folder = F.split("conversation_id", ":")[1]
+    said = F.when(F.col("message_id") % 4 == 0, _garbled(F.lit("see this 😮")))
+    return m.select(
+        F.concat(F.lit("/export/"), F.when(F.col("source") == "instagram", "instagram").otherwise("facebook"), F.lit("/inbox/"), folder, F.lit("/message_1.json")).alias("path"),
+        F.col("sender").alias("sender_name"), "timestamp_ms", F.when(~(media & (F.col("message_id") % 2 == 0)), _garbled(F.col("content"))).alias("content"), F.when(F.col("is_system"), "Call").otherwise("Generic").alias("type"), F.lit(False).alias("is_unsent"),
+        items("has_photos", "photos").alias("photos"), items("has_videos", "videos").alias("videos"), F.when(F.col("has_audio"), one).alias("audio_files"),
+        F.when(F.col("has_share"), F.struct(F.concat(F.lit("https://www.example.org/"), "message_id").alias("link"), said.alias("share_text"))).alias("share"),
+        F.when(F.col("message_id") % 7 == 0, F.array(F.struct(_garbled(F.lit("❤️")).alias("reaction"), F.col("sender").alias("actor")))).alias("reactions"),
+    )
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> Database:
+    """A database with an import of all messages."""
+    db = _database(spark)
+    importers.load(db, importers.normalized(exported(_messages(spark, sf_dir))))
+    return db
+
+
+_NOT_SAID = tables.system_sql().replace("is_system or content is null", "content is null")
+
+
+@register("snk01_imported_messages", tables.oracle("m", f"""{_EXPORT} select conversation_id, sender, timestamp_ms, "content", is_system or body is null or {_NOT_SAID} is_system, photos, videos, audio, reactions from imported""", more=True))
+def snk01_imported_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export decoded, numbered and stored with its children in one commit, and read back with the number of each kind of child."""
+    db = _imported(spark, sf_dir)
+    out = db.read("messages").select("message_id", "conversation_id", "sender", "timestamp_ms", "content", "is_system")
+    for kind in ("photos", "videos", "audio", "reactions"):
+        n = db.read(kind).groupBy("message_id").agg(F.count("*").alias(kind))
+        out = out.join(n, "message_id", "left").withColumn(kind, F.coalesce(kind, F.lit(0)))
+    return out.drop("message_id")
+
+
+@register("agg20_attachment_series", tables.oracle("m", f"""{_EXPORT} select conversation_id, strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m') "month", sum(photos)::bigint photo_count, sum(videos)::bigint video_count from imported where photos + videos > 0 group by all""", more=True))
+def agg20_attachment_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = _imported(spark, sf_dir)
+    return summaries.attachment_series(*map(db.read, ("messages", "photos", "videos")))
+
+
+@register("fn08_emoji_total", tables.oracle("m", "select message_id, emoji_count emoji_total from {m}"))
+def fn08_emoji_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The emojis of texts of which every second is garbled, counted before and after it is decoded."""
+    raw = F.when(F.col("message_id") % 2 == 0, _garbled(F.col("content"))).otherwise(F.col("content"))
+    return _messages(spark, sf_dir).select("message_id", texts.emoji_total(raw, importers.decoded(raw)).alias("emoji_total"))
+
+
 @register("snk11_replace_metrics", tables.oracle("m", "select message_id, case when message_id % 2 = 0 then 2 * word_count else word_count end word_count from {m} where message_id % 5 <> 0"))
 def snk11_replace_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of all messages, then other ones for those of even ids, then none for every fifth."""

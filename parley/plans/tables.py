@@ -39,7 +39,7 @@ _quoted = lambda *lists: ", ".join(f"'{w}'" for ws in lists for w in ws)  # noqa
 _WORDS = "lower(regexp_replace(content, '[^A-Za-z0-9_\\s''’]', ' ', 'g'))"
 
 
-def _system_sql() -> str:
+def system_sql() -> str:
     low = "lower(trim(content))"
     marked = " or ".join(f"contains({low}, '{x}')" for x in C.SYSTEM_MARKERS)
     return f"(is_system or content is null or length({low}) < 3 or starts_with({low}, '__') or {marked} or regexp_matches({low}, '{C.SYSTEM_PATTERN}'))"
@@ -58,7 +58,7 @@ def _reply_kind() -> str:
 
 
 ORACLE = {
-    "m": f"""(select *, hour(ts) "hour", dayofweek(ts) dow, strftime(ts, '%Y-%m') "month", strftime(ts, '%Y-%m-%d') "day", has_photos or has_videos or content ilike '%sent an attachment%' media, {_system_sql()} sys,
+    "m": f"""(select *, hour(ts) "hour", dayofweek(ts) dow, strftime(ts, '%Y-%m') "month", strftime(ts, '%Y-%m-%d') "day", has_photos or has_videos or content ilike '%sent an attachment%' media, {system_sql()} sys,
   len(list_filter(regexp_split_to_array(content, '\\s+'), lambda z: z <> '')) word_count, len(regexp_extract_all(content, '{_EMOJI}')) emoji_count, len(regexp_extract_all(content, '{texts.URL}')) url_count, len(regexp_extract_all(content, '{CAPITALS}')) caps_count,
   greatest(compound, 0) pos, greatest(-compound, 0) neg, 1 - abs(compound) neu from m0)""",
     "r": f"(select conversation_id, prev_id from_message_id, message_id to_message_id, sender responder, gap_ms latency_ms from {_O} where sender <> prev_sender and gap_ms between 1000 and 86400000)",

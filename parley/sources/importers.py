@@ -6,6 +6,7 @@ read and parsed by Spark, a file a row, so an export of any number of chats is s
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions import compat as C
+from parley.sources.store import FACTS, Database, replace_sources
 
 _ITEM = "array<struct<uri: string, creation_timestamp: bigint>>"
 JSON_SCHEMA = f"""participants array<struct<name: string>>, title string, thread_path string, messages array<struct<sender_name: string, timestamp_ms: bigint, content: string, type: string, is_unsent: boolean,
@@ -113,7 +115,12 @@ def json_export(spark: SparkSession, root: str) -> DataFrame:
     """
     files = spark.read.schema(JSON_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "message_*.json").json(root)
     files = files.withColumn("path", F.col("_metadata.file_path"))
-    rows = decode_all(files.select("path", F.explode("messages").alias("x")).select("path", "x.*").filter("sender_name is not null and timestamp_ms is not null"))
+    return normalized(files.select("path", F.explode("messages").alias("x")).select("path", "x.*"))
+
+
+def normalized(raw: DataFrame) -> DataFrame:
+    """Messages as an export holds them (path and the fields of ``JSON_SCHEMA``'s messages), decoded and in the library's columns."""
+    rows = decode_all(raw.filter("sender_name is not null and timestamp_ms is not null"))
     count = lambda c: F.coalesce(F.size(c), F.lit(0))
     sender, body = F.col("sender_name"), F.when(F.col("is_unsent"), None).otherwise(F.col("content"))
     some = lambda c, word: F.when(count(c) > 0, F.concat(sender, F.lit(" sent "), count(c), F.lit(f" {word}"), F.when(count(c) > 1, "s").otherwise("")))
@@ -229,6 +236,24 @@ def attachments(m: DataFrame) -> dict[str, DataFrame]:
     return out | {"reactions": m.select("message_id", F.posexplode("reactions").alias("place", "x")).select("message_id", "place", "x.reaction", "x.actor")}
 
 
+def load(database: Database, m: DataFrame) -> None:
+    """Put normalized messages and their children into the database in one commit, in the place of all it holds of their sources.
+
+    Ids go on after the database's greatest.  The numbered rows are written below its folder first, so that messages and
+    children agree on the ids even of equal rows, and are removed after the commit.  No rows change nothing.
+    """
+    staged = f"{database.root}/staged/{uuid.uuid4().hex}"
+    with_ids(m).write.parquet(staged)
+    rows = m.sparkSession.read.parquet(staged)
+    last = 0
+    if FACTS in database.manifest()["tables"]:
+        last = database.read(FACTS).agg(F.max("message_id")).first()[0] or 0
+    rows = rows.withColumn("message_id", F.col("message_id") + F.lit(last))
+    if not rows.isEmpty():
+        replace_sources(database, rows.drop("reactions", "photos", "videos", "audio_files"), attachments(rows))
+    database.files.remove(staged)
+
+
 def replace_by_source(m: DataFrame, path: str) -> None:
     """Store messages by source; sources that m has are replaced, others stay."""
     m.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)

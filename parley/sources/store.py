@@ -58,6 +58,9 @@ class Files:
     def size(self, folder: str) -> int:
         return self._fs.getContentSummary(self._path(folder)).getLength()
 
+    def remove(self, folder: str) -> None:
+        self._fs.delete(self._path(folder), True)
+
     def read(self, path: str) -> str:
         stream = self._fs.open(self._path(path))
         try:
