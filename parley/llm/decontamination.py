@@ -318,7 +318,8 @@ def _search(encoded: DataFrame, queries: Queries, weight: np.ndarray, basis: np.
                 for k in range(STEP):
                     half += scaled[m[:, k]]
                 y = half.copy()
-                joined = np.append(owner[1:] == owner[:-1], False)
+                joined = np.zeros(len(owner), bool)
+                joined[:-1] = owner[1:] == owner[:-1]
                 y[joined] += half[1:][joined[:-1]]
                 inside = np.zeros((len(m), len(items)), np.int8)
                 for k in range(STEP):
