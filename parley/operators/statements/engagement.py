@@ -33,7 +33,8 @@ STATEMENTS = {
     "agg52_turn_participants": ("t", f"""select participant, count(distinct conversation_id) conversations, count(*) turns, round(avg(message_count), 6) avg_length, round(avg(case when prev <> participant and pause > 0 and pause < 86400000 then 1000000e0 / pause end), 6) responsiveness from {_PAUSES} where conversation_id in {_KEPT} group by participant"""),
     "agg54_engagement_inputs": ("m", "select a.sender, conversations, messages, round(avg_len, 6) avg_len, n_days, first_ms, last_ms, coalesce(starts, 0) starts from (select sender, count(distinct conversation_id) conversations, count(*) messages, avg(length(content)) avg_len, count(distinct day) n_days, min(timestamp_ms) first_ms, max(timestamp_ms) last_ms from {m} group by sender) a left join (select sender, count(*) starts from (select sender, row_number() over (partition by conversation_id order by timestamp_ms, message_id) n from {m}) where n = 1 group by sender) s on s.sender = a.sender"),
     "agg56_starters": ("s m sa", f"select message_id, conversation_id, sender, type, responses, round(avg_ms, 4) avg_ms, score from {_STARTS}"),
-    "agg57_starter_patterns": ("s m sa", f"select sender, count(*) sessions, round(100e0 * count(case when responses > 0 then 1 end) / count(*), 6) success, round(avg(score), 6) avg_score, cast(floor(avg(avg_ms) + 5e-1) as bigint) avg_response_ms, case when count(*) >= 20 then 'prolific' when count(*) >= 10 then 'active' when count(*) >= 5 then 'occasional' else 'rare' end tier from {_STARTS} group by sender"),
+    # the mean answer time of a starter in whole microseconds, so that half a millisecond does not hang on the order of addition
+    "agg57_starter_patterns": ("s m sa", f"select sender, count(*) sessions, round(100e0 * count(case when responses > 0 then 1 end) / count(*), 6) success, round(avg(score), 6) avg_score, cast(floor(sum(cast(floor(avg_ms * 1000 + 5e-1) as bigint)) / (1e3 * count(*)) + 5e-1) as bigint) avg_response_ms, case when count(*) >= 20 then 'prolific' when count(*) >= 10 then 'active' when count(*) >= 5 then 'occasional' else 'rare' end tier from {_STARTS} group by sender"),
     "agg57_starter_types": ("s m sa", f"select sender, type, n, rank from (select *, row_number() over (partition by sender order by n desc, type) rank from (select sender, type, count(*) n from {_STARTS} group by sender, type)) where rank <= 3"),
     "agg57_starter_topics": ("s tp", "select sender, word, n, rank from (select *, row_number() over (partition by sender order by n desc, word) rank from (select s.sender, t.word, count(*) n from {s} s join {tp} t on t.message_id = s.message_id group by s.sender, t.word)) where rank <= 5"),
     "agg57_starter_times": ("s m", "select s.sender, m.hour, count(*) n from {s} s join {m} m on m.message_id = s.message_id group by s.sender, m.hour"),

@@ -26,3 +26,14 @@ def test_moods_at_a_bound_are_neutral(spark):
     m = spark.createDataFrame(_days({"a": [(0.05,) * 3] * 5, "b": [(0.1, 0.2, -0.3)] * 5, "c": [(-0.05,) * 3] * 5}), MOODS).coalesce(1)
     got = {r.sender: (str(r["mean"]), r.variability, r.dominant, r.trend) for r in apply("agg43_mood_patterns", spark, m=m).collect()}
     assert got == {"a": ("0.05", 0, "neutral", "stable"), "b": ("0.0", 0, "neutral", "stable"), "c": ("-0.05", 0, "neutral", "stable")}
+
+
+def test_half_a_millisecond_is_rounded_up(spark):
+    # mean answer times in tenths; in half of their orders the doubles sum to less than 2.5
+    orders = sorted(set(itertools.permutations((7, 1, 6, 7, 4))))
+    rows = [(5 * k + i, f"user{k}", n) for k, order in enumerate(orders) for i, n in enumerate(order)]
+    starters = spark.createDataFrame([(i, "c", who, i) for i, who, _ in rows], "message_id long, conversation_id string, sender string, timestamp_ms long")
+    m = starters.select("message_id", F.lit(9).alias("hour"), F.lit("x").alias("content"))
+    answers = spark.createDataFrame([(i, int(j < n)) for i, _, n in rows for j in range(10)], "message_id long, after_ms long")
+    got = apply("agg57_starter_patterns", spark, s=starters, m=m, sa=answers)
+    assert {r.avg_response_ms for r in got.collect()} == {1}
