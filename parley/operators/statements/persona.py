@@ -1,5 +1,6 @@
 """Persona and retrieval (PER-01 to PER-24)."""
 
+from parley.operators.statements.mood import MEAN
 from parley.operators.statements.text import TIMELINE
 
 #: Of each persona the first 240 pairs in order of conversation and time, then one of each conversation in turn.
@@ -18,7 +19,7 @@ STATEMENTS = {
     "per02_vocabulary": ("vw", "select sender, word, n, rank from (select *, row_number() over (partition by sender order by n desc, word) rank from (select sender, word, count(*) n from {vw} group by sender, word)) where rank <= 25"),
     "per03_sentiment_ratios": ("m", "select sender, round(avg(compound), 6) avg_compound, round(100e0 * count(case when compound >= 5e-2 then 1 end) / count(*), 6) positive_ratio, round(100e0 * count(case when compound <= -5e-2 then 1 end) / count(*), 6) negative_ratio from {m} where not sys group by sender"),
     "per05_start_ratio": ("m", f"select a.sender, coalesce(starts, 0) starts, round(coalesce(starts, 0) / cast(n_days as double), 6) start_ratio from (select sender, count(distinct concat(conversation_id, day)) n_days from {{m}} group by sender) a left join {_STARTS} s on s.sender = a.sender"),
-    "per06_style_summary": ("m", "select sender, concat(case when w < 5 then 'short' when w < 12 then 'medium' else 'long' end, ' messages, ', case when e > 5e-1 then 'many emojis' when e > 0 then 'some emojis' else 'no emojis' end, ', ', case when v > 5e-2 then 'warm' when v < -5e-2 then 'cool' else 'neutral' end, ' tone') summary from (select sender, avg(word_count) w, avg(emoji_count) e, avg(compound) v from {m} where not sys group by sender)"),
+    "per06_style_summary": ("m", f"select sender, concat(case when w < 5 then 'short' when w < 12 then 'medium' else 'long' end, ' messages, ', case when e > 5e-1 then 'many emojis' when e > 0 then 'some emojis' else 'no emojis' end, ', ', case when v > 5e-2 then 'warm' when v < -5e-2 then 'cool' else 'neutral' end, ' tone') summary from (select sender, avg(word_count) w, avg(emoji_count) e, {MEAN} v from {{m}} where not sys group by sender)"),
     "win08_reply_pairs": ("rp", "select conversation_id, partner, persona, prev_id, first_id, words, n_bubbles, context, reply from {rp}"),
     "per07_few_shot_pairs": ("rp", f"""select persona, first_id, pick from (select *, row_number() over (partition by persona order by rn, conversation_id) pick from (select *, row_number() over (partition by persona, conversation_id order by turn_no) rn from {_FIRST})) where pick <= 80"""),
     "per07_with_you_pairs": ("rp me", f"""select persona, first_id, pick from (select *, row_number() over (partition by persona order by rn, first_at) pick from (select *, row_number() over (partition by persona, conversation_id order by score desc, place) rn, min(spot) over (partition by persona, conversation_id) first_at from

@@ -28,6 +28,12 @@ def test_moods_at_a_bound_are_neutral(spark):
     assert got == {"a": ("0.05", 0, "neutral", "stable"), "b": ("0.0", 0, "neutral", "stable"), "c": ("-0.05", 0, "neutral", "stable")}
 
 
+def test_tone_at_a_bound_is_neutral(spark):
+    m = spark.createDataFrame(_days({"a": [(0.05,) * 3], "b": [(-0.05,) * 3], "c": [(0.06,) * 3]}), MOODS).coalesce(1)
+    got = {r.sender: r.summary.split(", ")[-1] for r in apply("per06_style_summary", spark, m=m).collect()}
+    assert got == {"a": "neutral tone", "b": "neutral tone", "c": "warm tone"}
+
+
 def test_half_a_millisecond_is_rounded_up(spark):
     # mean answer times in tenths; in half of their orders the doubles sum to less than 2.5
     orders = sorted(set(itertools.permutations((7, 1, 6, 7, 4))))
