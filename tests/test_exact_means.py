@@ -34,6 +34,13 @@ def test_tone_at_a_bound_is_neutral(spark):
     assert got == {"a": "neutral tone", "b": "neutral tone", "c": "warm tone"}
 
 
+def test_card_tone_at_a_bound_is_neutral(spark):
+    # fifteen times 0.05 is above 0.75 in doubles
+    rows = [(i, "c", who, f"line {i}", i, False, 0.05, 2) for i, who in enumerate(["me"] + ["p"] * 15)]
+    m = spark.createDataFrame(rows, "message_id long, conversation_id string, sender string, content string, timestamp_ms long, is_system boolean, compound double, word_count int").coalesce(1)
+    assert relationships.cards(m, spark.createDataFrame([("me",)], "sender string")).first().tone == "fairly neutral with you"
+
+
 def test_half_a_millisecond_is_rounded_up(spark):
     # mean answer times in tenths; in half of their orders the doubles sum to less than 2.5
     orders = sorted(set(itertools.permutations((7, 1, 6, 7, 4))))
