@@ -77,6 +77,13 @@ def test_slices_of_time_give_the_rows_of_one_window(spark, monkeypatch):
     assert {r.message_id: r.n_after for r in ordered.counts_after(m, 90_000).collect()} == after
 
 
+def test_counts_after_run_from_the_start_of_a_slice(spark):
+    # a frame that also moves at its start costs its length for every row
+    m = spark.createDataFrame([(1, "c", "A", BASE)], SCHEMA)
+    plan = ordered.counts_after(m, 90_000)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("rangeframe, unboundedpreceding") == plan.count("rangeframe") > 0
+
+
 def test_perfect_correlation(spark):
     rows = [(s, "c1", f"2024-01-0{d}", v * (0.8 - 0.2 * (d - 1))) for d in range(1, 7) for s, v in (("A", 1.0), ("B", 0.5)) for _ in range(3)] + [("C", "c1", f"2024-01-0{d}", 0.5) for d in (1, 2) for _ in range(3)]
     m = spark.createDataFrame(rows, "sender string, conversation_id string, day string, compound double")
