@@ -18,6 +18,24 @@ def _chats(seed):
     return [(i, c, who, f"line {i}", 1000 - i // 2, i % 17 == 0) for i, (c, who) in enumerate(rows)]
 
 
+def test_talkative_others_of_every_persona(spark):
+    rows = _chats(4)
+    plain = [(c, who) for _, c, who, _, _, system in rows if not system]
+    mine = {c for c, who in plain if who == "me"}
+    want = {}
+    for p in {who for _, who in plain} - {"me"}:
+        chats = {c for c, who in plain if who == p} & mine
+        n = {}
+        for c, who in plain:
+            if c in chats and who not in (p, "me"):
+                n[who] = n.get(who, 0) + 1
+        best = sorted((-k, who) for who, k in n.items() if k >= 3)[: relationships.OTHERS]
+        want |= {(p, who): True for _, who in best}
+    m, me = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("me",)], "sender string")
+    got = [(r.persona, r["name"]) for r in relationships.talkative(m, me).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(want)
+
+
 def test_newest_lines_are_taken_in_parts(spark, monkeypatch):
     rows = _chats(5)
     monkeypatch.setattr(relationships, "LINES", 9)
