@@ -67,23 +67,34 @@ def _spoken(m: DataFrame) -> DataFrame:
     return m.filter("not is_system and trim(content) <> '' and sender is not null and conversation_id is not null and timestamp_ms is not null").select("message_id", "conversation_id", "sender", "content", "timestamp_ms")
 
 
+def _postings(m: DataFrame) -> DataFrame:
+    words = _spoken(m).select("message_id", "sender", "timestamp_ms", F.explode(F.array_distinct(runs(F.col("content")))).alias("word"))
+    return _newest(words, WORD_ROWS, "word", "sender")
+
+
 def index(m: DataFrame) -> DataFrame:
     """The newest ``WORD_ROWS`` messages of each sender with each word (word, sender, message_id, timestamp_ms), by ranges of words.
 
     More than that no query takes of a word.  Write it once to answer many batches of queries from it.
     """
-    words = _spoken(m).select("message_id", "sender", "timestamp_ms", F.explode(F.array_distinct(runs(F.col("content")))).alias("word"))
-    return _newest(words, WORD_ROWS, "word", "sender").repartitionByRange("word", "sender")
+    return _postings(m).repartitionByRange("word", "sender")
+
+
+#: Lengths of the pieces that words are looked up by; a token by as much of its start as the longest one that it fills.
+PIECES = (3, 5, 8, 12)
+
+
+def _held_pieces(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """token, word and piece: the words that hold the start of a token."""
+    some = tokens.withColumn("piece", F.substr("token", F.lit(1), F.greatest(*(F.when(F.length("token") >= k, k) for k in PIECES))))
+    starts = lambda k: F.transform(F.sequence(F.lit(1), F.length("word") - (k - 1)), lambda i: F.substr("word", i, F.lit(k)))
+    pieces = F.flatten(F.array_compact(F.array(*(F.when(F.length("word") >= k, starts(k)) for k in PIECES))))
+    return some.join(words.select("word", F.explode(F.array_distinct(pieces)).alias("piece")), "piece")
 
 
-def _holding(asked: DataFrame, words: DataFrame) -> DataFrame:
-    """asked (token, ...) with every word of the index that contains the token: by the token's first three characters, then in full."""
-    known = words.select("word").distinct()
-    starts = F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substr("word", i, F.lit(3)))
-    grams = known.select("word", F.explode(F.array_distinct(starts)).alias("gram"))
-    some = asked.select("token").distinct().withColumn("gram", F.substring("token", 1, 3))
-    held = some.join(grams, "gram").filter(F.contains("word", "token")).select("token", "word")
-    return asked.join(held, "token")
+def _holding(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """token with every word that contains it: by the start of the token, then in full."""
+    return _held_pieces(tokens, words).filter(F.contains("word", "token")).select("token", "word")
 
 
 def keyword_memories(m: DataFrame, queries: DataFrame, limit: int = 6, postings: DataFrame | None = None) -> DataFrame:
@@ -103,17 +114,19 @@ def keyword_memories(m: DataFrame, queries: DataFrame, limit: int = 6, postings:
     # the longest words, of equal ones the first
     longest = F.slice(F.array_sort(F.transform("asked", lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))), 1, SEARCHED_WORDS)
     asked = q.select("query_id", "persona", F.posexplode(longest).alias("place", "x")).select("query_id", "persona", (F.col("place") + 2).alias("stage"), F.col("x.w").alias("token"))
-    found = index(m) if postings is None else postings
-    hits = _holding(asked, found).join(found.withColumnRenamed("sender", "persona"), ["word", "persona"]).select("query_id", "stage", "message_id", "timestamp_ms").distinct()
-    searched = _newest(hits, WORD_ROWS, "query_id", "stage").select("query_id", "message_id", "stage", F.lit(0.0).alias("bonus"))
+    found = (_postings(m) if postings is None else postings).withColumnRenamed("sender", "persona")
+    # what a token finds is the same for all queries of a persona, so it is looked up once for them
+    held = asked.select("token", "persona").distinct().join(_holding(asked.select("token").distinct(), found.select("word").distinct()), "token")
+    hits = held.join(found, ["word", "persona"]).select("token", "persona", "message_id", "timestamp_ms").distinct()
+    searched = asked.join(_newest(hits, WORD_ROWS, "token", "persona"), ["token", "persona"]).select("query_id", "message_id", "stage", F.lit(0.0).alias("bonus"))
     # what is left where nothing is found: the newest of the open chat
     said = m.filter("not is_system and content is not null and timestamp_ms is not null")
     latest = _newest(said, limit, "conversation_id", "sender").select("conversation_id", F.col("sender").alias("persona"), "message_id")
     latest = q.join(latest, ["conversation_id", "persona"]).select("query_id", "message_id", F.lit(LAST).alias("stage"), F.lit(RECENT).alias("bonus"))
-    # scores of all candidates, in the words of the message; a query has a bounded number of them
-    rows = opened.unionByName(preferred).unionByName(searched).unionByName(latest).join(said.select("message_id", F.col("conversation_id").alias("chat"), "content", "timestamp_ms"), "message_id").join(q, "query_id")
+    # scores of all candidates, in the words of the message, which are cut once; a query has a bounded number of them
+    rows = opened.unionByName(preferred).unionByName(searched).unionByName(latest).join(said.select("message_id", F.col("conversation_id").alias("chat"), tokens(F.col("content")).alias("words"), "timestamp_ms"), "message_id").join(q, "query_id")
     bonus = F.when((F.col("stage") > 1) & (F.col("chat") == F.col("conversation_id")), SAME_CHAT).otherwise(F.col("bonus"))
-    scored = rows.select("query_id", "message_id", "timestamp_ms", "stage", "bonus", F.when(F.col("stage") < LAST, bonus).alias("more"), F.array_contains("preferred", F.col("chat")).alias("liked"), overlap(F.col("asked"), tokens(F.col("content"))).alias("base"))
+    scored = rows.select("query_id", "message_id", "timestamp_ms", "stage", "bonus", F.when(F.col("stage") < LAST, bonus).alias("more"), F.array_contains("preferred", F.col("chat")).alias("liked"), overlap(F.col("asked"), F.col("words")).alias("base"))
     score = F.round(F.col("base") + F.col("more") + F.when(F.col("liked"), PREFERENCE).otherwise(0.0), 9)
     scored = scored.filter(f"stage = {LAST} or base > 0 or more > 0").select("query_id", "message_id", "timestamp_ms", "stage", F.coalesce(score, "bonus").alias("score"))
     # the preferred chats count where the open one gave too little, a word where all before it gave too few good messages

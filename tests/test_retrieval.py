@@ -188,3 +188,23 @@ def test_relationship_cards(spark):
     card = {r.persona: r for r in relationships.cards(m, you.select("sender")).collect()}["Zoe Lee"]
     assert (card.shared_messages, card.shared_chats, card.tone, card.question_rate) == (12, 1, "usually warm / upbeat with you", round(1 / 12, 3))
     assert relationships.phrases(m.limit(0), you).count() == 0
+
+
+def test_a_token_of_many_queries_is_looked_up_once(spark, monkeypatch):
+    seen, holding = [], retrieval._holding
+    monkeypatch.setattr(retrieval, "_holding", lambda asked, words: seen.append(asked.count()) or holding(asked, words))
+    m = spark.createDataFrame(made(), M)
+    q = spark.createDataFrame([(k, "A", "party music garden", "c9", None) for k in range(30)], Q)
+    assert retrieval.keyword_memories(m, q).count() and seen == [3]
+
+
+def test_words_are_compared_with_tokens_they_begin_to_hold(spark):
+    words = [f"{a}{b}ing" for a in ("und", "pre") for b in ("erstand", "ertain", "fer", "tend", "er")] + ["a" * 40, "und", "the'prefering"]
+    tokens = ["understand", "prefer", "und", "ing", "undertaking", "undertaining", "aaaaaaaaaaaaaa", "tend", "none"]
+    one = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    got = sorted(map(tuple, retrieval._holding(one("token", tokens), one("word", words)).collect()))
+    assert got == sorted((t, w) for t in tokens for w in words if t in w)
+    # of 400 words that begin alike few are compared with a longer token
+    alike = [f"understand{i}" for i in range(400)]
+    assert retrieval._held_pieces(one("token", ["understand7"]), one("word", alike)).count() == 400
+    assert retrieval._held_pieces(one("token", ["underway"]), one("word", alike)).count() == 0
