@@ -119,6 +119,27 @@ def test_pairs_that_share_a_chat(spark):
     assert {(r.sender1, r.sender2) for r in got} == {("a", "b"), ("c", "d")}
 
 
+@pytest.mark.parametrize("block", [512, 6])
+def test_only_senders_of_one_chat_are_compared(spark, monkeypatch, block):
+    monkeypatch.setattr(moods, "BLOCK", block)
+    rng, sums, compared = np.random.default_rng(4), moods._sums, spark.sparkContext.accumulator(0)
+
+    def counted(a, b, width):
+        compared.add((len(a["first"]) - 1) * (len(b["first"]) - 1))
+        return sums(a, b, width)
+
+    monkeypatch.setattr(moods, "_sums", counted)
+    # chats of 20 and 3 senders, some of whom are in several; the last sender has too few days
+    chats = {f"s{i:02}": {f"large{i // 20}", f"small{i // 3}", *([f"small{i % 7}"] if i % 5 == 0 else [])} for i in range(80)}
+    rows = [(s, f"d{d}", float(rng.normal())) for s in chats for d in range(2 if s == "s79" else 6)]
+    shared = [(s, c) for s, of in chats.items() for c in sorted(of)] + [("s00", None), ("s01", None)]
+    got = moods.correlations(spark.createDataFrame(rows, "sender string, day string, v double"), shared=spark.createDataFrame(shared, "sender string, key string")).collect()
+    want = sorted((a, b) for a in chats for b in chats if a < b < "s79" and chats[a] & chats[b])
+    assert sorted((r.sender1, r.sender2) for r in got) == want
+    if block == 6:
+        assert 0 < compared.value < 80 * 80 / 2
+
+
 @pytest.mark.parametrize("scale", [1, 10])
 def test_interval_join_compares_little_more_than_it_gives(spark, scale):
     rng = np.random.default_rng(scale)
