@@ -157,6 +157,20 @@ def test_the_second_run_makes_only_new_vectors(spark, tmp_path):
     assert db.read("embeddings").count() == 0
 
 
+def test_a_batch_is_made_once(spark, tmp_path):
+    db, asked = Database(spark, str(tmp_path)), spark.sparkContext.accumulator(0)
+
+    def embedder(texts):
+        asked.add(len(texts))
+        return vector_index.hashed(texts)
+
+    m = lambda n: spark.createDataFrame([(i, "a", f"some words {i}", i, False) for i in range(n)], "message_id long, sender string, content string, timestamp_ms long, is_system boolean")
+    for n in (40, 60, 61):
+        vector_index.update(db, m(n), embedder)
+        rows = [r.message_id for r in db.read("embeddings").collect()]
+        assert sorted(rows) == list(range(n)) and asked.value == n
+
+
 def test_texts_are_decoded_at_any_depth(spark):
     spell = lambda t: "".join(f"{chr(92)}u{b:04x}" for b in t.encode())
     said, meant = f"don{spell('’')}t", "don’t"
