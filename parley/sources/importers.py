@@ -239,12 +239,14 @@ def attachments(m: DataFrame) -> dict[str, DataFrame]:
 def load(database: Database, m: DataFrame) -> None:
     """Put normalized messages and their children into the database in one commit, in the place of all it holds of their sources.
 
-    Ids go on after the database's greatest.  The numbered rows are written below its folder first, so that messages and
-    children agree on the ids even of equal rows, and are removed after the commit.  No rows change nothing.
+    Ids go on after the database's greatest.  The rows are written below its folder before they are numbered, which reads
+    them more than once, and once more with their numbers, so that messages and children agree on the ids even of equal
+    rows; both are removed after the commit.  No rows change nothing.
     """
     staged = f"{database.root}/staged/{uuid.uuid4().hex}"
-    with_ids(m).write.parquet(staged)
-    rows = m.sparkSession.read.parquet(staged)
+    m.write.parquet(f"{staged}/plain")
+    with_ids(m.sparkSession.read.schema(m.schema).parquet(f"{staged}/plain")).write.parquet(f"{staged}/numbered")
+    rows = m.sparkSession.read.parquet(f"{staged}/numbered")
     last = 0
     if FACTS in database.manifest()["tables"]:
         last = database.read(FACTS).agg(F.max("message_id")).first()[0] or 0

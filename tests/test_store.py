@@ -171,6 +171,23 @@ def test_a_batch_is_made_once(spark, tmp_path):
         assert sorted(rows) == list(range(n)) and asked.value == n
 
 
+def test_rows_of_an_import_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(name):
+        made.add(1)
+        return name
+
+    chat = F.udf(counted, "string")(F.col("conversation_id"))
+    none = F.array().cast("array<struct<uri:string,creation_timestamp:long>>")
+    m = spark.createDataFrame([(f"messenger:c{i % 3}", "a", i, f"text {i}", "messenger") for i in range(30)], "conversation_id string, sender string, timestamp_ms long, content string, source string")
+    m = m.withColumn("conversation_id", chat).withColumns({k: none for k in ("photos", "videos", "audio_files")}).withColumn("reactions", F.array().cast("array<struct<reaction:string,actor:string>>"))
+    db = Database(spark, str(tmp_path))
+    importers.load(db, m)
+    assert sorted(r.message_id for r in db.read("messages").collect()) == list(range(1, 31)) and made.value == 30
+    assert db.files.names(f"{db.root}/staged") == []
+
+
 def test_texts_are_decoded_at_any_depth(spark):
     spell = lambda t: "".join(f"{chr(92)}u{b:04x}" for b in t.encode())
     said, meant = f"don{spell('’')}t", "don’t"
